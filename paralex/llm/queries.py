@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralex.llm import windows
+from paralex.llm import langid, mixing, packing, phrases, secrets, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -19,14 +19,48 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.secret_scan(_table(spark, sf_dir, "documents", "doc_id", "text"), fdr=0.01)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_text", 256).alias("base_sha256"), F.col("spans_text").alias("spans"), "n_random")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.line_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), width=3)
     return out.select("doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the mix needs a document's number of words, not its text
+    docs = _table(spark, sf_dir, "documents", "doc_id", "source", F.regexp_count("text", F.lit(mixing.WORD)).alias("n_words"))
+    out = mixing.mix_sources(docs, size=F.col("n_words"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op8_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.phrase_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumnRenamed("edited_text_sha256", "edited_sha256")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.identify(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), sample_per_language=4000)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op8_best_fit_pack": op8_best_fit_pack,
+    "op9_phrase_fingerprints": op9_phrase_fingerprints,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
