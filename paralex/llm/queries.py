@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralex.llm import langid, mixing, packing, phrases, secrets, windows
+from paralex.llm import jaccard, langid, mixing, packing, permutation, phrases, secrets, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -53,11 +53,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.permutation_search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.jaccard_groups(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_mix_sources": op5_mix_sources,
+    "op6_permutation_search": op6_permutation_search,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_phrase_fingerprints": op9_phrase_fingerprints,
     "op10_language_id": op10_language_id,
