@@ -5,7 +5,7 @@ are its pieces' ids in a row.  Pieces are found with NumPy; each worker encodes
 
 Packing.  Only lengths matter, so documents are cut and measured first; then items are dealt into blocks of some ten
 thousand by a hash of their document, and every block is packed on its own: items go longest first, each to the gap
-(or to a new sequence) that makes the sum over gaps of the squared number of open sequences smallest.  A block leaves
+that makes the sum over gaps of the squared number of open sequences smallest, or to a new sequence where none fits.  A block leaves
 few sequences open, whatever the size of the corpus, and the blocks' open sequences are few per ten thousand items.
 """
 
@@ -142,11 +142,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             sequence[k] = made
             made += 1
             continue
-        # of moving a sequence from gap h to h - size; a full one is open no more, a new one comes from no gap
+        # of moving a sequence from gap h to h - size (a full one is open no more); a new one only where none fits
         change = 2 * (count[: capacity + 1 - size] - count[size:]) + 2
         change[0] = 1 - 2 * count[size]
-        change[count[size:] == 0] = 1 << 40
-        change[-1] = 1 + 2 * count[capacity - size]
+        change[count[size:] == 0] = 1 << 62
+        change[-1] = 1 << 61
         gap = size + int(np.argmin(change))
         if gap == capacity:
             sequence[k], offset[k] = made, 0
