@@ -29,6 +29,7 @@ from paralex.llm.common import (
     passes,
     run_hashes,
     shuffle_partitions,
+    small_batches,
     squeeze,
     stash,
     uncut7,
@@ -230,7 +231,7 @@ def _verify(percent: int):
 
             def sides(key, n, h, level, made=made):
                 if key not in made:
-                    if len(made) > 4000:
+                    if len(made) > 400:
                         made.clear()
                     h, level = np.frombuffer(h, U), np.frombuffer(level, np.uint8)
                     made[key] = h, [np.sort(prefix(h, level, n, percent, o)) for o in range(1, ORDERS)]
@@ -269,13 +270,16 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     asks = docs.select("text").mapInArrow(_requests(shingle, buckets), "b int, hashes binary, sets binary, counts binary, sizes binary")
     tells = asks.groupBy("b").applyInArrow(_frequencies(groups), "g int, hashes binary, classes binary, sets binary, counts binary, sizes binary")
     sets = stash(tells.groupBy("g").applyInArrow(_survivors(percent), SETS), "sets")
-    postings = stash(sets.mapInArrow(_postings(percent), "token long, set long, n int, place int"), "postings")
+    with small_batches(spark, 400):
+        postings = stash(sets.mapInArrow(_postings(percent), "token long, set long, n int, place int"), "postings")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that pass; the side that may repeat without bound (b) is joined first, without texts."""
         side = lambda p: sets.select(F.col("set").alias(p), F.col("n").alias(f"{p}n"), F.col("shingles").alias(f"{p}h"), F.col("levels").alias(f"{p}l"))
         wide = pairs.join(side("b"), "b").join(side("a"), "a")
-        return stash(wide.select("a", "an", "ah", "al", "b", "bn", "bh", "bl").mapInArrow(_verify(percent), "a long, b long"), "linked")
+        wide = wide.select("a", "an", "ah", "al", "b", "bn", "bh", "bl")
+        with small_batches(spark, 400):  # a row holds two whole sets
+            return stash(wide.mapInArrow(_verify(percent), "a long, b long"), "linked")
 
     def sized(x: str, y: str):
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paralex.llm import jaccard, langid, mixing, packing, permutation, phrases, secrets, windows
+from paralex.llm import jaccard, langid, mixing, mixmodel, packing, permutation, phrases, secrets, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+def op7_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixmodel.mixing_scores(_table(spark, sf_dir, "documents", "doc_id", "text"), parts=5, part=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_permutation_search": op6_permutation_search,
+    "op7_mixing_scores": op7_mixing_scores,
     "op8_best_fit_pack": op8_best_fit_pack,
     "op9_phrase_fingerprints": op9_phrase_fingerprints,
     "op10_language_id": op10_language_id,
