@@ -1 +1 @@
-
+"""Column functions: text rules and tensor-shaped expressions."""

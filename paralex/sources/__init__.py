@@ -1 +1 @@
-
+"""Readers and sinks of parallel data, events and manifests."""
