@@ -6,13 +6,14 @@ different hash in each order.  Two sets that overlap enough share a prefix shing
 intersected before the sets themselves are compared.
 
 Equal sets are one class from the start, and all classes are known by a hash.  Large groups of near copies don't make
-all pairs: every class is first compared to a few pivots, one for each of its first prefix shingles; what links joins
+all pairs: every class is first compared to a few pivots, one for each of its commonest prefix shingles; what links joins
 one component, and afterwards only pairs of classes in different components are still compared - all of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,11 @@ from paralex.llm.common import (
 from paralex.llm.components import connected_components
 
 ORDERS = 3
-#: Prefix shingles by which a class meets pivots.
+#: Prefix shingles by which a class meets pivots: its commonest ones, which are what large groups of copies share.
 STARS = 4
+#: Lower ends of frequency classes (log2): no more shingles are common to two sets than the lesser has, class by class.
+KINDS = [1, 2, 3, 6]
+KIND_NAMES = [f"m{k}" for k in range(len(KINDS))]
 #: Bytes of text whose sets go out in one set of rows.
 FLUSH_BYTES = 8 << 20
 ASK_ARROW = pa.schema([("b", pa.int32()), ("hashes", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
@@ -178,7 +182,7 @@ def needed(n, percent: int):
 def prefix(shingles: np.ndarray, level: np.ndarray, n: int, percent: int, order: int) -> np.ndarray:
     """The shared shingles in a set's prefix under an order; those that no other set has come before them."""
     length = n - int(needed(n, percent)) + 1 - (n - len(shingles))
-    rank = np.lexsort((mix(shingles + U(order) * U(0x9E3779B97F4A7C15)), level))
+    rank = np.lexsort((mix(shingles + U(order * 0x9E3779B97F4A7C15 % (1 << 64))), level))
     return shingles[rank[:length]]
 
 
@@ -209,14 +213,18 @@ SETS = "set long, n int, shingles binary, levels binary"
 def _postings(percent: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, key, size, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            token, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            size, place = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            kinds = [[np.zeros(0, np.int32)] for _ in KINDS]
             for s, n, h, level in zip(*(batch.column(c).to_pylist() for c in SETS_ARROW.names), strict=True):
                 found = prefix(np.frombuffer(h, U), np.frombuffer(level, np.uint8), n, percent, 0)
                 token.append(found.view(np.int64))
                 key.append(np.full(len(found), s))
                 size.append(np.full(len(found), n, np.int32))
-                place.append(np.arange(len(found), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, key, size, place)], ["token", "set", "n", "place"])
+                for have, count in zip(kinds, np.bincount(np.searchsorted(KINDS, np.frombuffer(level, np.uint8), "right") - 1, minlength=len(KINDS)), strict=True):
+                    have.append(np.full(len(found), count, np.int32))
+                place.append(np.arange(len(found), dtype=np.int32)[::-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, key, size, place, *kinds)], ["token", "set", "n", "place", *KIND_NAMES])
 
     return postings
 
@@ -271,7 +279,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     tells = asks.groupBy("b").applyInArrow(_frequencies(groups), "g int, hashes binary, classes binary, sets binary, counts binary, sizes binary")
     sets = stash(tells.groupBy("g").applyInArrow(_survivors(percent), SETS), "sets")
     with small_batches(spark, 400):
-        postings = stash(sets.mapInArrow(_postings(percent), "token long, set long, n int, place int"), "postings")
+        postings = stash(sets.mapInArrow(_postings(percent), "token long, set long, n int, place int, " + ", ".join(f"{c} int" for c in KIND_NAMES)), "postings")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that pass; the side that may repeat without bound (b) is joined first, without texts."""
@@ -281,15 +289,21 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
         with small_batches(spark, 400):  # a row holds two whole sets
             return stash(wide.mapInArrow(_verify(percent), "a long, b long"), "linked")
 
-    def sized(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    # every class and a few pivots
-    chance = F.xxhash64("token", "set")
-    pivots = postings.groupBy("token").agg(F.min(F.struct(chance.alias("chance"), F.col("set"), F.col("n"))).alias("p"))
-    pivots = stash(pivots.select("token", F.col("p.set").alias("b"), F.col("p.n").alias("bn")), "pivots")
-    pairs = postings.where(F.col("place") < STARS).join(pivots, "token").where((F.col("set") != F.col("b")) & sized("n", "bn"))
-    links = linked(pairs.select(F.col("set").alias("a"), "b").distinct())
+    def may(x: str, y: str):
+        """Whether two sets could overlap enough, by how many of their shingles other sets have."""
+        both = reduce(lambda s, c: s + F.least(f"{x}{c}", f"{y}{c}"), KIND_NAMES[1:], F.least(f"{x}m0", f"{y}m0"))
+        return 100 * both >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - both)
+
+    def side(df: DataFrame, x: str, *others: str) -> DataFrame:
+        return df.select("token", F.col("set").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", *KIND_NAMES, *others)))
+
+    # every class and a few pivots: of a shingle's classes the one with the fewest shingles of its own, which is nearest
+    # to what copies have in common
+    own = F.col("n") - reduce(lambda x, c: x + F.col(c), KIND_NAMES[1:], F.col("m0"))
+    lead = F.struct(own.alias("own"), F.xxhash64("token", "set").alias("chance"), *("set", "n", *KIND_NAMES))
+    pivots = stash(side(postings.groupBy("token").agg(F.min(lead).alias("p")).select("token", "p.*"), "b"), "pivots")
+    pairs = side(postings.where(F.col("place") < STARS), "a").join(pivots, "token").where((F.col("a") != F.col("b")) & may("a", "b"))
+    links = linked(pairs.select("a", "b").distinct())
     parts = stash(connected_components(links), "parts")
 
     # all pairs of classes that are still apart
@@ -298,9 +312,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     mixed = apart.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     mixed = stash(mixed, "mixed")
     apart = apart.join(mixed, "token", "left_semi")
-    one_side = apart.select("token", F.col("set").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-    other = apart.select("token", F.col("set").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-    rest = one_side.join(other, "token").where((F.col("ar") < F.col("br")) & sized("an", "bn")).select("a", "b").distinct()
+    rest = side(apart, "a", "root").join(side(apart, "b", "root"), "token")
+    rest = rest.where((F.col("aroot") < F.col("broot")) & may("a", "b")).select("a", "b").distinct()
     more = linked(rest)
     roots = connected_components(links.union(more)).withColumnsRenamed({"node": "set"})
 
