@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from paralex.llm.common import U, mix, one, passes
 
 PROFILE = 400
+#: Bytes of text whose n-grams are sorted at once.
+SORT_BYTES = 1 << 19
 MARK = 1
 _letters: list[np.ndarray] = []
 
@@ -78,7 +80,7 @@ def train(docs: DataFrame, sample_per_language: int = 4000, size: int = PROFILE)
         for batch in batches:
             texts = one(batch.column("text"))
             names, lang = np.unique(batch.column("lang").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-            for lo, hi in passes(texts):
+            for lo, hi in passes(texts, SORT_BYTES):
                 of, gram = grams(texts.slice(lo, hi - lo).to_pylist())
                 of, gram, n = counted(lang[lo:hi][of], gram)
                 yield pa.RecordBatch.from_arrays([pa.array(names[of].tolist(), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
@@ -131,7 +133,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFIL
         for batch in batches:
             texts = one(batch.column("text"))
             lang, score = [], []
-            for lo, hi in passes(texts):
+            for lo, hi in passes(texts, SORT_BYTES):
                 if not names:
                     lang += ["und"] * (hi - lo)
                     score += [0.0] * (hi - lo)
