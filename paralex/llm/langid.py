@@ -47,7 +47,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.concatenate([[0], doc])
     letter = x != MARK
     pairs = letter[:-1] | letter[1:]
-    triples = letter[1:-1] & (letter[:-2] | letter[2:])
+    triples = letter[1:-1]
     codes = np.concatenate([x[letter], ((x[:-1] << U(21)) | x[1:])[pairs], ((x[:-2] << U(42)) | (x[1:-1] << U(21)) | x[2:])[triples]])
     of = np.concatenate([doc[letter], doc[1:][pairs], doc[2:][triples]])  # the last character tells the document
     return of, mix(codes) >> U(24)
