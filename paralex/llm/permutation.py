@@ -86,7 +86,7 @@ def _search(k: int, share: float, least: int):
     return search
 
 
-def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, share: float = 0.06, least: int = 256) -> DataFrame:
+def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, share: float = 0.06, least: int = 512) -> DataFrame:
     """The k nearest found for each query of vectors (vec_id, embedding): query_id, rank, vec_id, score.
 
     Nearest is by largest inner product, ties to smaller vec_id.  is_query marks the queries; candidates are all rows
