@@ -149,7 +149,7 @@ def read_records(spark: SparkSession, path: str, reverse: bool = False) -> DataF
     """The platform's own JSON Lines; a malformed line fails the load; reverse swaps the two sides."""
     schema = "source string, target string, origin string, row_number long, domain string"
     rows = spark.read.schema(schema).json(path, mode="FAILFAST")
-    return rows.withColumnsRenamed({"source": "target", "target": "source"}).select("source", "target", "origin", "row_number", "domain") if reverse else rows
+    return rows.select(F.col("target").alias("source"), F.col("source").alias("target"), "origin", "row_number", "domain") if reverse else rows
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -209,3 +209,59 @@ def test_events(spark, tmp_path):
     query.stop()
     got = spark.table("stops").orderBy("step").collect()
     assert [r["streak"] for r in got] == [0, 0, 1, 2, 0, 1, 2, 3] and got[-1]["stopped"] and got[-1]["best"] == 3.9
+
+
+def test_subword(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from paralex.functions import subword
+    from paralex.operators import encode
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([("Hello there", "Hallo du", None), ("", "x " * 50, "d")], "source string, target string, domain string")
+    got = encode.encoded(rows, path, path)
+    plain = subword.processor(path).encode("Hello there")
+    first = got.where("source = 'Hello there'").first()
+    assert first["source_ids"] == [1, *plain, 2] and first["length"] == max(len(first["source_ids"]), len(first["target_ids"]))
+    assert encode.within(got, 20).count() == 1 and encode.lengths_report(got, 20).first()["skipped_overlength"] == 1
+    assert encode.encoded(rows, path, path, reverse=True).first()["source"] == "Hallo du"
+    assert [r["d"] for r in got.select(subword.decode(F.col("source_ids"), path).alias("d")).collect()] == ["Hello there", ""]
+    assert got.select(subword.pieces(F.col("source"), path).alias("p")).first()["p"] == subword.processor(path).encode("Hello there", out_type=str)
+
+
+def test_decoding(spark):
+    import numpy as np
+
+    from paralex.operators import decode
+
+    def load():
+        def logits(source, target):
+            out = np.zeros(8)
+            out[source[len(target) - 1] if len(target) <= len(source) else 2] = 5.0
+            return out
+
+        return logits
+
+    assert decode.greedy(load(), [4, 5], 1, 2, 10)[0] == [1, 4, 5, 2]
+    assert decode.beam(load(), [4, 5], 1, 2, 10, width=3)[0] == [1, 4, 5, 2]
+    assert len(decode.greedy(load(), [4] * 50, 1, 2, 6)[0]) == 6
+    rows = spark.createDataFrame([(0, [4, 5]), (1, [6])], "k int, source_ids array<int>")
+    got = decode.translate(rows, load, 1, 2, 10, width=2).orderBy("k").collect()
+    assert [r["output_ids"] for r in got] == [[1, 4, 5, 2], [1, 6, 2]] and all(0 < r["confidence"] <= 1 for r in got)
+
+
+def test_settings_and_commands(spark, tmp_path, capsys):
+    from paralex import cli
+    from paralex.sources import config
+
+    assert config.merged({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}, "d": 3}) == {"a": {"b": 1, "c": [2]}, "d": 3}
+    run = config.Experiment(str(tmp_path / "runs"))
+    run.start({"pair": "aa-bb"})
+    run.metric({"event": "train", "step": 1})
+    run.finish({"status": "candidate"})
+    assert readers.experiments(spark, str(tmp_path / "runs"), "experiment_id string, pair string").first()["pair"] == "aa-bb"
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.tsv").write_text("one\teins\none\teins\n\ttwo\n", "utf-8")
+    cli.main(["dataset", "prepare", str(tmp_path)])
+    out = json.loads(capsys.readouterr().out)
+    assert (out["accepted_rows"], out["duplicate_rows"], out["empty_rows"]) == (1, 1, 1)
+    assert readers.read_document(spark, f"{tmp_path}/prepared/current.json")["dataset_version"] == out["dataset_version"]
