@@ -30,7 +30,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes that one NumPy pass takes at most; a longer document is a pass of its own.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 #: Bytes of (compressed) input that one group of documents takes, about.
 GROUP_BYTES = 4 << 20
 _MULT = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
