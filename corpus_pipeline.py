@@ -14,8 +14,9 @@ from paralex.llm import jaccard, langid, mixing, packing, windows
 from paralex.llm.common import stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text less like every learned language than this is in none of them (known languages score 0.4 or more).
-LEAST_SCORE = 0.3
+#: A text less like every learned language than this is in none of them: texts of known languages score 0.35 or more,
+#: other scripts, random letters and encoded data less than 0.2.
+LEAST_SCORE = 0.2
 TOKENIZER = "byte_bpe_50k.json"
 
 
