@@ -265,3 +265,20 @@ def test_settings_and_commands(spark, tmp_path, capsys):
     out = json.loads(capsys.readouterr().out)
     assert (out["accepted_rows"], out["duplicate_rows"], out["empty_rows"]) == (1, 1, 1)
     assert readers.read_document(spark, f"{tmp_path}/prepared/current.json")["dataset_version"] == out["dataset_version"]
+
+
+def test_compare_versions(spark):
+    from paralex.operators import evaluate
+
+    rows = [(k, f"source {k}", f"the reference number {k} is here", f"the reference number {k} is here") for k in range(5)]
+    schema = "row_id long, source string, reference string, candidate string"
+    a = spark.createDataFrame(rows, schema)
+    b = spark.createDataFrame([(k, s, r, c.replace("here", "there") if k == 2 else c) for k, s, r, c in rows if k], schema)
+    limits = {"minimum_chrf_change": 0.0, "maximum_bleu_regression": 0.5, "maximum_number_accuracy_regression": 0.1, "maximum_placeholder_accuracy_regression": 0.0}
+    got = evaluate.compare_versions(a, b, limits)
+    assert got["changed"] == 1 and got["samples"][0]["row_id"] == 2 and not got["gates"]["passed"] and got["interpretation"]["regressed"]
+    assert abs(got["metrics"]["a"]["bleu"] - 100) < 1e-9 and got["metrics"]["deltas"]["chrf"] < 0 and got["metrics"]["a"]["sentence_count"] == 4
+    v = views.versions(spark)
+    assert evaluate.find_version([v.limit(3), v.exceptAll(v.limit(3))], "v2.0.0") == "aa-bb-aa-to-bb-v2.0.0"
+    with pytest.raises(LookupError):
+        evaluate.find_version([v], "v7.0.0")
