@@ -23,7 +23,8 @@ from paralex.llm.common import SPACE, Texts, one, passes, run_hashes, stash
 
 BLOCK_ITEMS = 12_000
 #: Distinct pieces whose ids a worker keeps before it starts anew.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
+ENCODED_AT_ONCE = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
 
 
@@ -44,8 +45,9 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _add(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [x.ids for x in found]
+        ids: list[list[int]] = []
+        for k in range(0, len(texts), ENCODED_AT_ONCE):  # an encoding holds much besides its ids
+            ids += [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + ENCODED_AT_ONCE], add_special_tokens=False)]
         n = len(self.at) - 1
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
         self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
