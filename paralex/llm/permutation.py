@@ -5,6 +5,11 @@ an inverted file for every pivot: the rank that each row gives it.  A query walk
 and adds up, for every row, how far the ranks differ (the footrule distance); the rows of least footrule, ties included,
 are reranked by the exact measure.
 
+Footrule only decides who comes first.  The index also holds each row's length and its angle to its nearest pivot, and
+angles obey the triangle inequality: a row's inner product is at most both lengths times the cosine of the difference
+between its own and the query's angle to that pivot.  Every other row whose bound reaches the k-th best score so far is
+scored too, so each block gives its exact k nearest, whatever the lengths and however the rows cluster.
+
 The query set is stated (a share of all rows), so queries meet all rows in blocks: block by block of rows and of
 queries, and each pair of blocks returns the k nearest of each query.
 """
@@ -23,6 +28,8 @@ from paralex.llm.common import one
 
 PIVOTS = 128
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Radians, and parts of the product of lengths, that rounding may cost.
+SLACK = 1e-6
 NEAREST = "query_id long, vec_id long, score double"
 
 
@@ -47,19 +54,34 @@ def ranks(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
+def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Of each vector (row), the angle to each pivot (column)."""
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def bounds(length: np.ndarray, angle: np.ndarray, asked_length: float, asked_angle: np.ndarray) -> np.ndarray:
+    """At most so large is each row's inner product with the query; SLACK covers rounding, and no number is no bound."""
+    away = np.maximum(0.0, np.abs(angle - asked_angle) - SLACK)
+    most = asked_length * length * (np.cos(away) + SLACK)
+    return np.where(np.isfinite(most), most, np.inf)
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(k: int, share: float, least: int):
+def _search(k: int, share: float, least: int, pivots: np.ndarray):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         ids, vectors = one(rows["vec_id"]).to_numpy(), matrix(one(rows["embedding"]))
         width = len(rows["ranks"][0].as_py()) if len(rows) else 0
         # one file for each pivot: the ranks of all rows
         files = np.ascontiguousarray(np.frombuffer(b"".join(rows["ranks"].to_pylist()), np.uint8).reshape(len(rows), width).T).astype(np.int16)
+        length, angle, closest = one(rows["length"]).to_numpy(), one(rows["angle"]).to_numpy(), files.argmin(axis=0) if width else np.zeros(0, np.int64)
         depth = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
         out: list[list[np.ndarray]] = [[], [], []]
         asked, asked_vectors, asked_ranks = one(queries["vec_id"]).to_numpy(), matrix(one(queries["embedding"])), queries["ranks"].to_pylist()
+        asked_lengths, asked_angles = one(queries["length"]).to_numpy(), angles(asked_vectors, pivots) if len(asked) else np.zeros((0, width))
         away, total = np.empty(len(ids), np.int16), np.empty(len(ids), np.int32)
         part = np.empty(len(ids), np.int16)
         for q, own in enumerate(asked_ranks if len(ids) else []):
@@ -74,9 +96,16 @@ def _search(k: int, share: float, least: int):
                     total += part
                     part[:] = 0
             bound = np.partition(total, depth - 1)[depth - 1]
-            near = np.flatnonzero(total <= bound)
-            near = near[ids[near] != asked[q]]
+            first = (total <= bound) & (ids != asked[q])
+            near = np.flatnonzero(first)
             score = (vectors[near] * asked_vectors[q]).sum(axis=1)
+            reach = np.partition(score, -k)[-k] if len(score) >= k else -np.inf  # what a row must score to enter
+            rest = ~first & (ids != asked[q]) & ~(bounds(length, angle, asked_lengths[q], asked_angles[q][closest]) < reach)
+            rest = np.flatnonzero(rest)
+            # a fast product leaves out those clearly below; the others are scored as the first ones are
+            roughly = vectors[rest] @ asked_vectors[q] + SLACK * asked_lengths[q] * length[rest]
+            rest = rest[~(roughly < reach)]
+            near, score = np.concatenate([near, rest]), np.concatenate([score, (vectors[rest] * asked_vectors[q]).sum(axis=1)])
             top = best(ids[near], score, k)
             for x, y in zip(out, (np.full(len(top), asked[q]), ids[near][top], score[top]), strict=True):
                 x.append(y)
@@ -87,11 +116,12 @@ def _search(k: int, share: float, least: int):
 
 
 def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, share: float = 0.06, least: int = 512) -> DataFrame:
-    """The k nearest found for each query of vectors (vec_id, embedding): query_id, rank, vec_id, score.
+    """The k nearest of each query of vectors (vec_id, embedding): query_id, rank, vec_id, score.
 
     Nearest is by largest inner product, ties to smaller vec_id.  is_query marks the queries; candidates are all rows
     but those of the query's own id.  The index is fitted on `pivots` rows (at most 256) chosen by a hash of vec_id, and
-    holds every row.  share and least: the part of a block's rows that is reranked, and how many at least.
+    holds every row.  share and least: the part of a block's rows that is reranked first, and how many at least; all
+    others that a bound does not exclude follow.
 
     Rows of null vec_id take no part, nor do vectors that are null, zero or hold a null or non-finite component, nor
     those whose length is not the commonest (of equals the least).  Of rows of one vec_id the least vector counts.  Equal
@@ -111,17 +141,20 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = ranks(matrix(one(batch.column("embedding"))), fixed)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary())], [*batch.schema.names, "ranks"])
+            x = matrix(one(batch.column("embedding")))
+            found = ranks(x, fixed)
+            length = np.linalg.norm(x, axis=1)
+            angle = angles(x, fixed)[np.arange(len(x)), found.argmin(axis=1)] if len(x) else length
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary()), pa.array(length), pa.array(angle)], [*batch.schema.names, "ranks", "length", "angle"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
     row_blocks = -(-common[0]["n"] // ROW_BLOCK)
     query_blocks = -(-common[0]["queries"] // QUERY_BLOCK)
-    indexed = rows.mapInArrow(index, f"vec_id long, embedding {kind}, query boolean, ranks binary")
+    indexed = rows.mapInArrow(index, f"vec_id long, embedding {kind}, query boolean, ranks binary, length double, angle double")
     block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = indexed.withColumn("rb", block(row_blocks, 1)).withColumn("qb", every(query_blocks)).drop("query")
     asked = indexed.where("query").withColumn("qb", block(query_blocks, 2)).withColumn("rb", every(row_blocks)).drop("query")
-    pairs = held.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search(k, share, least), NEAREST)
+    pairs = held.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search(k, share, least, fixed), NEAREST)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

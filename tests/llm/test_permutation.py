@@ -37,6 +37,27 @@ def test_recall(spark, scale):
         assert found[0] == want[0] == list(range(1000, 1020))
 
 
+@pytest.mark.parametrize("kind", ["cluster", "tight cluster", "lengths"])
+def test_skewed_vectors_are_found(spark, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lengths":
+        x *= rng.lognormal(0, 0.5, (len(x), 1))
+    else:
+        noise = rng.normal(size=(3000, 64)) / 8
+        x[:3000] = x[0] + noise * (0.3 if kind == "cluster" else 0.02)
+    ids = rng.permutation(len(x))
+    docs = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = permutation_search(docs, F.col("vec_id") % 100 == 0, k=20).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {q: near for q, near in brute(ids, x, 20).items() if q % 100 == 0}
+    recall = [len(set(found[q]) & set(want[q])) / 20 for q in want]
+    assert np.mean(recall) >= 0.9 and found == want
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, None), (40, [0.0, 0.0]), (60, [1.0, None]), (80, [float("nan"), 1.0]), (100, [float("inf"), 1.0]), (120, [1.0]), (None, [1.0, 1.0]), (140, [0.0, -1.0]), (1, [0.5, 0.5])]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
