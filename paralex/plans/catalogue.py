@@ -560,6 +560,18 @@ def pad_and_shift(spark, d):
     return tensor.pad_and_shift(rows, "batch", "ids", "ids").select("doc_id", "source_padded", "target_in", "target_out")
 
 
+SQL_WHOLE = r"lens AS (SELECT doc_id, doc_id // 10 AS batch, list_transform(string_split({0}, ' '), lambda w: length(w)::INT) AS ids FROM documents WHERE text IS NOT NULL)".replace("{0}", V.SQL_COLLAPSE.format("text"))
+
+
+@query(f"WITH {SQL_WHOLE}, w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM lens), p AS (SELECT doc_id, list_concat(ids, list_transform(range(0, m - len(ids)), lambda i: 0)) AS padded, m FROM w) SELECT doc_id, padded AS source_padded, padded[1:m - 1] AS target_in, padded[2:m] AS target_out FROM p")
+def pad_and_shift_whole(spark, d):
+    """pad_and_shift over all words of every text, in batches of ten documents."""
+    docs = V.table(spark, d, "documents").where(F.col("text").isNotNull())
+    ids = F.transform(F.split(T.collapse(F.col("text")), " "), F.length)
+    rows = docs.select("doc_id", F.expr("doc_id div 10").alias("batch"), ids.alias("ids"))
+    return tensor.pad_and_shift(rows, "batch", "ids", "ids").select("doc_id", "source_padded", "target_in", "target_out")
+
+
 SQL_LOGP = "x AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT vec_id, label, x, list_transform(x, lambda v: v - (ln(list_sum(list_transform(x, lambda u: exp(u - list_max(x))))) + list_max(x))) AS lp FROM x)"
 
 
