@@ -251,6 +251,13 @@ def token_weighted_loss(spark, d):
     return out.select(F.round("loss", 6).alias("loss"), F.round("perplexity", 3).alias("perplexity"))
 
 
+@query(f"WITH {V.SQL_RUNS} SELECT round(sum(loss * step) / sum(step), 6) AS loss, round(exp(least(sum(loss * step) / sum(step), 50)), 3) AS perplexity FROM runs")
+def token_weighted_loss_whole(spark, d):
+    """token_weighted_loss over all events."""
+    out = metrics.weighted_loss(V.runs(spark, d), "loss", "step")
+    return out.select(F.round("loss", 6).alias("loss"), F.round("perplexity", 3).alias("perplexity"))
+
+
 @query(f"WITH {V.SQL_RUNS} SELECT round(sum((event = 'click')::INT)::DOUBLE / greatest(1, count(*)), 9) AS unknown_token_rate FROM runs")
 def unknown_rate(spark, d):
     rows = V.runs(spark, d).select((F.col("event") == "click").cast("int").alias("u"), F.lit(1).alias("g"))
@@ -280,6 +287,13 @@ def domain_pool_semi(spark, d):
     return replay.domain_pool(history, new.where("domain <> 'en'")).select("ord")
 
 
+@query(f"WITH {V.SQL_PAIRS}, {SQL_NEW} SELECT ord FROM history h WHERE EXISTS (SELECT 1 FROM new n WHERE n.domain = h.domain AND n.domain <> '')")
+def domain_pool_semi_whole(spark, d):
+    """domain_pool_semi with the domains of all new rows."""
+    new, history = _replay(spark, d)
+    return replay.domain_pool(history, new).select("ord")
+
+
 def _sql_mixture(count: str, pool: str = "history") -> str:
     return f"WITH {V.SQL_PAIRS}, {SQL_NEW} SELECT ord, FALSE AS replayed FROM new UNION ALL SELECT ord, TRUE FROM (SELECT ord FROM {pool} ORDER BY sha256('7:' || ord), ord LIMIT ({count}))"
 

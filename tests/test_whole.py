@@ -10,3 +10,16 @@ def test_pad_and_shift_takes_all_words(spark, tmp_path):
     ids = {1: [1] * 45 + [3] + [0] * 84, 2: [2, 2] + [0] * 128, 3: [4] * 130, 11: [1]}
     assert {k: r["source_padded"] for k, r in got.items()} == ids
     assert all(r["target_in"] == ids[k][:-1] and r["target_out"] == ids[k][1:] for k, r in got.items())
+
+
+def test_domain_pool_takes_all_domains(spark, tmp_path):
+    rows = [(3, "a\nb", "en"), (6, "c\nd", "de"), (4, "e\nf", "en"), (5, "g\nh", "de"), (7, "i\nj", "fr"), (8, "k\nl", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["domain_pool_semi_whole"](spark, str(tmp_path)).collect()
+    assert sorted(r["ord"] >> 24 for r in got) == [4, 5, 8]
+
+
+def test_weighted_loss_takes_all_events(spark, tmp_path):
+    rows = [(1, 1, "click", 1.0), (1, 2, "view", 4.0), (2, 3, "view", 2.0)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert QUERIES["token_weighted_loss_whole"](spark, str(tmp_path)).first()["loss"] == 2.5
