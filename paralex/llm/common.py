@@ -15,6 +15,8 @@ thus asked for once per group, whatever its frequency, and no bucket ever holds
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -42,9 +44,12 @@ _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, a local one stands in,
+    which only a local master (tests) can share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "/tmp/checkpoints"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(where)
@@ -87,6 +92,18 @@ def group_of(key: Column, groups: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
 
 
+def dealt(groups: int) -> Column:
+    """The group of a row (doc_id, text): rows of one doc_id go together, those without one by their text."""
+    return group_of(F.coalesce(F.col("doc_id"), F.xxhash64("text")), groups)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker waits for its next task no larger than it began."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- bytes
 
 
@@ -109,18 +126,6 @@ def unpack_rising(x: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(U), dtype=U)
 
 
-def cut7(h: np.ndarray) -> bytes:
-    """The lower seven bytes of each hash; the bucket fixes part of the eighth."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-
-
-def uncut7(x: bytes) -> np.ndarray:
-    b = np.frombuffer(x, np.uint8).reshape(-1, 7)
-    out = np.zeros((len(b), 8), np.uint8)
-    out[:, :7] = b
-    return out.reshape(-1).view("<u8").astype(U)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: every input bit moves every output bit."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -139,9 +144,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rabin-Karp: the hash of values[s:e] for each (s, e), from prefix sums; equal runs have equal hashes."""
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Rabin-Karp: the hash of values[s:e] for each (s, e), from prefix sums; equal runs have equal hashes.
+
+    salt: another value gives another hash, of values that are themselves hashes.
+    """
     up, down = powers(len(values) + 1)
+    if salt:
+        values = mix(values + U(salt))
     total = np.zeros(len(values) + 1, U)
     np.cumsum(values.astype(U) * up[: len(values)], out=total[1:], dtype=U)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))

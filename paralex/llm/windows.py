@@ -6,7 +6,10 @@ repeated; repeated windows merge into maximal removal intervals.
 
 Plan: documents are dealt into groups by a hash of doc_id.  Each group sends every distinct window hash once, with its
 first place in the group, to the bucket of the hash; the bucket finds each hash's first place overall and answers the
-other groups; each group then knows which of its windows start later.  Two shuffles, of 8 bytes a window and of the text.
+other groups; each group then knows which of its windows start later.  Two shuffles, of 9 bytes a window and of the text.
+
+Windows are told apart by two independent hashes: all 64 bits of the first, and 8 bits of the second with its bucket (so
+72 bits and the logarithm of the number of buckets, which grows with the corpus).
 """
 
 from __future__ import annotations
@@ -20,23 +23,24 @@ from paralex.llm.common import (
     SPACE,
     Texts,
     U,
-    cut7,
+    dealt,
+    give_back,
     group_count,
-    group_of,
     one,
     pack_rising,
     passes,
     run_hashes,
     shuffle_partitions,
     squeeze,
-    uncut7,
     unpack_rising,
     unsqueeze,
 )
 
 NULL_ID = -(1 << 63)
-ASK = "b int, g int, hashes binary, places binary, ids binary, counts binary"
-ASK_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), *((n, pa.binary()) for n in ("hashes", "places", "ids", "counts"))])
+SECOND = 0x2545F4914F6CDD1D
+ASK_PARTS = ("hashes", "checks", "places", "ids", "counts", "starts")
+ASK = "b int, g int, " + ", ".join(f"{n} binary" for n in ASK_PARTS)
+ASK_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), *((n, pa.binary()) for n in ASK_PARTS)])
 TELL = "g int, places binary"
 TELL_ARROW = pa.schema([("g", pa.int32()), ("places", pa.binary())])
 
@@ -48,8 +52,8 @@ def _ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("__key", "ascending"), ("__text", "ascending")])
 
 
-def _windows(texts: pa.Array, lo: int, hi: int, unit: str, width: int) -> tuple[Texts, np.ndarray, np.ndarray]:
-    """The pieces of rows [lo, hi), the piece that each window starts at, the window's hash."""
+def _windows(texts: pa.Array, lo: int, hi: int, unit: str, width: int) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of rows [lo, hi), the piece that each window starts at, the window's two hashes."""
     t = Texts(texts.slice(lo, hi - lo))
     t = t.words() if unit == "words" else t.lines()
     at = np.arange(max(0, len(t.starts) - width + 1))
@@ -58,7 +62,8 @@ def _windows(texts: pa.Array, lo: int, hi: int, unit: str, width: int) -> tuple[
         filled = np.concatenate([[0], np.cumsum(~SPACE[t.data])])
         filled = np.concatenate([[0], np.cumsum(filled[t.ends] > filled[t.starts])])
         at = at[filled[at + width] > filled[at]]
-    return t, at, run_hashes(t.hashes(), at, at + width)
+    pieces = t.hashes()
+    return t, at, run_hashes(pieces, at, at + width), run_hashes(pieces, at, at + width, SECOND)
 
 
 class _Group:
@@ -68,30 +73,29 @@ class _Group:
         table = _ordered(table)
         self.table, self.texts = table, one(table["__text"])
         self.ids = one(table["__key"]).to_numpy(zero_copy_only=False)
-        parts = [(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        parts = [(np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for lo, hi in passes(self.texts):
-            t, at, h = _windows(self.texts, lo, hi, unit, width)
+            t, at, h, second = _windows(self.texts, lo, hi, unit, width)
             doc = t.doc[at]
-            parts.append((h, (doc + lo).astype(np.int32), (at - t.first[doc]).astype(np.int32)))
-        h, self.row, self.start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append((h, second, (doc + lo).astype(np.int32), (at - t.first[doc]).astype(np.int32)))
+        h, second, self.row, self.start = (np.concatenate(x) for x in zip(*parts, strict=True))
         again = len(self.ids) > 1 and bool((self.ids[1:] == self.ids[:-1]).any())
-        order = np.lexsort((self.start, self.ids[self.row], h)) if again else np.argsort(h, kind="stable")
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = h[order[1:]] != h[order[:-1]]
-        self.hash, self.order, self.run = h, order, np.cumsum(fresh) - 1
+        order, fresh = sorted_runs(h, second, (self.start, self.ids[self.row]) if again else ())
+        self.hash, self.second, self.order, self.run = h, second, order, np.cumsum(fresh) - 1
         self.first = order[fresh]  # of each run, the earliest window
 
     def asks(self, g: int, buckets: int) -> pa.Table:
         first = np.sort(self.first)
-        h = self.hash[first]
-        bucket = ((h >> U(40)) % U(buckets)).astype(np.int64)
+        h, second = self.hash[first], self.second[first]
+        bucket = ((second >> U(8)) % U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         rows = []
         for k in np.flatnonzero(np.diff(cuts)):
             mine = by[cuts[k] : cuts[k + 1]]
             docs, counts = np.unique(self.row[first[mine]], return_counts=True)
-            rows.append((int(k), g, cut7(h[mine]), pack_rising(first[mine]), squeeze(self.ids[docs]), squeeze(counts.astype(np.uint32))))
+            nameless = first[mine][self.ids[self.row[first[mine]]] == NULL_ID]
+            rows.append((int(k), g, h[mine].tobytes(), second[mine].astype(np.uint8).tobytes(), pack_rising(first[mine]), squeeze(self.ids[docs]), squeeze(counts.astype(np.uint32)), squeeze(self.start[nameless])))
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ASK_ARROW, strict=True)], ASK_ARROW) if rows else ASK_ARROW.empty_table()
 
     def repeated(self, told: np.ndarray) -> np.ndarray:
@@ -105,21 +109,42 @@ class _Group:
         return out
 
 
+def sorted_runs(h: np.ndarray, check: np.ndarray, then: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal (h, check) lie together, within them by `then` (last key first, as lexsort has it) or as
+    they come, and a flag where each run begins."""
+    order = np.lexsort((*then, h)) if then else np.argsort(h, kind="stable")
+    same, alike = h[order[1:]] == h[order[:-1]], check[order[1:]] == check[order[:-1]]
+    if (same & ~alike).any():
+        order = np.lexsort((*then, check, h))
+        same, alike = h[order[1:]] == h[order[:-1]], check[order[1:]] == check[order[:-1]]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = ~(same & alike)
+    return order, fresh
+
+
 def _answers(rows: pa.Table) -> pa.Table:
-    """Of one bucket: each group's windows whose hash a document of smaller doc_id in another group has."""
+    """Of one bucket: each group's windows that start earlier in another group (of smaller doc_id; of null ones, which
+    several groups may hold, at a smaller start)."""
     parts = []
-    for g, hashes, places, ids, counts in zip(*(rows[n].to_pylist() for n in ASK_ARROW.names[1:]), strict=True):
+    for g, hashes, checks, places, ids, counts, starts in zip(*(rows[n].to_pylist() for n in ASK_ARROW.names[1:]), strict=True):
         doc = np.repeat(unsqueeze(ids, np.int64), unsqueeze(counts, np.uint32))
-        parts.append((uncut7(hashes), doc, unpack_rising(places), np.full(len(doc), g, np.int32)))
-    h, doc, place, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h)
-    h, doc = h[order], doc[order]
-    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    least = np.repeat(np.minimum.reduceat(doc, begins), np.diff(np.append(begins, len(h))))
-    late = order[doc > least]
+        start = np.zeros(len(doc), np.int32)
+        start[doc == NULL_ID] = unsqueeze(starts, np.int32)
+        parts.append((np.frombuffer(hashes, U), np.frombuffer(checks, np.uint8), doc, start, unpack_rising(places), np.full(len(doc), g, np.int32)))
+    h, check, doc, start, place, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, fresh = sorted_runs(h, check)
+    doc, start = doc[order], start[order]
+    begins = np.flatnonzero(fresh)
+    size = np.diff(np.append(begins, len(h)))
+    least = np.repeat(np.minimum.reduceat(doc, begins), size)
+    start = np.where(doc == NULL_ID, start, 0)
+    soonest = np.repeat(np.minimum.reduceat(np.where(doc == least, start, np.iinfo(np.int32).max), begins), size)
+    late = order[(doc > least) | (start > soonest)]
     late = late[np.lexsort((place[late], g[late]))]
     groups, cuts = np.unique(g[late], return_index=True)
-    return pa.table([pa.array(groups, pa.int32()), pa.array([pack_rising(place[x]) for x in np.split(late, cuts[1:])] if len(groups) else [], pa.binary())], TELL_ARROW)
+    out = pa.table([pa.array(groups, pa.int32()), pa.array([pack_rising(place[x]) for x in np.split(late, cuts[1:])] if len(groups) else [], pa.binary())], TELL_ARROW)
+    give_back()
+    return out
 
 
 def remove_repeats(docs: DataFrame, unit: str, width: int) -> DataFrame:
@@ -134,10 +159,12 @@ def remove_repeats(docs: DataFrame, unit: str, width: int) -> DataFrame:
     docs = docs.drop(*new)
     groups = group_count(docs)
     buckets = max(shuffle_partitions(docs.sparkSession), groups // 2)
-    docs = docs.withColumn("__g", group_of(F.col("doc_id"), groups))
+    docs = docs.withColumn("__g", dealt(groups))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        return _Group(table, unit, width).asks(key[0].as_py(), buckets)
+        out = _Group(table, unit, width).asks(key[0].as_py(), buckets)
+        give_back()
+        return out
 
     # without other columns the two sides share one shuffle of the text
     asks = docs.select("doc_id", "text", "__g").groupBy("__g").applyInArrow(ask, ASK)
@@ -169,6 +196,7 @@ def remove_repeats(docs: DataFrame, unit: str, width: int) -> DataFrame:
         else:
             out |= {"n_units": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.large_string()), "spans": pa.array([], SPANS)}
         out["kept_text"] = out["kept_text"].cast(pa.string())
+        give_back()
         return pa.table(out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
