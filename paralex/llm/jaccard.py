@@ -3,7 +3,11 @@
 Filters.  A shingle that no other set has can't be shared, so a set of which too few shingles occur elsewhere is out at
 once.  The rest meet by prefixes under several global orders: rarer shingles first, and among like frequencies by a
 different hash in each order.  Two sets that overlap enough share a prefix shingle under every order, so the filters are
-intersected before the sets themselves are compared.
+intersected, prefix against prefix, before the sets themselves meet.
+
+Frequencies.  Documents are dealt into groups.  A group sends each of its distinct shingles once, with the number of its
+sets that hold it, and is told a class of frequency for each; so a shingle that a third of all sets share costs an entry a
+group.  A set that several groups hold counts once in each, which loses no link: that is a filter and an order only.
 
 Equal sets are one class from the start, and all classes are known by a hash.  Large groups of near copies don't make
 all pairs: every class is first compared to a few pivots, one for each of its commonest prefix shingles; what links joins
@@ -23,17 +27,19 @@ from pyspark.sql import functions as F
 from paralex.llm.common import (
     Texts,
     U,
-    cut7,
+    give_back,
     group_count,
+    group_of,
     mix,
     one,
+    pack_rising,
     passes,
     run_hashes,
     shuffle_partitions,
     small_batches,
     squeeze,
     stash,
-    uncut7,
+    unpack_rising,
     unsqueeze,
 )
 from paralex.llm.components import connected_components
@@ -44,10 +50,10 @@ STARS = 4
 #: Lower ends of frequency classes (log2): no more shingles are common to two sets than the lesser has, class by class.
 KINDS = [1, 2, 3, 6]
 KIND_NAMES = [f"m{k}" for k in range(len(KINDS))]
-#: Bytes of text whose sets go out in one set of rows.
-FLUSH_BYTES = 8 << 20
-ASK_ARROW = pa.schema([("b", pa.int32()), ("hashes", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
-TELL_ARROW = pa.schema([("g", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("sets", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
+ASK_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+TELL_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("levels", pa.binary())])
+SETS = "doc_id long, n_shingles long, set long, shingles binary, levels binary"
+SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 
 
 def shingle_sets(t: Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,99 +85,88 @@ def _texts(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int
         yield lo, hi, Texts(column.slice(lo, hi - lo), lower=True).words()
 
 
-def _document_sets(k: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), one(batch.column("text"))
-            for lo, hi, t in _texts(texts):
-                _, upto, key = shingle_sets(t, k)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(upto).astype(np.int64)), pa.array(key.view(np.int64))], ["doc_id", "n_shingles", "set"])
-
-    return sets
-
-
 def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _requests(k: int, buckets: int):
-    """Every distinct set's shingles, sent to the buckets of their hashes."""
-
-    def out(parts: list) -> pa.RecordBatch:
-        key = np.concatenate([p[2] for p in parts])
-        size = np.concatenate([np.diff(p[1]) for p in parts])
-        h = np.concatenate([p[0] for p in parts])
-        _, first = np.unique(key, return_index=True)
-        keep = np.zeros(len(key), bool)
-        keep[first] = True
-        keep &= size > 1  # a set of one shingle has no partner but its equals
-        of = np.repeat(np.arange(len(key)), size)
-        mine = keep[of]
-        h, of = h[mine], of[mine]
+class _Group:
+    """The sets of a group of documents, and their distinct shingles."""
+
+    def __init__(self, texts: pa.Array, k: int):
+        parts = [shingle_sets(t, k) for _, _, t in _texts(texts)]
+        self.key = np.concatenate([p[2] for p in parts] + [np.zeros(0, U)])
+        self.size = np.concatenate([np.diff(p[1]) for p in parts] + [np.zeros(0, np.int64)])
+        self.shingles = np.concatenate([p[0] for p in parts] + [np.zeros(0, U)])
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        _, first = np.unique(self.key, return_index=True)
+        self.first = first[self.size[first] > 1]  # a set of one shingle has no partner but its equals
+
+    def distinct(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of distinct sets by bucket, then value; in how many of the sets each is; where buckets begin."""
+        own = np.zeros(len(self.key), bool)
+        own[self.first] = True
+        h, count = np.unique(self.shingles[np.repeat(own, self.size)], return_counts=True)
         bucket = ((h >> U(40)) % U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
         by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        rows = []
-        for b in np.flatnonzero(np.diff(cuts)):
-            x = by[cuts[b] : cuts[b + 1]]
-            begins = np.flatnonzero(np.concatenate([[True], of[x[1:]] != of[x[:-1]]]))
-            who = of[x[begins]]
-            counts = np.diff(np.append(begins, len(x)))
-            rows.append((int(b), cut7(h[x]), key[who].tobytes(), squeeze(counts.astype(np.uint32)), squeeze(size[who].astype(np.uint32))))
-        return _rows(ASK_ARROW, rows)
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            for _, _, t in _texts(one(batch.column("text"))):
-                parts.append(shingle_sets(t, k))
-                held += len(t.data)
-                if held >= FLUSH_BYTES:
-                    yield out(parts)
-                    parts, held = [], 0
-        if parts:
-            yield out(parts)
+        return h[by], count[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def _requests(k: int, buckets: int):
+    """Of a group: every distinct shingle once, with its count, sent to the bucket of its hash."""
+
+    def requests(key: tuple, table: pa.Table) -> pa.Table:
+        h, count, cuts = _Group(one(table["text"]), k).distinct(buckets)
+        count = np.minimum(count, 1 << 24).astype(np.uint32)
+        rows = [(int(b), key[0].as_py(), pack_rising(h[cuts[b] : cuts[b + 1]]), squeeze(count[cuts[b] : cuts[b + 1]])) for b in np.flatnonzero(np.diff(cuts))]
+        out = pa.Table.from_batches([_rows(ASK_ARROW, rows)], ASK_ARROW)
+        give_back()
+        return out
 
     return requests
 
 
-def _frequencies(groups: int):
-    """Of one bucket: for each set, its shingles that other sets have too, with a class of their frequency."""
-
-    def frequencies(table: pa.Table) -> pa.Table:
-        parts = []
-        for hashes, sets, counts, sizes in zip(*(table[n].to_pylist() for n in ASK_ARROW.names[1:]), strict=True):
-            counts = unsqueeze(counts, np.uint32)
-            parts.append((uncut7(hashes), np.repeat(np.frombuffer(sets, U), counts), np.repeat(unsqueeze(sizes, np.uint32), counts)))
-        h, key, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h)
-        hs = h[order]
-        same = hs[1:] == hs[:-1]
-        many = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-        h, key, size = h[many], key[many], size[many]
-        order = np.lexsort((key, h))
-        h, key, size = h[order], key[order], size[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])  # a set may have been sent more than once
-        h, key, size = h[fresh], key[fresh], size[fresh]
-        begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        df = np.diff(np.append(begins, len(h)))
-        df = np.repeat(df, df)
-        shared = df > 1
-        h, key, size, df = h[shared], key[shared], size[shared], df[shared]
-        level = np.floor(np.log2(df)).astype(np.uint8)
-        group = (key % U(groups)).astype(np.int64)
-        order = np.lexsort((key, group))
-        cuts = np.searchsorted(group[order], np.arange(groups + 1))
-        rows = []
-        for g in np.flatnonzero(np.diff(cuts)):
-            x = order[cuts[g] : cuts[g + 1]]
-            begins = np.flatnonzero(np.concatenate([[True], key[x[1:]] != key[x[:-1]]]))
-            counts = np.diff(np.append(begins, len(x)))
-            rows.append((int(g), cut7(h[x]), squeeze(level[x]), key[x[begins]].tobytes(), squeeze(counts.astype(np.uint32)), squeeze(size[x[begins]])))
-        return pa.Table.from_batches([_rows(TELL_ARROW, rows)], TELL_ARROW)
-
-    return frequencies
+def _frequencies(table: pa.Table) -> pa.Table:
+    """Of one bucket: to each group, a class of frequency for each shingle that it sent; 0: no other set has it."""
+    groups, hashes, counts = (table[n].to_pylist() for n in ASK_ARROW.names[1:])
+    parts = [unpack_rising(x) for x in hashes]
+    h = np.concatenate(parts)
+    order = np.argsort(h, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+    total = np.add.reduceat(np.concatenate([unsqueeze(x, np.uint32) for x in counts]).astype(np.int64)[order], begins)
+    level = np.empty(len(h), np.uint8)
+    level[order] = np.repeat(np.where(total > 1, np.floor(np.log2(total)), 0).astype(np.uint8), np.diff(np.append(begins, len(h))))
+    ends = np.cumsum([len(x) for x in parts])
+    out = pa.Table.from_batches([_rows(TELL_ARROW, [(table["b"][0].as_py(), g, squeeze(level[e - len(x) : e])) for g, x, e in zip(groups, parts, ends, strict=True)])], TELL_ARROW)
+    give_back()
+    return out
+
+
+def _sets(k: int, percent: int, buckets: int):
+    """Of a group: a row for each document, with its set; once for each set that may have a partner (enough of its
+    shingles are in other sets), those shingles and their classes of frequency."""
+
+    def sets(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        group = _Group(one(table["text"]), k)
+        h, _, cuts = group.distinct(buckets)
+        level = np.zeros(len(h), np.uint8)
+        for b, x in zip(told["b"].to_pylist(), told["levels"].to_pylist(), strict=True):
+            level[cuts[b] : cuts[b + 1]] = unsqueeze(x, np.uint8)
+        order = np.argsort(h, kind="stable")
+        h, level = h[order], level[order]
+        shingles: list = [None] * len(group.key)
+        levels: list = [None] * len(group.key)
+        for d in group.first:
+            mine = group.shingles[group.at[d] : group.at[d + 1]]
+            mine_level = level[np.searchsorted(h, mine)]
+            shared = mine_level > 0
+            if np.count_nonzero(shared) >= needed(group.size[d], percent):
+                shingles[d], levels[d] = mine[shared].tobytes(), mine_level[shared].tobytes()
+        out = [table["doc_id"], group.size.astype(np.int64), group.key.view(np.int64), pa.array(shingles, pa.binary()), pa.array(levels, pa.binary())]
+        out = pa.table(out, SET_NAMES)
+        give_back()
+        return out
+
+    return sets
 
 
 def needed(n, percent: int):
@@ -186,37 +181,15 @@ def prefix(shingles: np.ndarray, level: np.ndarray, n: int, percent: int, order:
     return shingles[rank[:length]]
 
 
-def _survivors(percent: int):
-    """Of one group of sets: those enough of whose shingles other sets have, with those shingles."""
-
-    def survivors(table: pa.Table) -> pa.Table:
-        parts = []
-        for hashes, level, sets, counts, sizes in zip(*(table[n].to_pylist() for n in TELL_ARROW.names[1:]), strict=True):
-            counts = unsqueeze(counts, np.uint32)
-            parts.append((uncut7(hashes), unsqueeze(level, np.uint8), np.repeat(np.frombuffer(sets, U), counts), np.repeat(unsqueeze(sizes, np.uint32), counts)))
-        h, level, key, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((h, key))
-        h, level, key, size = h[order], level[order], key[order], size[order]
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(begins[1:], len(key))
-        enough = ends - begins >= needed(size[begins].astype(np.int64), percent)
-        rows = [(int(key[a].view(np.int64)), int(size[a]), h[a:b].tobytes(), level[a:b].tobytes()) for a, b in zip(begins[enough], ends[enough], strict=True)]
-        return pa.Table.from_batches([_rows(SETS_ARROW, rows)], SETS_ARROW)
-
-    return survivors
-
-
-SETS_ARROW = pa.schema([("set", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary()), ("levels", pa.binary())])
-SETS = "set long, n int, shingles binary, levels binary"
-
-
 def _postings(percent: int):
+    """Each set's prefix shingles under the first order, the commonest last, with all that bounds and filters need."""
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             size, place = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             kinds = [[np.zeros(0, np.int32)] for _ in KINDS]
-            for s, n, h, level in zip(*(batch.column(c).to_pylist() for c in SETS_ARROW.names), strict=True):
+            for s, n, h, level in zip(*(batch.column(c).to_pylist() for c in ("set", "n", "shingles", "levels")), strict=True):
                 found = prefix(np.frombuffer(h, U), np.frombuffer(level, np.uint8), n, percent, 0)
                 token.append(found.view(np.int64))
                 key.append(np.full(len(found), s))
@@ -229,31 +202,35 @@ def _postings(percent: int):
     return postings
 
 
+def _prefixes(percent: int):
+    """Each set's prefixes under the other orders."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("set")
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "shingles", "levels")), strict=True))
+            found = [[prefix(np.frombuffer(h, U), np.frombuffer(level, np.uint8), n, percent, o).view(np.int64) for n, h, level in rows] for o in range(1, ORDERS)]
+            yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.list_(pa.int64())) for x in found)], ["set", *(f"p{o}" for o in range(1, ORDERS))])
+
+    return prefixes
+
+
 def _verify(percent: int):
-    """Pairs that share a prefix shingle under every order, and then overlap enough."""
+    """Pairs of sets that overlap enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
-            made: dict = {}
-
-            def sides(key, n, h, level, made=made):
-                if key not in made:
-                    if len(made) > 400:
-                        made.clear()
-                    h, level = np.frombuffer(h, U), np.frombuffer(level, np.uint8)
-                    made[key] = h, [np.sort(prefix(h, level, n, percent, o)) for o in range(1, ORDERS)]
-                return made[key]
-
-            names = ("a", "an", "ah", "al", "b", "bn", "bh", "bl")
-            for a, an, ah, al, b, bn, bh, bl in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                (x, xs), (y, ys) = sides(a, an, ah, al), sides(b, bn, bh, bl)
-                if all(len(np.intersect1d(p, q, True)) for p, q in zip(xs, ys, strict=True)):
-                    both = len(np.intersect1d(x, y, True))
-                    if 100 * both >= percent * (an + bn - both):
-                        out_a.append(a)
-                        out_b.append(b)
+            for a, an, ah, b, bn, bh in zip(*(batch.column(c).to_pylist() for c in ("a", "an", "ah", "b", "bn", "bh")), strict=True):
+                # both are sorted and without repeats
+                x, y = np.frombuffer(ah, U), np.frombuffer(bh, U)
+                spot = np.searchsorted(x, y)
+                both = np.count_nonzero(x[np.minimum(spot, len(x) - 1)] == y) if len(x) else 0
+                if 100 * both >= percent * (an + bn - both):
+                    out_a.append(a)
+                    out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+        give_back()
 
     return verify
 
@@ -271,22 +248,30 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = group_count(docs)
     buckets = max(shuffle_partitions(spark), groups // 2)
-    members = docs.mapInArrow(_document_sets(shingle), "doc_id long, n_shingles long, set long")
-    # a document without shingles is a class of its own
-    members = stash(members.withColumn("set", F.when(F.col("n_shingles") > 0, F.col("set")).otherwise(F.xxhash64(F.lit("none"), "doc_id"))), "members")
+    docs = docs.withColumn("__g", group_of(F.xxhash64("doc_id", "text"), groups))
 
-    asks = docs.select("text").mapInArrow(_requests(shingle, buckets), "b int, hashes binary, sets binary, counts binary, sizes binary")
-    tells = asks.groupBy("b").applyInArrow(_frequencies(groups), "g int, hashes binary, classes binary, sets binary, counts binary, sizes binary")
-    sets = stash(tells.groupBy("g").applyInArrow(_survivors(percent), SETS), "sets")
+    asks = docs.groupBy("__g").applyInArrow(_requests(shingle, buckets), "b int, g int, hashes binary, counts binary")
+    tells = asks.groupBy("b").applyInArrow(_frequencies, "b int, g int, levels binary")
+    found = stash(docs.groupBy("__g").cogroup(tells.groupBy("g")).applyInArrow(_sets(shingle, percent, buckets), SETS), "sets")
+    # a document without shingles is a class of its own
+    members = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).otherwise(F.xxhash64(F.lit("none"), "doc_id")).alias("set"))
+    sets = found.where("shingles is not null").dropDuplicates(["set"]).select("set", F.col("n_shingles").cast("int").alias("n"), "shingles", "levels")
+    sets = stash(sets, "classes")
     with small_batches(spark, 400):
         postings = stash(sets.mapInArrow(_postings(percent), "token long, set long, n int, place int, " + ", ".join(f"{c} int" for c in KIND_NAMES)), "postings")
+        prefixes = stash(sets.mapInArrow(_prefixes(percent), "set long, " + ", ".join(f"p{o} array<long>" for o in range(1, ORDERS))), "prefixes")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) that pass; the side that may repeat without bound (b) is joined first, without texts."""
-        side = lambda p: sets.select(F.col("set").alias(p), F.col("n").alias(f"{p}n"), F.col("shingles").alias(f"{p}h"), F.col("levels").alias(f"{p}l"))
-        wide = pairs.join(side("b"), "b").join(side("a"), "a")
-        wide = wide.select("a", "an", "ah", "al", "b", "bn", "bh", "bl")
-        with small_batches(spark, 400):  # a row holds two whole sets
+        """pairs (a, b) that share a prefix shingle under every order, and then overlap enough; the side that may repeat
+        without bound (b) is joined first."""
+        other = lambda p: prefixes.select(F.col("set").alias(p), *(F.col(f"p{o}").alias(f"{p}{o}") for o in range(1, ORDERS)))
+        met = pairs.join(other("b"), "b").join(other("a"), "a")
+        for o in range(1, ORDERS):
+            met = met.where(F.arrays_overlap(f"a{o}", f"b{o}"))
+        met = stash(met.select("a", "b"), "met")
+        side = lambda p: sets.select(F.col("set").alias(p), F.col("n").alias(f"{p}n"), F.col("shingles").alias(f"{p}h"))
+        wide = met.join(side("b"), "b").join(side("a"), "a").select("a", "an", "ah", "b", "bn", "bh")
+        with small_batches(spark, 100):  # a row holds two whole sets
             return stash(wide.mapInArrow(_verify(percent), "a long, b long"), "linked")
 
     def may(x: str, y: str):
