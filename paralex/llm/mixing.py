@@ -5,13 +5,16 @@ source, one random offset is added, and a copy is emitted for each integer bound
 order of size, so copies that are rounded up and down lie among documents of like size and the words taken stay within
 about one document of the target.
 
-The prefix sum is the rank of a document within its source times a constant.  Ranks come from a range partitioning by
-(source, size, key): each partition counts its rows of each source, the counts are summed over partitions, and rows are
-numbered inside partitions.  A source that holds a third of all rows is thus spread over a third of the partitions.
+The prefix sum is the rank of a document within its source times a constant.  Ranks are found on narrow rows (doc_id,
+source, size, a hash of the rest; equal rows as one with their number): a range partitioning by (source, size, key), in
+which each partition counts its rows of each source, the counts are summed over partitions, and rows are numbered inside
+partitions.  A source that holds a third of all rows is thus spread over a third of the partitions, and texts, of which
+the longest would meet in one of them, are only joined to their ranks, by hash.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 from pyspark.sql import Column, DataFrame
@@ -55,16 +58,19 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     Columns named like the new ones are replaced.  The sources' sizes (one row a source) come to the driver.
     """
     words = F.regexp_count("text", F.lit(WORD))
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "__part", "__key")
+    docs = docs.drop("source_size", "target", "copies", "taken", "__key", "__id", "__nth")
+    own = [c for c in docs.columns if c != "size"]
     size = F.coalesce((size if size is not None else words).cast("long"), F.lit(0))
     # the key orders documents of one size: random, but alike in every run
     key = F.xxhash64(F.lit(seed), "doc_id", "text") if "text" in docs.columns else F.xxhash64(F.lit(seed), "doc_id")
     docs = docs.withColumns({"size": size, "__key": key})
+    same = ["source", "size", "__key", "doc_id"]
     order = [F.col("source").asc_nulls_last(), "size", "__key", "doc_id"]
+    rows = stash(docs.groupBy(same).agg(F.count("*").alias("__n")), "mixing-rows")  # a range partitioning reads twice
     parts = shuffle_partitions(docs.sparkSession)
-    ranged = docs.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     ranged = stash(ranged, "mixing")
-    counts = ranged.groupBy("source", "__part").agg(F.count("*").alias("__n"), F.sum("size").alias("__size"))
+    counts = ranged.groupBy("source", "__part").agg(F.sum("__n").alias("__rows"), F.sum(F.col("size") * F.col("__n")).alias("__size"))
     counts = stash(counts, "mixing-counts")  # rows: partitions + sources
     sizes = {r["source"]: int(r["n"]) for r in counts.groupBy("source").agg(F.sum("__size").alias("n")).collect()}
     target = targets(sizes, weights, share, most)
@@ -74,12 +80,22 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
         "source string, source_size long, target double, __ratio double, __offset double",
     )
     before = W.partitionBy("source").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n", "__size")
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows", "__size")
     counts = counts.join(plan, counts["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     counts = counts.withColumnsRenamed({"source": "__source", "__part": "__at"})
-    out = ranged.withColumn("__row", F.row_number().over(W.partitionBy("source", "__part").orderBy("size", "__key", "doc_id")))
-    out = out.join(counts, (out["__part"] == counts["__at"]) & out["source"].eqNullSafe(counts["__source"]))
-    upto = F.col("__before") + F.col("__row")
+    inside = W.partitionBy("source", "__part").orderBy("size", "__key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    ranks = ranged.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    ranks = ranks.join(counts, (ranks["__part"] == counts["__at"]) & ranks["source"].eqNullSafe(counts["__source"]))
+    ranks = ranks.withColumn("__before", F.col("__before") + F.col("__inside"))
+    # texts meet their ranks, by one column without nulls; those of equal rows follow one another
+    named = F.struct(
+        *(F.coalesce(c, F.lit(empty)).alias(c) for c, empty in (("__key", 0), ("doc_id", 0), ("source", ""), ("size", 0))),
+        *(F.col(c).isNull().alias(f"no_{c}") for c in ("doc_id", "source")),
+    )
+    ranks = ranks.select(named.alias("__rank"), "source_size", "target", "__before", "__ratio", "__offset")
+    docs = docs.withColumn("__id", named).withColumn("__nth", F.row_number().over(W.partitionBy("__id").orderBy(F.lit(0))))
+    out = docs.join(ranks, docs["__id"] == ranks["__rank"])
+    upto = F.col("__before") + F.col("__nth")
     copies = F.floor(upto * F.col("__ratio") + F.col("__offset")) - F.floor((upto - 1) * F.col("__ratio") + F.col("__offset"))
-    out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__part", "__key", "__at", "__source", "__row", "__before", "__ratio", "__offset")
+    out = out.withColumn("copies", F.least(copies, F.lit(math.ceil(most)).cast("long"))).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(*own, "size", "source_size", "target", "copies", "taken")
