@@ -9,7 +9,9 @@ word.
 *Requests and answers.*  A question about the whole corpus ("does this window occur earlier?", "how many documents hold
 this shingle?") is asked by groups of documents.  Each group asks about every distinct item once, packed into one binary
 row per bucket of the item's hash; each bucket answers with one row per group.  A key that a third of all rows share is
-thus asked for once per group, whatever its frequency, and no bucket ever holds a row per occurrence.
+thus asked for once per group, whatever its frequency, and no bucket ever holds a row per occurrence.  Both groups and
+buckets grow with the corpus, so that each fits in memory; a group sends no row to a bucket that it asks nothing of, so
+there never are more rows than distinct items of groups, which is what a shuffle of single items would send.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ LOWER[65:91] += 32
 PASS_BYTES = 1 << 20
 #: Bytes of (compressed) input that one group of documents takes, about.
 GROUP_BYTES = 4 << 20
+#: The same where a group also holds an array entry, or several, for each of its words.
+SMALL_GROUP_BYTES = 2 << 20
 _MULT = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
 _INV = pow(_MULT, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
@@ -82,9 +86,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def group_count(df: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
     """Groups of about group_bytes of input each, by the size that the plan's statistics give; at least one a shuffle
-    partition.  A plan without statistics (an RDD behind it) gets one a partition."""
+    partition (two, of small groups).  A plan without statistics (an RDD behind it) gets the least."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = shuffle_partitions(df.sparkSession)
+    least = shuffle_partitions(df.sparkSession) * GROUP_BYTES // group_bytes
     return max(least, size // group_bytes) if size < 1 << 55 else least
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paralex.llm.common import (
+    SMALL_GROUP_BYTES,
     Texts,
     U,
     give_back,
@@ -246,8 +247,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = group_count(docs)
-    buckets = max(shuffle_partitions(spark), groups // 2)
+    groups = group_count(docs, SMALL_GROUP_BYTES)
+    buckets = max(shuffle_partitions(spark), groups // 4)
     docs = docs.withColumn("__g", group_of(F.xxhash64("doc_id", "text"), groups))
 
     asks = docs.groupBy("__g").applyInArrow(_requests(shingle, buckets), "b int, g int, hashes binary, counts binary")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paralex.llm.common import (
+    SMALL_GROUP_BYTES,
     SPACE,
     Texts,
     U,
@@ -157,8 +158,8 @@ def remove_repeats(docs: DataFrame, unit: str, width: int) -> DataFrame:
     """
     new = ["n_units", "n_removed", "kept_text", "spans"]
     docs = docs.drop(*new)
-    groups = group_count(docs)
-    buckets = max(shuffle_partitions(docs.sparkSession), groups // 2)
+    groups = group_count(docs, SMALL_GROUP_BYTES)
+    buckets = max(shuffle_partitions(docs.sparkSession), groups // 4)
     docs = docs.withColumn("__g", dealt(groups))
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
