@@ -51,6 +51,7 @@ STARS = 4
 #: Lower ends of frequency classes (log2): no more shingles are common to two sets than the lesser has, class by class.
 KINDS = [1, 2, 3, 6]
 KIND_NAMES = [f"m{k}" for k in range(len(KINDS))]
+PREFIX_NAMES = [f"p{o}" for o in range(1, ORDERS)]
 ASK_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 TELL_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("levels", pa.binary())])
 SETS = "doc_id long, n_shingles long, set long, shingles binary, levels binary"
@@ -204,14 +205,13 @@ def _postings(percent: int):
 
 
 def _prefixes(percent: int):
-    """Each set's prefixes under the other orders."""
+    """Each set with its prefixes under the other orders."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column("set")
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("n", "shingles", "levels")), strict=True))
             found = [[prefix(np.frombuffer(h, U), np.frombuffer(level, np.uint8), n, percent, o).view(np.int64) for n, h, level in rows] for o in range(1, ORDERS)]
-            yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.list_(pa.int64())) for x in found)], ["set", *(f"p{o}" for o in range(1, ORDERS))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int64())) for x in found)], [*batch.schema.names, *PREFIX_NAMES])
 
     return prefixes
 
@@ -257,18 +257,18 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     # a document without shingles is a class of its own
     members = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).otherwise(F.xxhash64(F.lit("none"), "doc_id")).alias("set"))
     sets = found.where("shingles is not null").dropDuplicates(["set"]).select("set", F.col("n_shingles").cast("int").alias("n"), "shingles", "levels")
-    sets = stash(sets, "classes")
     with small_batches(spark, 400):
-        postings = stash(sets.mapInArrow(_postings(percent), "token long, set long, n int, place int, " + ", ".join(f"{c} int" for c in KIND_NAMES)), "postings")
-        prefixes = stash(sets.mapInArrow(_prefixes(percent), "set long, " + ", ".join(f"p{o} array<long>" for o in range(1, ORDERS))), "prefixes")
+        sets = sets.mapInArrow(_prefixes(percent), "set long, n int, shingles binary, levels binary, " + ", ".join(f"{p} array<long>" for p in PREFIX_NAMES))
+        sets = stash(sets, "classes")
+        postings = stash(sets.select("set", "n", "shingles", "levels").mapInArrow(_postings(percent), "token long, set long, n int, place int, " + ", ".join(f"{c} int" for c in KIND_NAMES)), "postings")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that share a prefix shingle under every order, and then overlap enough; the side that may repeat
         without bound (b) is joined first."""
-        other = lambda p: prefixes.select(F.col("set").alias(p), *(F.col(f"p{o}").alias(f"{p}{o}") for o in range(1, ORDERS)))
-        met = pairs.join(other("b"), "b").join(other("a"), "a")
-        for o in range(1, ORDERS):
-            met = met.where(F.arrays_overlap(f"a{o}", f"b{o}"))
+        prefixes = lambda p: sets.select(F.col("set").alias(p), *(F.col(c).alias(f"{p}{c}") for c in PREFIX_NAMES))
+        met = pairs.join(prefixes("b"), "b").join(prefixes("a"), "a")
+        for c in PREFIX_NAMES:
+            met = met.where(F.arrays_overlap(f"a{c}", f"b{c}"))
         met = stash(met.select("a", "b"), "met")
         side = lambda p: sets.select(F.col("set").alias(p), F.col("n").alias(f"{p}n"), F.col("shingles").alias(f"{p}h"))
         wide = met.join(side("b"), "b").join(side("a"), "a").select("a", "an", "ah", "b", "bn", "bh")

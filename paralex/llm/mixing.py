@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paralex.llm.common import shuffle_partitions, stash
+from paralex.llm.common import stash
 
 WEIGHTS = (3, 1, 2)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,8 +67,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: tuple[int,
     same = ["source", "size", "__key", "doc_id"]
     order = [F.col("source").asc_nulls_last(), "size", "__key", "doc_id"]
     rows = stash(docs.groupBy(same).agg(F.count("*").alias("__n")), "mixing-rows")  # a range partitioning reads twice
-    parts = shuffle_partitions(docs.sparkSession)
-    ranged = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     ranged = stash(ranged, "mixing")
     counts = ranged.groupBy("source", "__part").agg(F.sum("__n").alias("__rows"), F.sum(F.col("size") * F.col("__n")).alias("__size"))
     counts = stash(counts, "mixing-counts")  # rows: partitions + sources
