@@ -43,3 +43,22 @@ def retained(rows: DataFrame, keep: int, *order: Column, by: str | None = None)
 
 def every(step: Column, n: int) -> Column:
     return step % n == 0
+
+
+def of_type(events: DataFrame, *types: str, column: str = "event") -> DataFrame:
+    return events.where(F.col(column).isin(*types))
+
+
+def overview(manifests: DataFrame, results: DataFrame, events: DataFrame, run: str, order: str) -> DataFrame:
+    """Each run of manifests with its result, its last event (fields prefixed by last_) and its status: the result's, or
+    training where there is none yet.  results has status; a run occurs once in manifests and in results."""
+    last = latest(events, run, order)
+    last = last.withColumnsRenamed({c: f"last_{c}" for c in last.columns if c != run})
+    out = manifests.join(results, run, "left").join(last, run, "left")
+    return out.withColumn("status", F.coalesce("status", F.lit("training")))
+
+
+def overview_counts(runs: DataFrame) -> DataFrame:
+    """How many runs there are, and how many are training, failed, or have a result."""
+    flag = lambda x: F.count_if(F.col("status") == x)
+    return runs.agg(F.count("*").alias("runs"), flag("training").alias("active"), flag("failed").alias("failed"), F.count_if(F.col("status") != "training").alias("finished"))

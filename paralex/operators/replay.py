@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paralex.operators.tables import written
+
 KEYS = ["source", "target"]
 
 
@@ -34,12 +37,10 @@ def sample(rows: DataFrame, count: int, seed: int, key: str) -> DataFrame:
     size = rows.count()
     if count <= 0 or size == 0:
         return rows.limit(0)
-    order = [chance(seed, F.col(key)), F.col(key)]
+    numbered = shuffled(rows, seed, key)
     if count <= size:
-        return rows.orderBy(*order).limit(count)
-    from pyspark.sql import Window as W
-
-    numbered = rows.withColumn("__n", F.row_number().over(W.orderBy(*order)) - 1)  # fewer rows than the sample asked for
+        return numbered.where(F.col("position") < count).drop("position")
+    numbered = numbered.withColumnRenamed("position", "__n")
     draws = rows.sparkSession.range(count).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(size)).alias("__n"))
     return draws.join(numbered, "__n").drop("__n")
 
@@ -82,4 +83,15 @@ def mixture(new: DataFrame, history: DataFrame, strategy: str | None, seed: int,
 
 
 def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
-    return rows.orderBy(chance(seed, F.col(key)), key)
+    """rows with position, their place in a seeded order (from 0).
+
+    Rows are numbered within range partitions, after those of the partitions before; only counts meet in one place.
+    """
+    draw = chance(seed, F.col(key))
+    ranged = rows.withColumn("__draw", draw).repartitionByRange("__draw", key).withColumn("__p", F.spark_partition_id())
+    ranged = written(ranged, "shuffled")
+    before = F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("n")).select("__p", before.alias("__before"))  # a row a partition
+    place = F.row_number().over(W.partitionBy("__p").orderBy("__draw", key)) - 1
+    out = ranged.withColumn("__place", place).join(counts, "__p")
+    return out.withColumn("position", F.col("__before") + F.col("__place")).drop("__p", "__draw", "__before", "__place")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.functions import tensor, text as T
-from paralex.operators import batching, compare, metrics, monitor, registry, replay, validate
+from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, validate
 from paralex.plans import views as V
 from paralex.sources import sinks
 
@@ -243,17 +243,9 @@ def ter_score(spark, d):
     return metrics.ter(V.turns(spark, d).select(F.col("target").alias("candidate"), F.col("source").alias("reference")))
 
 
-@query(f"WITH {V.SQL_RUNS} SELECT round(sum(loss * step) / sum(step), 6) AS loss, round(exp(least(sum(loss * step) / sum(step), 50)), 3) AS perplexity FROM runs WHERE event = (SELECT min(event) FROM runs)")
-def token_weighted_loss(spark, d):
-    runs = V.runs(spark, d)
-    first = runs.agg(F.min("event").alias("event"))
-    out = metrics.weighted_loss(runs.join(first, "event"), "loss", "step")
-    return out.select(F.round("loss", 6).alias("loss"), F.round("perplexity", 3).alias("perplexity"))
-
-
 @query(f"WITH {V.SQL_RUNS} SELECT round(sum(loss * step) / sum(step), 6) AS loss, round(exp(least(sum(loss * step) / sum(step), 50)), 3) AS perplexity FROM runs")
 def token_weighted_loss_whole(spark, d):
-    """token_weighted_loss over all events."""
+    """Over all events."""
     out = metrics.weighted_loss(V.runs(spark, d), "loss", "step")
     return out.select(F.round("loss", 6).alias("loss"), F.round("perplexity", 3).alias("perplexity"))
 
@@ -281,15 +273,9 @@ def new_data_antijoin(spark, d):
     return _replay(spark, d)[0].select("ord", "source", "target")
 
 
-@query(f"WITH {V.SQL_PAIRS}, {SQL_NEW} SELECT ord FROM history h WHERE EXISTS (SELECT 1 FROM new n WHERE n.domain = h.domain AND n.domain <> 'en' AND n.domain <> '')")
-def domain_pool_semi(spark, d):
-    new, history = _replay(spark, d)
-    return replay.domain_pool(history, new.where("domain <> 'en'")).select("ord")
-
-
 @query(f"WITH {V.SQL_PAIRS}, {SQL_NEW} SELECT ord FROM history h WHERE EXISTS (SELECT 1 FROM new n WHERE n.domain = h.domain AND n.domain <> '')")
 def domain_pool_semi_whole(spark, d):
-    """domain_pool_semi with the domains of all new rows."""
+    """With the domains of all new rows."""
     new, history = _replay(spark, d)
     return replay.domain_pool(history, new).select("ord")
 
@@ -335,9 +321,9 @@ def replay_report(spark, d):
     return spark.createDataFrame([tuple(report.values())], "mode string, strategy string, new_examples long, available_historical_examples long, sampled_historical_examples long, training_examples long, effective_new_fraction double, catastrophic_forgetting_warning boolean")
 
 
-@query(f"WITH {V.SQL_PAIRS} SELECT ord, row_number() OVER (ORDER BY sha256('7:' || ord), ord) - 1 >= 0 AS placed FROM pairs")
+@query(f"WITH {V.SQL_PAIRS} SELECT ord, row_number() OVER (ORDER BY sha256('7:' || ord), ord) - 1 AS position FROM pairs")
 def seeded_shuffle(spark, d):
-    return replay.shuffled(pairs(spark, d), 7, "ord").select("ord", F.lit(True).alias("placed"))
+    return replay.shuffled(pairs(spark, d), 7, "ord").select("ord", "position")
 
 
 # ---------------------------------------------------------------- sources
@@ -353,7 +339,7 @@ def align_lines(spark, d):
 
 @query(f"WITH {V.SQL_TURNS} SELECT conv_id, turn, target AS source, source AS target FROM turns")
 def reverse_direction(spark, d):
-    return V.turns(spark, d).select("conv_id", "turn", F.col("target").alias("source"), F.col("source").alias("target"))
+    return encode.reversed_direction(V.turns(spark, d)).select("conv_id", "turn", "source", "target")
 
 
 @query("SELECT event_id, props, json_valid(props) AS sound FROM events")
@@ -563,23 +549,12 @@ def length_pools(spark, d):
     return batching.length_pools(_lengths(spark, d), "length", "doc_id", 7).select("doc_id", "pool", F.col("position").cast("long").alias("position"))
 
 
-SQL_LENS = r"lens AS (SELECT doc_id, doc_id // 50 AS batch, list_transform(string_split({0}, ' '), lambda w: length(w)::INT)[1:40] AS ids FROM documents WHERE text IS NOT NULL)".replace("{0}", V.SQL_COLLAPSE.format("text"))
-
-
-@query(f"WITH {SQL_LENS}, w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM lens), p AS (SELECT doc_id, list_concat(ids, list_transform(range(0, m - len(ids)), lambda i: 0)) AS padded, m FROM w) SELECT doc_id, padded AS source_padded, padded[1:m - 1] AS target_in, padded[2:m] AS target_out FROM p")
-def pad_and_shift(spark, d):
-    docs = V.table(spark, d, "documents").where(F.col("text").isNotNull())
-    ids = F.slice(F.transform(F.split(T.collapse(F.col("text")), " "), F.length), 1, 40)
-    rows = docs.select("doc_id", F.expr("doc_id div 50").alias("batch"), ids.alias("ids"))
-    return tensor.pad_and_shift(rows, "batch", "ids", "ids").select("doc_id", "source_padded", "target_in", "target_out")
-
-
 SQL_WHOLE = r"lens AS (SELECT doc_id, doc_id // 10 AS batch, list_transform(string_split({0}, ' '), lambda w: length(w)::INT) AS ids FROM documents WHERE text IS NOT NULL)".replace("{0}", V.SQL_COLLAPSE.format("text"))
 
 
 @query(f"WITH {SQL_WHOLE}, w AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM lens), p AS (SELECT doc_id, list_concat(ids, list_transform(range(0, m - len(ids)), lambda i: 0)) AS padded, m FROM w) SELECT doc_id, padded AS source_padded, padded[1:m - 1] AS target_in, padded[2:m] AS target_out FROM p")
 def pad_and_shift_whole(spark, d):
-    """pad_and_shift over all words of every text, in batches of ten documents."""
+    """All words of every text, in batches of ten documents."""
     docs = V.table(spark, d, "documents").where(F.col("text").isNotNull())
     ids = F.transform(F.split(T.collapse(F.col("text")), " "), F.length)
     rows = docs.select("doc_id", F.expr("doc_id div 10").alias("batch"), ids.alias("ids"))
@@ -638,3 +613,49 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prepared_counts(spark, d):
     return flagship(spark, d)
+
+
+# ---------------------------------------------------------------- run overview
+
+SQL_OVERVIEW = """overview AS (SELECT m.run, coalesce(r.status, 'training') AS status, l.step AS last_step, l.event AS last_event
+FROM (SELECT DISTINCT run FROM runs WHERE run IS NOT NULL) m
+LEFT JOIN (SELECT run, CASE WHEN count(*) % 2 = 0 THEN 'failed' ELSE 'completed' END AS status FROM runs WHERE event = 'purchase' GROUP BY run) r USING (run)
+LEFT JOIN (SELECT run, max(step) AS step, max_by(event, step) AS event FROM runs WHERE loss > 1 GROUP BY run) l USING (run))"""
+
+
+def _overview(spark, d):
+    """Runs of the event table; those that end in purchases have a result, and events of some loss are logged."""
+    runs = V.runs(spark, d)
+    ended = monitor.of_type(runs, "purchase").groupBy("run").agg(F.when(F.count("*") % 2 == 0, "failed").otherwise("completed").alias("status"))
+    return monitor.overview(runs.where("run IS NOT NULL").select("run").distinct(), ended, runs.where("loss > 1"), "run", "step")
+
+
+@query(f"WITH {V.SQL_RUNS}, {SQL_OVERVIEW} SELECT * FROM overview")
+def experiment_overview(spark, d):
+    return _overview(spark, d).select("run", "status", "last_step", "last_event")
+
+
+@query(f"WITH {V.SQL_RUNS}, {SQL_OVERVIEW} SELECT run, last_step FROM overview WHERE status = 'training'")
+def experiments_training(spark, d):
+    return _overview(spark, d).where("status = 'training'").select("run", "last_step")
+
+
+@query(f"WITH {V.SQL_RUNS}, {SQL_OVERVIEW} SELECT count(*) AS runs, count(*) FILTER (status = 'training') AS active, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status <> 'training') AS finished FROM overview")
+def dashboard_counts(spark, d):
+    return monitor.overview_counts(_overview(spark, d))
+
+
+@query(f"WITH {V.SQL_RUNS} SELECT event, count(*) AS events, min(step) AS first_step, max(step) AS last_step FROM runs WHERE event IN ('click', 'view', 'purchase') GROUP BY event")
+def event_type_summary(spark, d):
+    rows = monitor.of_type(V.runs(spark, d), "click", "view", "purchase")
+    return rows.groupBy("event").agg(F.count("*").alias("events"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
+
+
+# ---------------------------------------------------------------- markup and scripts as validation rules
+
+
+@query(f"WITH {V.values('v', 'snippet, balanced', MARKUP)} SELECT row_number() OVER () - 1 AS ord, CASE WHEN balanced THEN '' ELSE 'malformed_markup' END AS reasons FROM v")
+def markup_reasons(spark, d):
+    """The markup rule inside the validator, over snippets as sources of plain targets."""
+    rows = spark.createDataFrame([(k, x, f"plain target number {k}") for k, (x, _) in enumerate(MARKUP)], "ord long, source string, target string")
+    return validate.validate(rows, validate.Rules(maximum_ratio=1e9)).select("ord", F.array_join("reasons", ",").alias("reasons"))
