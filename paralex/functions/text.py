@@ -1,7 +1,7 @@
 """Text functions as column expressions.
 
 Java's regular-expression classes differ from Python's for white space, words and digits; the patterns here are the
-spellings that agree.  Only normal forms, exact case folding and exact scripts need an Arrow UDF.
+spellings that agree.  Only normal forms need an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ PLACEHOLDER = r"(?:\{\{[^{}]+\}\}|\{[^{}]+\}|%\([^)]+\)[a-zA-Z]|%[sdif]|\$\{[^{}
 MARKUP = r"</?[A-Za-z][\p{L}\p{N}_:.-]*(?:\s[^<>]*?)?/?>"
 TAG_NAME = r"</?([A-Za-z][\p{L}\p{N}_:.-]*)(?:\s[^<>]*?)?/?>"
 PUNCTUATION = r"\p{P}"
-SCRIPTS = {"Latn": "LATIN", "Cyrl": "CYRILLIC", "Grek": "GREEK", "Arab": "ARABIC", "Hebr": "HEBREW", "Deva": "DEVANAGARI"}
 SCRIPT_CLASSES = {"Latn": "IsLatin", "Cyrl": "IsCyrillic", "Grek": "IsGreek", "Arab": "IsArabic", "Hebr": "IsHebrew", "Deva": "IsDevanagari"}
 
 
@@ -48,14 +47,18 @@ def normalize_text(x: Column, form: str = "NFC") -> Column:
     return collapse(_normal_form(x, F.lit(form)))
 
 
-@F.pandas_udf(StringType())
-def casefold_exact(x: pd.Series) -> pd.Series:
-    return pd.Series([None if v is None else v.casefold() for v in x])
+#: Lower-case characters that full case folding changes further; characters with case lie below U+20000.
+FOLDED = {c: f for c in map(chr, range(0x20000)) if (f := c.casefold()) != c == c.lower()}
+FOLDED_ALIKE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+FOLDED_LONGER = {c: f for c, f in FOLDED.items() if len(f) > 1}
 
 
 def casefold(x: Column) -> Column:
-    """Lower case with ß as ss: native, and equal to full case folding but for rare letters (see casefold_exact)."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, then what folding changes further; texts without longer foldings aren't split."""
+    lower = F.translate(F.lower(x), "".join(FOLDED_ALIKE), "".join(FOLDED_ALIKE.values()))
+    longer = F.create_map(*(F.lit(v) for item in FOLDED_LONGER.items() for v in item))
+    letters = F.transform(F.split(lower, ""), lambda c: F.coalesce(F.try_element_at(longer, c), c))
+    return F.when(lower.rlike(f"[{''.join(FOLDED_LONGER)}]"), F.array_join(letters, "")).otherwise(lower)
 
 
 def signature(x: Column) -> Column:
@@ -105,23 +108,6 @@ def dominant_script(x: Column) -> Column:
     return F.when(best["n"] > 0, best["script"])
 
 
-@F.pandas_udf(StringType())
-def dominant_script_exact(x: pd.Series) -> pd.Series:
-    """As dominant_script, by the script word in each character's Unicode name."""
-
-    def one(text: str | None) -> str | None:
-        counts: dict[str, int] = {}
-        for c in text or "":
-            if c.isalpha():
-                label = unicodedata.name(c, "")
-                found = next((s for s, word in SCRIPTS.items() if word in label), None)
-                if found:
-                    counts[found] = counts.get(found, 0) + 1
-        return max(counts, key=lambda s: counts[s]) if counts else None
-
-    return x.map(one)
-
-
 def bucket(key: Column, seed: int) -> Column:
     """A number in [0, 1) for "seed:key": the first 16 hex digits of its SHA-256 over 2**64."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), key).cast("binary"), 256)

@@ -63,31 +63,44 @@ def row_reasons(rules: Rules) -> Column:
     return F.when(is_empty(), F.array(F.lit("empty"), F.lit("missing_value"))).otherwise(F.array_compact(F.array(*found)))
 
 
-def greedy_accept(rows: DataFrame) -> DataFrame:
-    """(ord, source, target) of the accepted rows among rows (ord, source, target) that pass the row rules."""
-    left = written(rows.select("ord", "source", "target"), "left")
+def _digests(rows: DataFrame, *more: Column) -> DataFrame:
+    """(ord, s, t, more): rows by SHA-256 of their sides, so that no text travels as a key."""
+    return rows.select("ord", *(F.unhex(F.sha2(c, 256)).alias(k) for c, k in (("source", "s"), ("target", "t"))), *more)
+
+
+def _accepted(left: DataFrame) -> DataFrame:
+    """(ord, s, t) of the accepted rows among left (ord, s, t)."""
+    left = written(left, "left")
     accepted = None
     while not left.isEmpty():
-        by_source = left.groupBy("source").agg(F.min(F.struct("ord", "target")).alias("r")).select("r.ord", "source", "r.target")
-        by_target = left.groupBy("target").agg(F.min("ord").alias("ord")).select("ord")
+        by_source = left.groupBy("s").agg(F.min(F.struct("ord", "t")).alias("r")).select("r.ord", "s", "r.t")
+        by_target = left.groupBy("t").agg(F.min("ord").alias("ord")).select("ord")
         fresh = written(by_source.join(by_target, "ord", "left_semi"), "accepted")
         accepted = fresh if accepted is None else accepted.unionByName(fresh)
-        left = left.join(fresh.select("source"), "source", "left_anti").join(fresh.select("target"), "target", "left_anti")
-        left = written(left.select("ord", "source", "target"), "left")
+        left = left.join(fresh.select("s"), "s", "left_anti").join(fresh.select("t"), "t", "left_anti")
+        left = written(left.select("ord", "s", "t"), "left")
     return accepted if accepted is not None else left
 
 
+def greedy_accept(rows: DataFrame) -> DataFrame:
+    """(ord, source, target) of the accepted rows among rows (ord, source, target) that pass the row rules."""
+    return rows.select("ord", "source", "target").join(_accepted(_digests(rows)).select("ord"), "ord", "left_semi")
+
+
 def validate(records: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """records (ord, source, target, others), source and target normalised, with reasons (empty: accepted)."""
+    """records (ord, source, target, others), source and target normalised, with reasons (empty: accepted).
+
+    Duplicates and conflicts are told by digests and ord alone; the texts meet them in one join by ord, which is unique."""
     rules = rules or Rules()
     rows = records.withColumn("own", row_reasons(rules))
-    accepted = greedy_accept(rows.where(F.size("own") == 0))
-    by_source = accepted.select(F.col("source").alias("s_key"), F.col("ord").alias("s_ord"), F.col("target").alias("s_target"))
-    by_target = accepted.select(F.col("target").alias("t_key"), F.col("ord").alias("t_ord"), F.col("source").alias("t_source"))
-    rows = rows.join(by_source, (F.col("source") == F.col("s_key")) & (F.col("s_ord") < F.col("ord")), "left")
-    rows = rows.join(by_target, (F.col("target") == F.col("t_key")) & (F.col("t_ord") < F.col("ord")), "left")
+    narrow = written(_digests(rows, (F.size("own") == 0).alias("ok")), "keys")
+    accepted = _accepted(narrow.where("ok").select("ord", "s", "t"))
+    by_source = accepted.select(F.col("s").alias("s_key"), F.col("ord").alias("s_ord"), F.col("t").alias("s_target"))
+    by_target = accepted.select(F.col("t").alias("t_key"), F.col("ord").alias("t_ord"), F.col("s").alias("t_source"))
+    keys = narrow.join(by_source, (F.col("s") == F.col("s_key")) & (F.col("s_ord") < F.col("ord")), "left")
+    keys = keys.join(by_target, (F.col("t") == F.col("t_key")) & (F.col("t_ord") < F.col("ord")), "left")
     again, met = F.col("s_ord").isNotNull(), F.col("t_ord").isNotNull()
-    s_conflict, t_conflict = again & (F.col("s_target") != F.col("target")), met & (F.col("t_source") != F.col("source"))
+    s_conflict, t_conflict = again & (F.col("s_target") != F.col("t")), met & (F.col("t_source") != F.col("s"))
     earlier = F.array_compact(
         F.array(
             F.when(again & ~s_conflict, "duplicate_pair"),
@@ -97,8 +110,10 @@ def validate(records: DataFrame, rules: Rules | None = None) -> DataFrame:
             F.when(t_conflict & ~F.coalesce(s_conflict, F.lit(False)), "conflicting_translation"),
         )
     )
-    reasons = F.when(is_empty(), F.col("own")).otherwise(F.concat(earlier, F.col("own")))
-    return rows.withColumn("reasons", reasons).drop("own", "s_key", "s_ord", "s_target", "t_key", "t_ord", "t_source")
+    found = keys.where(again | met).select("ord", earlier.alias("earlier"))
+    rows = rows.join(found, "ord", "left").select(*(rows[c] for c in rows.columns), "earlier")
+    reasons = F.when(is_empty() | F.col("earlier").isNull(), F.col("own")).otherwise(F.concat("earlier", "own"))
+    return rows.withColumn("reasons", reasons).drop("own", "earlier")
 
 
 def report(validated: DataFrame) -> DataFrame:

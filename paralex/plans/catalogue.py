@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from paralex.functions import tensor, text as T
 from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, validate
+from paralex.operators.tables import shared_dir
 from paralex.plans import views as V
-from paralex.sources import sinks
+from paralex.sources import readers, sinks
+from paralex.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,15 +131,41 @@ def _sql_recall(pattern: str) -> str:
     return f"CASE WHEN len({e}) = 0 THEN 1.0 ELSE list_sum(list_transform(list_distinct({e}), lambda v: least(len(list_filter({e}, lambda y: y = v)), len(list_filter({c}, lambda y: y = v)))))::DOUBLE / len({e}) END"
 
 
-@query()
+def _sql_script(x: str) -> str:
+    letters = ", ".join(f"{{'s': '{name}', 'l': list_filter(regexp_extract_all({x}, '\\p{{{cls[2:]}}}'), lambda c: regexp_matches(c, '\\p{{L}}'))}}" for name, cls in T.SCRIPT_CLASSES.items())
+    found = f"list_transform([{letters}], lambda k: {{'n': len(k.l), 'first': -strpos({x}, k.l[1]), 'script': k.s}})"
+    return f"list_max(list_filter({found}, lambda k: k.n > 0)).script"
+
+
+@query(f"SELECT doc_id, {_sql_script('text')} AS script FROM documents")
 def dominant_script(spark, d):
     return V.table(spark, d, "documents").select("doc_id", T.dominant_script(F.col("text")).alias("script"))
 
 
-@query()
+@query(f"WITH {V.SQL_PAIRS} SELECT CASE WHEN {V.SQL_EMPTY} THEN 'empty,missing_value' WHEN coalesce({_sql_script('source')} NOT IN ('Latn', 'Grek'), FALSE) OR coalesce({_sql_script('target')} NOT IN ('Cyrl'), FALSE) THEN 'language_mismatch' ELSE '' END AS reasons, ord FROM pairs")
+def script_reasons(spark, d):
+    """The script rule: most targets are not in the script that is asked for; those without letters pass."""
+    rules = validate.Rules(0, 1 << 30, 1 << 30, 1e9, check_markup=False, check_script=True, source_scripts=["Latn", "Grek"], target_scripts=["Cyrl"])
+    return pairs(spark, d).select("ord", F.array_join(validate.row_reasons(rules), ",").alias("reasons"))
+
+
+# without look-around: every character outside words is put between two marks, which the pattern then asks for
+SQL_NUMBER_PARTS = "\x03(?:\x02[+-]\x03)?(?:\\p{Nd}(?:\\p{Nd}|\x02[ ,.''’]\x03)*\\p{Nd}|\\p{Nd})(?:\x02[.,]\x03\\p{Nd}+)?\x02"
+
+
+def _sql_numbers(x: str) -> str:
+    marked = f"'\x03' || regexp_replace({x}, '([^\\p{{L}}\\p{{N}}_])', '\x02\\1\x03', 'g') || '\x02'"
+    return f"list_transform(regexp_extract_all({marked}, '{SQL_NUMBER_PARTS}'), lambda v: replace(replace(v, '\x02', ''), '\x03', ''))"
+
+
+@query(
+    f"WITH {V.SQL_PAIRS}, n AS (SELECT ord, {_sql_numbers('source')} AS e, {_sql_numbers('target')} AS c FROM (SELECT ord, source || ' no. 7 of -1,200.5 (7)' AS source, target || ' 7/7, x-1 1,200.5' AS target FROM pairs)) "
+    "SELECT ord, list_sum(list_transform(list_distinct(e), lambda v: least(len(list_filter(e, lambda y: y = v)), len(list_filter(c, lambda y: y = v)))))::DOUBLE / len(e) AS recall FROM n"
+)
 def numbers_recall(spark, d):
-    """No oracle: DuckDB's expressions have no look-around."""
-    return pairs(spark, d).select("ord", T.preservation(F.col("source"), F.col("target"), T.NUMBER).alias("recall"))
+    """All pairs, with some numbers put after both sides."""
+    s, t = F.concat("source", F.lit(" no. 7 of -1,200.5 (7)")), F.concat("target", F.lit(" 7/7, x-1 1,200.5"))
+    return pairs(spark, d).select("ord", T.preservation(s, t, T.NUMBER).alias("recall"))
 
 
 SQL_PLACEHOLDER = T.PLACEHOLDER.replace("'", "''")
@@ -189,7 +218,8 @@ TERMS = [("the", ["of", "And"]), ("de", ["la"]), ("Große", ["klein"]), ("der",
 
 @query(
     f"WITH {V.SQL_PAIRS}, terms(term, forms) AS (VALUES {', '.join('(' + repr(t) + ', ' + repr(f) + ')' for t, f in TERMS)}), "
-    "hits AS (SELECT len(list_filter(forms, lambda f: contains(replace(lower(target), 'ß', 'ss'), replace(lower(f), 'ß', 'ss')))) > 0 AS ok FROM pairs JOIN terms ON contains(replace(lower(source), 'ß', 'ss'), replace(lower(term), 'ß', 'ss'))) "
+    f"folded AS MATERIALIZED (SELECT {V.SQL_FOLD.format('source')} AS source, {V.SQL_FOLD.format('target')} AS target FROM pairs), "
+    "hits AS (SELECT len(list_filter(forms, lambda f: contains(target, replace(lower(f), 'ß', 'ss')))) > 0 AS ok FROM folded JOIN terms ON contains(source, replace(lower(term), 'ß', 'ss'))) "
     "SELECT count(*) FILTER (ok) AS matched, count(*) AS total, round(coalesce(count(*) FILTER (ok)::DOUBLE / nullif(count(*), 0), 1.0), 9) AS accuracy FROM hits"
 )
 def terminology(spark, d):
@@ -348,9 +378,75 @@ def json_props_scan(spark, d):
     return V.table(spark, d, "events").select("event_id", "props", F.when(F.col("props").isNotNull(), sound).alias("sound"))
 
 
-@query(f"WITH {V.SQL_PAIRS} SELECT ord, 0 AS side, source AS value FROM pairs UNION ALL SELECT ord, 1, target FROM pairs")
+@query(f"WITH {V.SQL_PAIRS} SELECT unnest([source, target]) AS value FROM pairs")
 def corpus_interleave(spark, d):
-    return pairs(spark, d).select("ord", F.posexplode(F.array("source", "target")).alias("side", "value"))
+    return sinks.interleaved(pairs(spark, d), "ord")
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(rf"WITH {V.SQL_TURNS}, flat AS (SELECT conv_id, turn, {V.SQL_COLLAPSE.format('source')} AS source, {V.SQL_COLLAPSE.format('target')} AS target FROM turns WHERE source IS NOT NULL AND target IS NOT NULL) SELECT row_number() OVER (ORDER BY conv_id, turn) AS row_number, source, target FROM flat")
+def parallel_text_files(spark, d):
+    """Turns written as line files, a folder a side, and read back aligned by number."""
+    rows = V.turns(spark, d).where("source IS NOT NULL AND target IS NOT NULL")
+    rows = rows.select(F.struct("conv_id", "turn").alias("o"), *(T.collapse(F.col(c)).alias(c) for c in ("source", "target")))
+    root = _folder(spark, "lines")
+    for side in ("source", "target"):
+        sinks.write_lines(rows, f"{root}/{side}", "o", side)
+    return readers.read_parallel_text(spark, root, "source", "target").select("row_number", "source", "target")
+
+
+@query(f"WITH {V.SQL_TURNS} SELECT target AS source, source AS target, 'conversation' AS origin, conv_id * 1000 + turn AS row_number, NULL::VARCHAR AS domain FROM turns")
+def platform_records(spark, d):
+    """Records written as JSON Lines and reloaded in the other direction."""
+    rows = V.turns(spark, d).select("source", "target", F.lit("conversation").alias("origin"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_number"), F.lit(None).cast("string").alias("domain"))
+    path = _folder(spark, "records")
+    sinks.json_lines(rows).write.text(path)
+    return readers.read_records(spark, path, reverse=True)
+
+
+def _log(spark, d):
+    """The events as a log of JSON Lines, in which every tenth line is torn."""
+    rows = V.runs(spark, d).select(F.col("run").cast("string").alias("run"), "step", "event", "loss")
+    path = _folder(spark, "log")
+    torn = F.when(F.col("step") % 10 == 0, F.substr("value", F.lit(1), F.length("value") - 2)).otherwise(F.col("value"))
+    rows.select("step", F.to_json(F.struct("run", "step", "event", "loss")).alias("value")).select(torn.alias("value")).write.text(path)
+    return path
+
+
+SQL_LOG = f"{V.SQL_RUNS}, log AS (SELECT run::VARCHAR AS run, step, event, loss FROM runs WHERE step % 10 <> 0)"
+
+
+@query(f"WITH {SQL_LOG} SELECT * FROM log")
+def event_log_read(spark, d):
+    """Lines that can't be decoded are skipped."""
+    return readers.read_events(spark, _log(spark, d), "run string, step long, event string, loss double")
+
+
+def _streamed(rows, name):
+    """What a stream gives until its input is used up."""
+    path = _folder(rows.sparkSession, name)
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@query(f"WITH {SQL_LOG} SELECT * FROM log")
+def event_log_tail(spark, d):
+    return _streamed(stream.tail(spark, _log(spark, d)), "tail").select("run", "step", "event", "loss")
+
+
+@query(
+    f"""WITH {V.SQL_RUNS.replace('FROM events', 'FROM events WHERE event_id % 10 <> 0')},
+b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY run ORDER BY step) AS n FROM runs),
+s AS (SELECT run, step, min(loss) OVER (PARTITION BY run ORDER BY step) AS best, n - max(CASE WHEN before IS NULL OR loss < before THEN n END) OVER (PARTITION BY run ORDER BY step) AS streak FROM b),
+f AS (SELECT run, min(step) AS stop FROM s WHERE streak >= 5 GROUP BY run), e AS (SELECT s.run, s.step AS stop, s.best FROM s JOIN f ON f.run = s.run AND f.stop = s.step)
+SELECT s.run::VARCHAR AS run, s.step, CASE WHEN s.step >= e.stop THEN e.best ELSE s.best END AS best, CASE WHEN s.step >= e.stop THEN 5 ELSE s.streak END::INT AS streak, coalesce(s.step >= e.stop, FALSE) AS stopped FROM s LEFT JOIN e USING (run)"""
+)
+def early_stopping_stream(spark, d):
+    """Early stopping with state over the log as a stream; a run's state stays as it was when it stopped."""
+    return _streamed(stream.early_stopping(stream.tail(spark, _log(spark, d)), 5), "stops")
 
 
 @query(f"WITH {V.SQL_TURNS} SELECT to_json({{'conv_id': conv_id, 'source': source, 'target': target, 'turn': turn}}) AS value FROM turns")
@@ -646,7 +742,7 @@ def dashboard_counts(spark, d):
 
 
 @query(f"WITH {V.SQL_RUNS} SELECT event, count(*) AS events, min(step) AS first_step, max(step) AS last_step FROM runs WHERE event IN ('click', 'view', 'purchase') GROUP BY event")
-def event_type_summary(spark, d):
+def event_type_filter(spark, d):
     rows = monitor.of_type(V.runs(spark, d), "click", "view", "purchase")
     return rows.groupBy("event").agg(F.count("*").alias("events"), F.min("step").alias("first_step"), F.max("step").alias("last_step"))
 
@@ -659,3 +755,33 @@ def markup_reasons(spark, d):
     """The markup rule inside the validator, over snippets as sources of plain targets."""
     rows = spark.createDataFrame([(k, x, f"plain target number {k}") for k, (x, _) in enumerate(MARKUP)], "ord long, source string, target string")
     return validate.validate(rows, validate.Rules(maximum_ratio=1e9)).select("ord", F.array_join("reasons", ",").alias("reasons"))
+
+
+# ---------------------------------------------------------------- names and lengths
+
+
+@query(rf"SELECT doc_id, regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AS sound FROM (SELECT doc_id, left(text, (doc_id % 12)::INT) AS name FROM documents WHERE text IS NOT NULL)")
+def identifier_check(spark, d):
+    """Beginnings of texts, of up to eleven characters, as names."""
+    docs = V.table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", T.is_identifier(F.substr("text", F.lit(1), (F.col("doc_id") % 12).cast("int"))).alias("sound"))
+
+
+@query("SELECT DISTINCT a || '-to-' || b AS direction, a AS source_language, b AS target_language FROM (SELECT lang AS a, lead(lang) OVER (ORDER BY doc_id) AS b FROM documents) WHERE a IS NOT NULL AND b IS NOT NULL")
+def direction_strings(spark, d):
+    """The directions between the languages of neighbouring documents, and the languages read from them."""
+    docs = V.table(spark, d, "documents").select("doc_id", "lang")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lang").alias("b"))
+    named = docs.join(following, "doc_id").where("lang IS NOT NULL AND b IS NOT NULL").select(T.direction(F.col("lang"), F.col("b")).alias("direction")).distinct()
+    languages = T.direction_languages(F.col("direction"))
+    return named.select("direction", languages[0].alias("source_language"), languages[1].alias("target_language"))
+
+
+@query(rf"WITH l AS (SELECT greatest(1, {V.SQL_WORDS.format('t')})::BIGINT AS length FROM (SELECT {V.SQL_COLLAPSE.format("coalesce(text, '')")} AS t FROM documents)) SELECT count(*) AS examples, count(*) FILTER (length > 256) AS skipped_overlength FROM l")
+def overlength_report(spark, d):
+    return encode.lengths_report(_lengths(spark, d), 256)
+
+
+@query(rf"WITH l AS (SELECT doc_id, greatest(1, {V.SQL_WORDS.format('t')})::BIGINT AS length FROM (SELECT doc_id, {V.SQL_COLLAPSE.format("coalesce(text, '')")} AS t FROM documents)) SELECT * FROM l WHERE length <= 256")
+def overlength_filter(spark, d):
+    return encode.within(_lengths(spark, d), 256)

@@ -71,7 +71,14 @@ SQL_WORDS = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END"
 SQL_RATIO = "greatest(length(source), length(target))::DOUBLE / greatest(1, least(length(source), length(target)))"
 SQL_EMPTY = "(source = '' OR target = '')"
 SQL_LENGTH = f"(length(source) < 1 OR length(target) < 1 OR length(source) > 1000 OR length(target) > 1000 OR {SQL_WORDS.format('source')} > 256 OR {SQL_WORDS.format('target')} > 256)"
-SQL_SIGNATURE = r"coalesce(nullif(regexp_replace(replace(lower({0}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', '', 'g'), ''), replace(lower({0}), 'ß', 'ss'))"
+def _sql_longer(x: str) -> str:
+    for c, f in T.FOLDED_LONGER.items():
+        x = f"replace({x}, '{c}', '{f}')"
+    return x
+
+
+SQL_FOLD = f"list_transform([translate(lower({{0}}), '{''.join(T.FOLDED_ALIKE)}', '{''.join(T.FOLDED_ALIKE.values())}')], lambda low: CASE WHEN regexp_matches(low, '[{''.join(T.FOLDED_LONGER)}]') THEN {_sql_longer('low')} ELSE low END)[1]"
+SQL_SIGNATURE = rf"list_transform([{SQL_FOLD}], lambda folded: coalesce(nullif(regexp_replace(folded, '[^\p{{{{L}}}}\p{{{{N}}}}_]+', '', 'g'), ''), folded))[1]"
 SQL_BUCKET = "('0x' || substr(sha256('{1}:' || {0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0"
 SQL_SPLIT = "CASE WHEN b < 0.9 THEN 'train' WHEN b < 0.9 + 0.05 THEN 'validation' ELSE 'test' END"
 SQL_TURNS = "turns AS (SELECT u.conv_id, u.turn, u.text AS source, a.text AS target FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"

@@ -1,23 +1,28 @@
 """Strict readers of aligned text, TSV, CSV and JSON Lines, with file order and row numbers.
 
-Files are read whole (`binaryFile`), since row numbers, strict UTF-8 and Python's line ends need the whole file; lines are
-then split and parsed in parallel over files.  Every reader gives RECORD; file_ord and row_number make the total order.
+Line files and JSON Lines are read and numbered block by block, so a file of any size is spread over tasks.  TSV and CSV are
+read whole (`binaryFile`), since a quoted cell may hold line ends, and parsed in parallel over files.  Every reader gives
+RECORD; file_ord and row_number make the total order.
 """
 
 from __future__ import annotations
 
 import csv
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RECORD = "source string, target string, origin string, row_number long, domain string, metadata string, file_ord int"
 #: The line ends of Python's str.splitlines.
-LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Those among them that do not end a line of a text file.
+INNER_ENDS = "[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 class DatasetFormatError(ValueError):
@@ -65,16 +70,57 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("content").cast("string").alias("text"), sound.alias("sound")).where(F.col("sound").isNull()).select("text")
 
 
+def _edges(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether a file (the first one of a folder) begins with a byte order mark, and whether its (the last one's) last
+    character is one of INNER_ENDS."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [path] if fs.getFileStatus(hadoop(path)).isFile() else [f"{path}/{n}" for n in _list(spark, path) if n[0] not in "._"]
+    if not files:
+        return False, False
+
+    def read(name: str, last: bool) -> bytes:
+        size = fs.getFileStatus(hadoop(name)).getLen()
+        stream = fs.open(hadoop(name))
+        try:
+            stream.seek(max(0, size - 3) if last else 0)
+            return bytes(stream.read() for _ in range(min(3, size)))
+        finally:
+            stream.close()
+
+    end = read(files[-1], True).decode("utf-8", "ignore")
+    return read(files[0], False) == b"\xef\xbb\xbf", bool(re.search(INNER_ENDS + r"\Z", end))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_number, line): lines as Python's str.splitlines gives them, from 1.  A folder's files follow by name.
+
+    Lines are numbered within their block and blocks by their counts, so no task sees the whole file.  Bytes that are not
+    UTF-8 are an error that names the file."""
+    marked, ends_inside = _edges(spark, path)
+    sound = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("_metadata.file_path"))))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), sound.alias("value"))
+    lines = raw.select("f", "b", "i", F.posexplode(F.split("value", INNER_ENDS)).alias("k", "line"))
+    sizes = lines.groupBy("f", "b").agg(F.count("*").alias("size"))  # a row a block
+    before = F.coalesce(F.sum("size").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("f", "b", before.alias("before"), F.sum("size").over(W.partitionBy()).alias("total"))
+    place = F.row_number().over(W.partitionBy("f", "b").orderBy("i", "k")) + F.col("before")
+    out = lines.join(starts, ["f", "b"]).select(place.cast("long").alias("row_number"), "line", "total")
+    if ends_inside:  # what follows the last line end is no line
+        out = out.where("row_number < total")
+    if marked:
+        out = out.withColumn("line", F.when(F.col("row_number") == 1, F.concat(F.lit("\ufeff"), F.ltrim("line", F.lit("\ufeff")))).otherwise(F.col("line")))
+    return out.select("row_number", "line")
+
+
 def read_parallel_text(spark: SparkSession, root: str, source: str, target: str, file_ord: int = 0) -> DataFrame:
     """Line-aligned files, numbered from 1; unequal counts are an error."""
-    side = lambda p, n: read_whole(spark, f"{root}/{p}").select(F.posexplode(split_lines(F.col("text"))).alias("pos", n))
-    left, right = side(source, "source"), side(target, "target")
+    left, right = (numbered_lines(spark, f"{root}/{p}").withColumnRenamed("line", n) for p, n in ((source, "source"), (target, "target")))
     a, b = left.count(), right.count()
     if a != b:
         raise DatasetAlignmentError(f"lines don't align: {a} in {source}, {b} in {target}")
-    both = left.join(right, "pos")
     nothing = F.lit(None).cast("string")
-    return both.select("source", "target", F.lit(f"{source} + {target}").alias("origin"), (F.col("pos") + 1).cast("long").alias("row_number"), nothing.alias("domain"), nothing.alias("metadata"), F.lit(file_ord).alias("file_ord"))
+    return left.join(right, "row_number").select("source", "target", F.lit(f"{source} + {target}").alias("origin"), "row_number", nothing.alias("domain"), nothing.alias("metadata"), F.lit(file_ord).alias("file_ord"))
 
 
 def _parsed(spark: SparkSession, root: str, path: str, file_ord: int, parse) -> DataFrame:
@@ -114,22 +160,35 @@ def read_csv(spark: SparkSession, root: str, path: str, file_ord: int = 0) -> Da
     return _parsed(spark, root, path, file_ord, parse)
 
 
+#: The fields of a record that are not its metadata.
+OWN_FIELDS = {"source", "target", "source_text", "target_text", "domain"}
+
+
+def _record(document: dict) -> tuple[str, str, str | None, str]:
+    sides = [document.get(side, document.get(f"{side}_text")) for side in ("source", "target")]
+    source, target, domain = (x if isinstance(x, str) else None for x in (*sides, document.get("domain")))
+    rest = {k: document[k] for k in document.keys() - OWN_FIELDS}
+    return source or "", target or "", domain, json.dumps(rest, ensure_ascii=False, sort_keys=True)
+
+
 def read_jsonl(spark: SparkSession, root: str, path: str, file_ord: int = 0) -> DataFrame:
     """One object a line, with source and target or source_text and target_text; any other line fails the load."""
 
-    def parse(lines):
-        for n, line in enumerate(lines, 1):
-            try:
-                value = json.loads(line)
-            except json.JSONDecodeError as x:
-                raise DatasetFormatError(f"{path}, line {n} is not JSON: {x}") from x
-            if not isinstance(value, dict):
-                raise DatasetFormatError(f"{path}, line {n} is no object")
-            text = lambda k, v=value: x if isinstance(x := v.get(k, v.get(f"{k}_text", "")), str) else ""
-            rest = {k: v for k, v in value.items() if k not in ("source", "target", "source_text", "target_text", "domain")}
-            yield text("source"), text("target"), n, value.get("domain") if isinstance(value.get("domain"), str) else None, json.dumps(rest, ensure_ascii=False, sort_keys=True)
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for n, line in zip(batch["row_number"], batch["line"], strict=True):
+                try:
+                    document = json.loads(line)
+                except json.JSONDecodeError as x:
+                    raise DatasetFormatError(f"{path}, line {n} is not JSON: {x}") from x
+                if not isinstance(document, dict):
+                    raise DatasetFormatError(f"{path}, line {n} is no object")
+                source, target, domain, rest = _record(document)
+                out.append((source, target, path, n, domain, rest, file_ord))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RECORD.split(", ")])
 
-    return _parsed(spark, root, path, file_ord, parse)
+    return numbered_lines(spark, f"{root}/{path}").mapInPandas(records, RECORD)
 
 
 def read_all(spark: SparkSession, root: str, inputs: list[str]) -> DataFrame:
@@ -145,6 +204,15 @@ def read_all(spark: SparkSession, root: str, inputs: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """(row_number, source): the lines of a file to translate; a blank one is an error, as is a file without lines."""
+    rows = numbered_lines(spark, path)
+    if rows.isEmpty():
+        raise DatasetFormatError(f"{path} holds no lines")
+    blank = F.raise_error(F.concat(F.lit(f"{path}: blank line "), F.col("row_number").cast("string")))
+    return rows.select("row_number", F.when(F.trim("line") == "", blank).otherwise(F.col("line")).alias("source"))
+
+
 def read_records(spark: SparkSession, path: str, reverse: bool = False) -> DataFrame:
     """The platform's own JSON Lines; a malformed line fails the load; reverse swaps the two sides."""
     schema = "source string, target string, origin string, row_number long, domain string"

@@ -22,6 +22,11 @@ def interleaved(records: DataFrame, *order: str, side: str | None = None) -> Dat
     return records.select(*order, F.posexplode(sides).alias("side", "value")).orderBy(*order, "side").select("value")
 
 
+def write_lines(rows: DataFrame, path: str, order: str, value: str) -> None:
+    """A folder of text files that follow by name: each row's value as one line, in order."""
+    rows.select(order, value).orderBy(order).select(value).write.mode("overwrite").text(path)
+
+
 def file_hashes(spark: SparkSession, root: str, inputs: list[str]) -> dict[str, str]:
     """SHA-256 of each input, computed where the file is read."""
     out = {}

@@ -29,12 +29,19 @@ def test_text_functions(spark):
     marks = ["<b>x</b>", "<br/>", "plain", "a < b", "<b><i>x</b></i>", "<br>", "</a/>", "x > y"]
     assert column(spark, marks, T.markup_balanced) == [True, True, True, False, False, False, False, False]
     assert column(spark, ["abc", "где мы a", "", "12", "αβγ"], T.dominant_script) == ["Latn", "Cyrl", None, None, "Grek"]
-    assert column(spark, ["abc", "где мы a", "", "12", "αβγ"], T.dominant_script_exact) == ["Latn", "Cyrl", None, None, "Grek"]
     assert column(spark, ["", " ", "a  b c"], T.word_count) == [0, 0, 3]
     assert column(spark, ["pair-v1.20.3", "none"], T.semver) == [(1, 20, 3), None]
     assert column(spark, ["ok_1", "-no", ""], T.is_identifier) == [True, False, False]
 
 
+def test_case_folding_is_full(spark):
+    """Final sigma, long s, ligatures, dotted I and every other character with case."""
+    texts = ["ΟΔΟΣ οδος", "Straſſe STRASSE", "ﬁne Oﬃce", "İstanbul", "ẞ ŉ µ"]
+    assert column(spark, texts, T.casefold) == [x.casefold() for x in texts]
+    letters = [chr(k) for k in range(0x20000) if chr(k).casefold() != chr(k)]
+    assert column(spark, letters, T.casefold) == [x.casefold() for x in letters]
+
+
 def test_preservation(spark):
     s = "Save {name} as <b>file 12</b>!"
     rows = spark.createDataFrame([(s, s, s)], "source string, reference string, candidate string")
@@ -179,6 +186,33 @@ def test_readers(spark, tmp_path):
         readers.discover_inputs(spark, str(tmp_path / "none"))
 
 
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """Against str.splitlines: all line ends, a mark at the front, blank and last lines, blocks of a few bytes."""
+    ends = ["\n", "\r", "\r\n", "\x0b", "\u2028", "\x85", "\n\n"]
+    whole = "\ufeff" + "".join(f"line {k} é{ends[k % len(ends)]}" for k in range(300))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        for k, text in enumerate([whole, whole + "end", whole + "end\x0b", "a\x0b\n", "", "\n", "x"]):
+            path = tmp_path / f"{k}.txt"
+            path.write_bytes(text.encode())
+            got = readers.numbered_lines(spark, str(path)).orderBy("row_number").collect()
+            assert [r["line"] for r in got] == text.splitlines()
+            assert [r["row_number"] for r in got] == list(range(1, len(got) + 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_inputs_to_translate(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n", "utf-8")
+    (tmp_path / "b.txt").write_text("one\n \n", "utf-8")
+    (tmp_path / "c.txt").write_text("", "utf-8")
+    assert [r["source"] for r in readers.read_inputs(spark, str(tmp_path / "a.txt")).orderBy("row_number").collect()] == ["one", "two"]
+    with pytest.raises(Exception, match="blank line 2"):
+        readers.read_inputs(spark, str(tmp_path / "b.txt")).collect()
+    with pytest.raises(readers.DatasetFormatError):
+        readers.read_inputs(spark, str(tmp_path / "c.txt"))
+
+
 def test_versioned_dataset(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.tsv").write_text("\n".join(f"item {k}\tline {k}\tgeneral" for k in range(1, 61)), "utf-8")
