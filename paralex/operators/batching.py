@@ -47,7 +47,7 @@ def sorted_batches(rows: DataFrame, length: str, key: str, budget: int) -> DataF
     before = F.coalesce(F.sum("__rows").over(W.partitionBy(length).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     before = sizes.withColumn("__before", before).drop("__rows")
     out = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__p", length).orderBy(key))).join(before, ["__p", length])
-    out = out.join(F.broadcast(plan), F.col(length) == F.col("__length"))  # a row for each distinct length
+    out = out.join(plan, F.col(length) == F.col("__length"))  # a row for each distinct length; broadcast if it is small
     at = F.col("__before") + F.col("__n") - 1
     batch = F.when(at < F.col("__room"), F.col("__first")).otherwise(F.col("__first") + 1 + F.floor((at - F.col("__room")) / F.col("__capacity")))
     return out.withColumn("batch_id", batch.cast("long")).drop("__p", "__n", "__before", "__length", "__first", "__room", "__capacity")

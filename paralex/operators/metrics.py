@@ -101,13 +101,28 @@ def chrf_score(stats: dict[str, int], beta: float = 2.0) -> float:
     return 100.0 * (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
 
 
-def _distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def _masks(words: list[str]) -> dict[str, int]:
+    """Each distinct word's places, as bits."""
+    out: dict[str, int] = {}
+    for j, word in enumerate(words):
+        out[word] = out.get(word, 0) | 1 << j
+    return out
+
+
+def _distance(a: list[str], masks: dict[str, int], size: int) -> int:
+    """Word edits from a to the `size` words behind masks, one or more: Myers' bit-vector recurrence (1999), where a row
+    of the table of distances is two integers, its steps up and its steps down."""
+    every, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, distance = every, 0, size
+    for word in a:
+        same = masks.get(word, 0)
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        rise, fall = down | ~(horizontal | up) & every, up & horizontal
+        distance += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & every, fall << 1 & every
+        up, down = fall | ~(vertical | rise) & every, rise & vertical
+    return distance
 
 
 def ter_edits(candidate: str, reference: str, longest: int = 10, farthest: int = 50) -> tuple[int, int]:
@@ -115,7 +130,8 @@ def ter_edits(candidate: str, reference: str, longest: int = 10, farthest: int =
     a, b = candidate.lower().split(), reference.lower().split()
     if not b:
         return len(a), 0
-    shifts, now = 0, _distance(a, b)
+    masks = _masks(b)
+    shifts, now = 0, _distance(a, masks, len(b))
     places: dict[str, list[int]] = {}
     for j, word in enumerate(b):
         places.setdefault(word, []).append(j)
@@ -132,13 +148,13 @@ def ter_edits(candidate: str, reference: str, longest: int = 10, farthest: int =
                     at = min(len(rest), j)
                     moved = rest[:at] + a[i : i + size] + rest[at:]
                     if moved != a:
-                        gain = now - 1 - _distance(moved, b)
+                        gain = now - 1 - _distance(moved, masks, len(b))
                         if gain > 0 and (best is None or gain > best[0]):
                             best = gain, moved
         if best is None:
             break
         shifts, a = shifts + 1, best[1]
-        now = _distance(a, b)
+        now = _distance(a, masks, len(b))
     return shifts + now, len(b)
 
 
@@ -181,9 +197,15 @@ def weighted_loss(rows: DataFrame, loss: str, tokens: str) -> DataFrame:
     return rows.agg(mean.alias("loss"), T.perplexity(mean).alias("perplexity"))
 
 
+#: Terms of a dictionary that is broadcast.
+MOST_TERMS = 100_000
+
+
 def terminology(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """One row (matched, total, accuracy): of the terms (term, forms) that a source holds, those whose candidate holds
-    a form.  terms is a dictionary of fixed size and is broadcast."""
+    a form.  terms is a dictionary of MOST_TERMS rows at most, which are broadcast; a larger one is an error."""
+    if terms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
     hits = rows.join(F.broadcast(terms), T.contains_folded(F.col("source"), F.col("term")))
     ok = F.exists("forms", lambda f: T.contains_folded(F.col("candidate"), f))
     out = hits.agg(F.count_if(ok).alias("matched"), F.count("*").alias("total"))

@@ -99,12 +99,11 @@ def protect(versions: DataFrame, version_id: str, protected: bool = True) -> Dat
 
 def ancestry(versions: DataFrame) -> DataFrame:
     """(version_id, ancestor, depth) of every version, itself at depth 0."""
-    spark = versions.sparkSession
-    versions.select("version_id", "parent_version").createOrReplaceTempView("__versions")
-    return spark.sql("""
+    query = """
         WITH RECURSIVE up(version_id, ancestor, depth) AS (
-          SELECT version_id, version_id, 0 FROM __versions
+          SELECT version_id, version_id, 0 FROM {versions}
           UNION ALL
-          SELECT up.version_id, v.parent_version, up.depth + 1 FROM up JOIN __versions v ON v.version_id = up.ancestor
+          SELECT up.version_id, v.parent_version, up.depth + 1 FROM up JOIN {versions} v ON v.version_id = up.ancestor
           WHERE v.parent_version IS NOT NULL)
-        SELECT version_id, ancestor, depth FROM up""")
+        SELECT version_id, ancestor, depth FROM up"""
+    return versions.sparkSession.sql(query, versions=versions.select("version_id", "parent_version"))

@@ -31,8 +31,8 @@ def chance(seed: int, key: Column) -> Column:
 def sample(rows: DataFrame, count: int, seed: int, key: str) -> DataFrame:
     """count rows in seeded order: each at most once, or drawn with replacement where there are too few.
 
-    A sample without replacement takes the least hashes of a top-k, no global sort.  With replacement, draw i takes the
-    row that the hash of i points to.
+    Without replacement these are the first positions of the seeded order; with it, draw i takes the row that the hash of
+    i points to.
     """
     size = rows.count()
     if count <= 0 or size == 0:

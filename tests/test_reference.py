@@ -115,6 +115,18 @@ def test_batches_are_the_sequential_fold(spark):
         assert out == batching.fold_batches(lengths, budget)
 
 
+def test_word_edits_are_those_of_the_table():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(least, 90))] for least in (0, 1))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        assert metrics._distance(a, metrics._masks(b), len(b)) == row[-1]
+
+
 def test_corpus_metrics(spark):
     rows = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat"), ("a b c d", "a b x d")], "candidate string, reference string")
     same = metrics.bleu_statistics(rows.limit(1)).first().asDict()
