@@ -151,7 +151,7 @@ def contains_folded(text: Column, term: Column) -> Column:
 
 
 def is_identifier(x: Column) -> Column:
-    return x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
+    return x.rlike(r"\A[A-Za-z0-9][A-Za-z0-9._-]*\z")
 
 
 def semver(x: Column) -> Column:

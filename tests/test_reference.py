@@ -31,7 +31,7 @@ def test_text_functions(spark):
     assert column(spark, ["abc", "где мы a", "", "12", "αβγ"], T.dominant_script) == ["Latn", "Cyrl", None, None, "Grek"]
     assert column(spark, ["", " ", "a  b c"], T.word_count) == [0, 0, 3]
     assert column(spark, ["pair-v1.20.3", "none"], T.semver) == [(1, 20, 3), None]
-    assert column(spark, ["ok_1", "-no", ""], T.is_identifier) == [True, False, False]
+    assert column(spark, ["ok_1", "-no", "", "end\n"], T.is_identifier) == [True, False, False, False]
 
 
 def test_case_folding_is_full(spark):
