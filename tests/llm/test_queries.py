@@ -14,6 +14,7 @@ COLUMNS = {
     "op5_mix_sources": "doc_id size source_size target taken",
     "op9_phrase_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op10_language_id": "doc_id held_out lang_pred score",
+    "op12_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -31,7 +32,8 @@ def test_rows_and_columns(spark, name):
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
