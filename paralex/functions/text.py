@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 # fixed values: white space, word characters and the extraction patterns that results must agree on
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+WORD = r"(?U)[^\s\x1c-\x1f]+"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 NUMBER = r"(?<![\p{L}\p{N}_])[+-]?(?:\p{Nd}[\p{Nd} ,.'’]*\p{Nd}|\p{Nd})(?:[.,]\p{Nd}+)?(?![\p{L}\p{N}_])"
 PLACEHOLDER = r"(?:\{\{[^{}]+\}\}|\{[^{}]+\}|%\([^)]+\)[a-zA-Z]|%[sdif]|\$\{[^{}]+\}|<%[^%]+%>)"
@@ -42,34 +43,58 @@ def _normal_form(x: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([None if v is None else unicodedata.normalize(f, v) for v, f in zip(x, form, strict=True)])
 
 
+#: A character that NFC may change or join to others lies outside these ranges (Latin letters, general punctuation);
+#: texts within them are in that form already.
+UNSETTLED = r"[^\x{0}-\x{2FF}\x{2002}-\x{20CF}]"
+
+
 def normalize_text(x: Column, form: str = "NFC") -> Column:
-    """A Unicode normal form, with white space collapsed and trimmed."""
-    return collapse(_normal_form(x, F.lit(form)))
+    """A Unicode normal form, with white space collapsed and trimmed; only texts that NFC may change go to Python."""
+    if form != "NFC":
+        return collapse(_normal_form(x, F.lit(form)))
+    doubtful = F.when(x.rlike(UNSETTLED), x)
+    return collapse(F.coalesce(_normal_form(doubtful, F.lit(form)), x))
+
+
+def _ranges(characters: list[str], gap: int) -> str:
+    """A character class of ranges that hold the characters; those within `gap` of each other share one."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if out and c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
 
 
 #: Lower-case characters that full case folding changes further; characters with case lie below U+20000.
 FOLDED = {c: f for c in map(chr, range(0x20000)) if (f := c.casefold()) != c == c.lower()}
 FOLDED_ALIKE = {c: f for c, f in FOLDED.items() if len(f) == 1}
 FOLDED_LONGER = {c: f for c, f in FOLDED.items() if len(f) > 1}
+#: Ranges that hold all of them but the sharp s, which is common and folded on its own.
+RARELY_FOLDED = _ranges([c for c in FOLDED if c != "ß"], 100)
 
 
 def casefold(x: Column) -> Column:
-    """Full case folding: lower case, then what folding changes further; texts without longer foldings aren't split."""
-    lower = F.translate(F.lower(x), "".join(FOLDED_ALIKE), "".join(FOLDED_ALIKE.values()))
-    longer = F.create_map(*(F.lit(v) for item in FOLDED_LONGER.items() for v in item))
-    letters = F.transform(F.split(lower, ""), lambda c: F.coalesce(F.try_element_at(longer, c), c))
-    return F.when(lower.rlike(f"[{''.join(FOLDED_LONGER)}]"), F.array_join(letters, "")).otherwise(lower)
+    """Full case folding: lower case, sharp s, and in texts that hold any, the other characters that folding changes."""
+
+    def rest(low: Column) -> Column:
+        alike = F.translate(low, "".join(FOLDED_ALIKE), "".join(FOLDED_ALIKE.values()))
+        longer = F.create_map(*(F.lit(v) for item in FOLDED_LONGER.items() for v in item))
+        letters = F.transform(F.split(alike, ""), lambda c: F.coalesce(F.try_element_at(longer, c), c))
+        return F.when(low.rlike(RARELY_FOLDED), F.array_join(letters, "")).otherwise(low)
+
+    return let([F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))], rest)
 
 
 def signature(x: Column) -> Column:
     """What near-duplicates share: folded letters, digits and underscores; the folded text where none is left."""
-    folded = casefold(x)
-    return F.coalesce(F.nullif(F.regexp_replace(folded, NON_WORD, ""), F.lit("")), folded)
+    return let([casefold(x)], lambda folded: F.coalesce(F.nullif(F.regexp_replace(folded, NON_WORD, ""), F.lit("")), folded))
 
 
 def word_count(x: Column) -> Column:
-    flat = collapse(x)
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " ")))
+    """Words of a text, parted by white space; no text is built."""
+    return F.regexp_count(x, F.lit(WORD))
 
 
 def length_ratio(a: Column, b: Column) -> Column:

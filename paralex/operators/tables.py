@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """spark.checkpoint.dir; where it is unset a local folder stands in, which only a local master shares."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return where or "/tmp/checkpoints"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

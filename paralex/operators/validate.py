@@ -129,8 +129,9 @@ def report(validated: DataFrame) -> DataFrame:
 
 
 def split(records: DataFrame, train: float = 0.9, validation: float = 0.05, seed: int = 42) -> DataFrame:
-    """records with split: near-duplicate sources share one."""
-    return records.withColumn("split", T.split_name(T.bucket(T.signature(F.col("source")), seed), train, validation))
+    """records with bucket and split: near-duplicate sources share them."""
+    bucket = records.withColumn("bucket", T.bucket(T.signature(F.col("source")), seed))
+    return bucket.withColumn("split", T.split_name(F.col("bucket"), train, validation))
 
 
 def split_sizes(records: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _split(spark, d):
 
 @query(f"WITH {SQL_SPLITS} SELECT doc_id, b AS bucket, split FROM splits")
 def hash_split(spark, d):
-    return _split(spark, d).select("doc_id", T.bucket(T.signature(F.col("source")), 42).alias("bucket"), "split")
+    return _split(spark, d).select("doc_id", "bucket", "split")
 
 
 @query(f"WITH {SQL_SPLITS} SELECT n.split, count(s.split) AS rows FROM (VALUES ('train'), ('validation'), ('test')) n(split) LEFT JOIN splits s USING (split) GROUP BY n.split")

@@ -42,6 +42,14 @@ def test_case_folding_is_full(spark):
     assert column(spark, letters, T.casefold) == [x.casefold() for x in letters]
 
 
+def test_settled_texts_are_in_normal_form():
+    import unicodedata
+
+    settled = [chr(c) for c in (*range(0x300), *range(0x2002, 0x20D0))]
+    seconds = {unicodedata.normalize("NFD", chr(c))[-1] for c in range(0x30000) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+    assert all(unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in seconds for c in settled)
+
+
 def test_preservation(spark):
     s = "Save {name} as <b>file 12</b>!"
     rows = spark.createDataFrame([(s, s, s)], "source string, reference string, candidate string")
@@ -274,36 +282,10 @@ def test_subword(spark):
     assert got.select(subword.pieces(F.col("source"), path).alias("p")).first()["p"] == subword.processor(path).encode("Hello there", out_type=str)
 
 
-def test_decoding(spark):
-    import numpy as np
-
-    from paralex.operators import decode
-
-    def load():
-        def logits(source, target):
-            out = np.zeros(8)
-            out[source[len(target) - 1] if len(target) <= len(source) else 2] = 5.0
-            return out
-
-        return logits
-
-    assert decode.greedy(load(), [4, 5], 1, 2, 10)[0] == [1, 4, 5, 2]
-    assert decode.beam(load(), [4, 5], 1, 2, 10, width=3)[0] == [1, 4, 5, 2]
-    assert len(decode.greedy(load(), [4] * 50, 1, 2, 6)[0]) == 6
-    rows = spark.createDataFrame([(0, [4, 5]), (1, [6])], "k int, source_ids array<int>")
-    got = decode.translate(rows, load, 1, 2, 10, width=2).orderBy("k").collect()
-    assert [r["output_ids"] for r in got] == [[1, 4, 5, 2], [1, 6, 2]] and all(0 < r["confidence"] <= 1 for r in got)
-
-
-def test_settings_and_commands(spark, tmp_path, capsys):
+def test_commands(spark, tmp_path, capsys):
     from paralex import cli
-    from paralex.sources import config
 
-    assert config.merged({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}, "d": 3}) == {"a": {"b": 1, "c": [2]}, "d": 3}
-    run = config.Experiment(str(tmp_path / "runs"))
-    run.start({"pair": "aa-bb"})
-    run.metric({"event": "train", "step": 1})
-    run.finish({"status": "candidate"})
+    sinks.write_document(f"{tmp_path}/runs/e1/manifest.json", {"pair": "aa-bb", "experiment_id": "e1"})
     assert readers.experiments(spark, str(tmp_path / "runs"), "experiment_id string, pair string").first()["pair"] == "aa-bb"
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.tsv").write_text("one\teins\none\teins\n\ttwo\n", "utf-8")
