@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.functions import tensor, text as T
-from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, validate
+from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, validate, vocabulary
 from paralex.operators.tables import shared_dir
 from paralex.plans import views as V
 from paralex.sources import readers, sinks
@@ -645,6 +645,21 @@ def length_pools(spark, d):
     return batching.length_pools(_lengths(spark, d), "length", "doc_id", 7).select("doc_id", "pool", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    rf"""WITH RECURSIVE l AS (SELECT doc_id, greatest(1, {V.SQL_WORDS.format("t")})::BIGINT AS length FROM (SELECT doc_id, {V.SQL_COLLAPSE.format("coalesce(text, '')")} AS t FROM documents)),
+p AS (SELECT *, row_number() OVER (ORDER BY sha256('7:' || doc_id), doc_id) - 1 AS place FROM l),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY place // 100, length, place) AS n FROM p),
+walk AS (SELECT n, doc_id, length, 0::BIGINT AS batch_id, 1::BIGINT AS held, length AS longest FROM o WHERE n = 1 UNION ALL
+ SELECT o.n, o.doc_id, o.length, CASE WHEN greatest(o.length, w.longest) * (w.held + 1) * 2 > {BUDGET} THEN w.batch_id + 1 ELSE w.batch_id END,
+  CASE WHEN greatest(o.length, w.longest) * (w.held + 1) * 2 > {BUDGET} THEN 1 ELSE w.held + 1 END,
+  CASE WHEN greatest(o.length, w.longest) * (w.held + 1) * 2 > {BUDGET} THEN o.length ELSE greatest(o.length, w.longest) END FROM walk w JOIN o ON o.n = w.n + 1),
+t AS (SELECT batch_id, row_number() OVER (ORDER BY sha256('7:' || batch_id), batch_id) - 1 AS turn FROM (SELECT DISTINCT batch_id FROM walk))
+SELECT doc_id, length, batch_id, turn FROM walk JOIN t USING (batch_id)"""
+)
+def token_batches_shuffled(spark, d):
+    return batching.shuffled_batches(_lengths(spark, d), "length", "doc_id", BUDGET, 7)
+
+
 SQL_WHOLE = r"lens AS (SELECT doc_id, doc_id // 10 AS batch, list_transform(string_split({0}, ' '), lambda w: length(w)::INT) AS ids FROM documents WHERE text IS NOT NULL)".replace("{0}", V.SQL_COLLAPSE.format("text"))
 
 
@@ -785,3 +800,26 @@ def overlength_report(spark, d):
 @query(rf"WITH l AS (SELECT doc_id, greatest(1, {V.SQL_WORDS.format('t')})::BIGINT AS length FROM (SELECT doc_id, {V.SQL_COLLAPSE.format("coalesce(text, '')")} AS t FROM documents)) SELECT * FROM l WHERE length <= 256")
 def overlength_filter(spark, d):
     return encode.within(_lengths(spark, d), 256)
+
+
+# ---------------------------------------------------------------- vocabulary
+
+
+@query()
+def bpe_vocabulary(spark, d):
+    """Special pieces, 200 merges and all characters of the documents; tests hold it against one merge at a time."""
+    return vocabulary.vocabulary(V.table(spark, d, "documents"), 200)
+
+
+SQL_SPOKEN = r"w AS (SELECT unnest(regexp_extract_all(text, '[^\s\x1c-\x1f\x0b\x85\p{Z}]+')) AS w FROM documents)"
+
+
+@query(f"WITH {SQL_SPOKEN} SELECT '▁' || w AS word, count(*) AS n FROM w GROUP BY w HAVING max(length(w)) <= 100")
+def word_counts(spark, d):
+    """What the vocabulary is learned from, without words that are counted in parts."""
+    return vocabulary.distinct_words(V.table(spark, d, "documents")).where(F.length("word") <= vocabulary.LONGEST)
+
+
+@query(f"WITH {V.SQL_PAIRS} SELECT count(*) FILTER (source <> '') AS source_sentences, count(*) FILTER (target <> '') AS target_sentences FROM pairs")
+def tokenizer_sentences(spark, d):
+    return pairs(spark, d).agg(F.count_if(F.col("source") != "").alias("source_sentences"), F.count_if(F.col("target") != "").alias("target_sentences"))

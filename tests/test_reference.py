@@ -107,20 +107,43 @@ def test_replay(spark):
         replay.mixture(new.limit(0), old, "balanced", 1, "ord")
 
 
+def fold_batches(lengths, budget):
+    out, batch, rows, longest = [], 0, 0, 0
+    for length in lengths:
+        if rows and max(longest, length) * (rows + 1) * 2 > budget:
+            batch, rows, longest = batch + 1, 0, 0
+        rows, longest = rows + 1, max(longest, length)
+        out.append(batch)
+    return out
+
+
+def test_batches_of_any_order_are_the_sequential_fold(spark):
+    """Over one and many blocks, down to blocks as long as a batch."""
+    rng = random.Random(8)
+    for budget, block in ((1, 1), (16, 8), (16, 24), (60, 31), (200, None)):
+        lengths = [rng.choice([1, 1, 2, rng.randrange(1, 30)]) for _ in range(300)]
+        rows = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "k long, length long").repartition(3)
+        got = [r["batch_id"] for r in batching.greedy_batches(rows, "k", "length", budget, block).orderBy("k").collect()]
+        assert got == fold_batches(lengths, budget)
+    assert batching.greedy_batches(rows.limit(0), "k", "length", 16).count() == 0
+    with pytest.raises(ValueError):
+        batching.greedy_batches(rows, "k", "length", 16, 4)
+
+
 def test_batches_are_the_sequential_fold(spark):
     rng = random.Random(4)
     for budget in (1, 16, 200):
         lengths = sorted(rng.randrange(1, 30) for _ in range(120))
         rows = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "k long, length long")
         got = [r["batch_id"] for r in batching.sorted_batches(rows, "length", "k", budget).orderBy("k").collect()]
-        assert got == batching.fold_batches(lengths, budget)
+        assert got == fold_batches(lengths, budget)
     for _ in range(500):
         lengths = sorted(rng.randrange(1, 9) for _ in range(rng.randrange(1, 30)))
         counts = sorted({n: lengths.count(n) for n in lengths}.items())
         budget, out = rng.randrange(1, 60), []
         for (n, rows), (_, first, room, capacity) in zip(counts, batching.plan_sorted(counts, budget), strict=True):
             out += [first if j < room else first + 1 + (j - room) // capacity for j in range(rows)]
-        assert out == batching.fold_batches(lengths, budget)
+        assert out == fold_batches(lengths, budget)
 
 
 def test_word_edits_are_those_of_the_table():
