@@ -195,18 +195,3 @@ def unknown_rate(rows: DataFrame, unknown: str, generated: str) -> DataFrame:
 def weighted_loss(rows: DataFrame, loss: str, tokens: str) -> DataFrame:
     mean = F.sum(F.col(loss) * F.col(tokens)) / F.sum(tokens)
     return rows.agg(mean.alias("loss"), T.perplexity(mean).alias("perplexity"))
-
-
-#: Terms of a dictionary that is broadcast.
-MOST_TERMS = 100_000
-
-
-def terminology(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row (matched, total, accuracy): of the terms (term, forms) that a source holds, those whose candidate holds
-    a form.  terms is a dictionary of MOST_TERMS rows at most, which are broadcast; a larger one is an error."""
-    if terms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
-    hits = rows.join(F.broadcast(terms), T.contains_folded(F.col("source"), F.col("term")))
-    ok = F.exists("forms", lambda f: T.contains_folded(F.col("candidate"), f))
-    out = hits.agg(F.count_if(ok).alias("matched"), F.count("*").alias("total"))
-    return out.withColumn("accuracy", F.when(F.col("total") == 0, 1.0).otherwise(F.col("matched") / F.col("total")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.functions import tensor, text as T
-from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, validate, vocabulary
+from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, terms, validate, vocabulary
 from paralex.operators.tables import shared_dir
 from paralex.plans import views as V
 from paralex.sources import readers, sinks
@@ -223,8 +223,26 @@ TERMS = [("the", ["of", "And"]), ("de", ["la"]), ("Große", ["klein"]), ("der",
     "SELECT count(*) FILTER (ok) AS matched, count(*) AS total, round(coalesce(count(*) FILTER (ok)::DOUBLE / nullif(count(*), 0), 1.0), 9) AS accuracy FROM hits"
 )
 def terminology(spark, d):
-    terms = spark.createDataFrame(TERMS, "term string, forms array<string>")
-    out = metrics.terminology(pairs(spark, d).select("source", F.col("target").alias("candidate")), terms)
+    dictionary = spark.createDataFrame(TERMS, "term string, forms array<string>")
+    out = terms.terminology(pairs(spark, d).select("source", F.col("target").alias("candidate")), dictionary)
+    return out.withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(
+    f"WITH {V.SQL_PAIRS}, w AS (SELECT doc_id, unnest(string_split(source, ' ')) AS term, target FROM pairs), "
+    f"terms AS (SELECT {V.SQL_FOLD.format('term')} AS term, list(DISTINCT {V.SQL_FOLD.format('form')}) AS forms FROM (SELECT term, min(string_split(target, ' ')[1]) AS form FROM w WHERE length(term) >= 11 GROUP BY term) GROUP BY ALL), "
+    f"folded AS MATERIALIZED (SELECT ord, {V.SQL_FOLD.format('source')} AS source, {V.SQL_FOLD.format('target')} AS target FROM pairs), "
+    "hits AS (SELECT ord, term, len(list_filter(forms, lambda f: contains(target, f))) > 0 AS ok FROM folded JOIN terms ON contains(source, term)) "
+    "SELECT count(*) FILTER (ok) AS matched, count(*) AS total, round(coalesce(count(*) FILTER (ok)::DOUBLE / nullif(count(*), 0), 1.0), 9) AS accuracy FROM hits"
+)
+def terminology_learned(spark, d):
+    """A dictionary that grows with the corpus: each long word of the sources, with the least word that begins a target
+    beside it."""
+    rows = pairs(spark, d)
+    words = rows.select(F.explode(F.split("source", " ")).alias("term"), F.element_at(F.split("target", " "), 1).alias("form")).where(F.length("term") >= 11)
+    least = words.groupBy("term").agg(F.min("form").alias("form"))
+    dictionary = least.groupBy(T.casefold(F.col("term")).alias("term")).agg(F.collect_set(T.casefold(F.col("form"))).alias("forms"))
+    out = terms.terminology(rows.select("source", F.col("target").alias("candidate")), dictionary)
     return out.withColumn("accuracy", F.round("accuracy", 9))
 
 
