@@ -1,16 +1,23 @@
 """Validation of parallel records: row rules, order-dependent duplicates and conflicts, and the report.
 
 A row is a duplicate only with respect to earlier *accepted* rows: accepted rows match sources to targets one to one,
-earliest first.  The rounds here are exact: a row that is the earliest left both for its source and for its target can't
-be blocked, so it is accepted, and every other row with that source or target is out.  A round reduces each source and
-each target to its earliest row before anything is joined, so a line that fills a third of the corpus costs one row a
-task.  Rounds go on until nothing is left; each accepts the earliest row at least.
+earliest first.  That is found exactly in few steps:
+
+* Rows of one (source, target) share their first one's fate, so only firsts count.
+* A round accepts every row that is the earliest left both for its source and for its target, and drops the rows that it
+  blocks.  It reduces each source and each target to its earliest row before anything is joined, so a line that fills a
+  third of the corpus costs one row a task.  Two rounds settle nearly all of real corpora.
+* What is left is contracted into the components of the graph of sources and targets, in a number of rounds that grows
+  with the logarithm of the longest chain.  Components don't touch, so many are folded row by row in one task; of one
+  that is too large for a task, the first rows are, since a row depends on earlier ones only, and the rest goes round again.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +25,10 @@ from paralex.functions import text as T
 from paralex.operators.tables import written
 
 
+#: Rows that one task folds, about.
+LARGEST = 200_000
+
+
 @dataclass(frozen=True)
 class Rules:
     minimum_characters: int = 1
@@ -68,33 +79,107 @@ def _digests(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.select("ord", *(F.unhex(F.sha2(c, 256)).alias(k) for c, k in (("source", "s"), ("target", "t"))), *more)
 
 
-def _accepted(left: DataFrame) -> DataFrame:
+def _without(left: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The rows of left (ord, s, t) that no accepted row blocks."""
+    return left.join(accepted.select("s"), "s", "left_anti").join(accepted.select("t"), "t", "left_anti").select("ord", "s", "t")
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """rows (ord, s, t) with label, which all rows share that shared sources and targets lead to.
+
+    Labels are hashes.  A round gives every label the least one that its rows meet in their sources and targets, and
+    follows those eight steps on.  Along a chain, hashes rise and fall whatever its rows' order, so that the labels left
+    after a round are those that are less than their neighbours, a third or fewer."""
+    out = rows.withColumn("label", F.xxhash64("ord"))
+    while True:
+        by_s, by_t = (out.groupBy(k).agg(F.min("label").alias(f"by_{k}")) for k in ("s", "t"))
+        met = out.select("s", "t", "label").join(by_s, "s").join(by_t, "t")
+        hops = met.groupBy("label").agg(F.min(F.least("by_s", "by_t")).alias("to"))
+        hops = written(hops, "labels")
+        if hops.where("to <> label").isEmpty():
+            return out
+        further = hops
+        for _ in range(3):
+            on = further.select(F.col("label").alias("to"), F.col("to").alias("on"))
+            further = further.join(on, "to").select("label", F.col("on").alias("to"))
+        out = written(out.join(further, "label").select("ord", "s", "t", F.col("to").alias("label")), "components")
+
+
+def _folded(rows: DataFrame, total: int, largest: int) -> DataFrame:
+    """(ord, s, t) of the accepted rows among rows (ord, s, t, label), whole components or their first rows: components
+    are dealt into groups, and a group's rows are taken in order."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ord")
+        sources: set[bytes] = set()
+        targets: set[bytes] = set()
+        keep = []
+        for s, t in zip(table["s"].to_pylist(), table["t"].to_pylist(), strict=True):
+            free = s not in sources and t not in targets
+            if free:
+                sources.add(s)
+                targets.add(t)
+            keep.append(free)
+        return table.select(["ord", "s", "t"]).filter(pa.array(keep, pa.bool_()))
+
+    groups = max(1, 4 * total // largest)
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("label"), F.lit(groups)))
+    return dealt.groupBy("g").applyInArrow(fold, rows.select("ord", "s", "t").schema)
+
+
+def _accepted(left: DataFrame, rounds: int = 2, largest: int = LARGEST) -> DataFrame:
     """(ord, s, t) of the accepted rows among left (ord, s, t)."""
-    left = written(left, "left")
-    accepted = None
+    left = written(left.groupBy("s", "t").agg(F.min("ord").alias("ord")).select("ord", "s", "t"), "left")
+    parts = []
     while not left.isEmpty():
-        by_source = left.groupBy("s").agg(F.min(F.struct("ord", "t")).alias("r")).select("r.ord", "s", "r.t")
-        by_target = left.groupBy("t").agg(F.min("ord").alias("ord")).select("ord")
-        fresh = written(by_source.join(by_target, "ord", "left_semi"), "accepted")
-        accepted = fresh if accepted is None else accepted.unionByName(fresh)
-        left = left.join(fresh.select("s"), "s", "left_anti").join(fresh.select("t"), "t", "left_anti")
-        left = written(left.select("ord", "s", "t"), "left")
-    return accepted if accepted is not None else left
-
-
-def greedy_accept(rows: DataFrame) -> DataFrame:
-    """(ord, source, target) of the accepted rows among rows (ord, source, target) that pass the row rules."""
-    return rows.select("ord", "source", "target").join(_accepted(_digests(rows)).select("ord"), "ord", "left_semi")
+        for _ in range(rounds):
+            by_source = left.groupBy("s").agg(F.min(F.struct("ord", "t")).alias("r")).select("r.ord", "s", "r.t")
+            by_target = left.groupBy("t").agg(F.min("ord").alias("ord")).select("ord")
+            fresh = written(by_source.join(by_target, "ord", "left_semi"), "accepted")
+            parts.append(fresh)
+            left = written(_without(left, fresh), "left")
+            if left.isEmpty():
+                break
+        else:
+            labelled = components(left)
+            sizes = labelled.groupBy("label").agg(F.count("*").alias("n"), F.percentile_approx("ord", [k / 1000 for k in range(1, 1001)], 100_000).alias("cuts"))
+            # of a component that is too large, about as many of its first rows as a task takes
+            cut = F.when(F.col("n") > largest, F.element_at("cuts", F.greatest(F.lit(1), F.floor(1000 * largest / F.col("n")).cast("int"))))
+            sizes = written(sizes.select("label", "n", cut.alias("cut")), "sizes")
+            total = sizes.agg(F.sum(F.least("n", F.lit(largest)))).first()[0]
+            first = labelled.join(sizes, "label").where(F.col("cut").isNull() | (F.col("ord") <= F.col("cut")))
+            fresh = written(_folded(first.select("ord", "s", "t", "label"), total, largest), "accepted")
+            parts.append(fresh)
+            rest = labelled.join(sizes.where("cut IS NOT NULL"), "label").where("ord > cut").select("ord", "s", "t")
+            left = written(_without(rest, fresh), "left")
+    return reduce(DataFrame.unionByName, parts) if parts else left
+
+
+def greedy_accept(rows: DataFrame, rounds: int = 2, largest: int = LARGEST) -> DataFrame:
+    """(ord, source, target) of the accepted rows among rows (ord, source, target) that pass the row rules.
+
+    rounds: of the cheap kind, before what is left is contracted; largest: rows that one task folds."""
+    accepted = _accepted(_digests(rows), rounds, largest)
+    return rows.select("ord", "source", "target").join(accepted.select("ord"), "ord", "left_semi")
 
 
 def validate(records: DataFrame, rules: Rules | None = None) -> DataFrame:
     """records (ord, source, target, others), source and target normalised, with reasons (empty: accepted).
 
     Duplicates and conflicts are told by digests and ord alone; the texts meet them in one join by ord, which is unique."""
-    rules = rules or Rules()
+    return judge(records, rules or Rules())[0]
+
+
+def judge(records: DataFrame, rules: Rules, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """validate(), and (ord, s, t): the accepted rows by the digests of their sides.
+
+    earlier: such rows of an accepted past, before all of records.  Records are judged against it and among themselves,
+    which gives what judging past and records together would."""
     rows = records.withColumn("own", row_reasons(rules))
     narrow = written(_digests(rows, (F.size("own") == 0).alias("ok")), "keys")
-    accepted = _accepted(narrow.where("ok").select("ord", "s", "t"))
+    fresh = narrow.where("ok").select("ord", "s", "t")
+    fresh = _accepted(fresh if earlier is None else _without(fresh, earlier))
+    accepted = fresh if earlier is None else earlier.select("ord", "s", "t").unionByName(fresh)
     by_source = accepted.select(F.col("s").alias("s_key"), F.col("ord").alias("s_ord"), F.col("t").alias("s_target"))
     by_target = accepted.select(F.col("t").alias("t_key"), F.col("ord").alias("t_ord"), F.col("s").alias("t_source"))
     keys = narrow.join(by_source, (F.col("s") == F.col("s_key")) & (F.col("s_ord") < F.col("ord")), "left")
@@ -113,7 +198,7 @@ def validate(records: DataFrame, rules: Rules | None = None) -> DataFrame:
     found = keys.where(again | met).select("ord", earlier.alias("earlier"))
     rows = rows.join(found, "ord", "left").select(*(rows[c] for c in rows.columns), "earlier")
     reasons = F.when(is_empty() | F.col("earlier").isNull(), F.col("own")).otherwise(F.concat("earlier", "own"))
-    return rows.withColumn("reasons", reasons).drop("own", "earlier")
+    return rows.withColumn("reasons", reasons).drop("own", "earlier"), fresh
 
 
 def report(validated: DataFrame) -> DataFrame:

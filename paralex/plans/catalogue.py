@@ -75,19 +75,15 @@ def split_sizes(spark, d):
     return validate.split_sizes(_split(spark, d))
 
 
-def _round(k: int) -> str:
-    return f""", n{k} AS MATERIALIZED (SELECT ord, source, target FROM (SELECT *, min(ord) OVER (PARTITION BY source) AS ms, min(ord) OVER (PARTITION BY target) AS mt FROM u{k}) WHERE ord = ms AND ord = mt),
-u{k + 1} AS MATERIALIZED (SELECT * FROM u{k} WHERE source NOT IN (SELECT source FROM n{k}) AND target NOT IN (SELECT target FROM n{k}))"""
-
-
-ROUNDS = 6
-SQL_ACCEPTED = (
-    f"{V.SQL_PAIRS}, u0 AS MATERIALIZED (SELECT ord, source, target FROM pairs WHERE NOT {V.SQL_EMPTY} AND NOT {V.SQL_LENGTH} AND NOT {V.SQL_RATIO} > 3.0)"
-    + "".join(_round(k) for k in range(ROUNDS))
-    + ", accepted AS MATERIALIZED ("
-    + " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(ROUNDS))
-    + ")"
-)
+# every round accepts the rows that are the earliest left for both sides, until none is left
+SQL_ACCEPTED = f"""RECURSIVE {V.SQL_PAIRS}, walk AS (
+ SELECT 0 AS k, ord, source, target, FALSE AS won FROM pairs WHERE NOT {V.SQL_EMPTY} AND NOT {V.SQL_LENGTH} AND NOT {V.SQL_RATIO} > 3.0
+ UNION ALL
+ SELECT k + 1, ord, source, target, won FROM (
+  SELECT *, bool_or(won) OVER (PARTITION BY source) AS s_gone, bool_or(won) OVER (PARTITION BY target) AS t_gone FROM (
+   SELECT k, ord, source, target, ord = min(ord) OVER (PARTITION BY source) AND ord = min(ord) OVER (PARTITION BY target) AS won FROM walk WHERE NOT won))
+ WHERE won OR NOT (s_gone OR t_gone)),
+accepted AS MATERIALIZED (SELECT ord, source, target FROM walk WHERE won)"""
 SQL_REASONS = f"""{SQL_ACCEPTED}, judged AS (SELECT p.ord, p.doc_id, p.source, p.target, CASE WHEN p.source = '' OR p.target = '' THEN 'empty,missing_value' ELSE concat_ws(',',
  CASE WHEN s.target = p.target THEN 'duplicate_pair' END, CASE WHEN s.ord IS NOT NULL THEN 'source_duplicate' END, CASE WHEN s.target <> p.target THEN 'conflicting_translation' END,
  CASE WHEN t.ord IS NOT NULL THEN 'target_duplicate' END, CASE WHEN t.source <> p.source AND NOT coalesce(s.target <> p.target, FALSE) THEN 'conflicting_translation' END,

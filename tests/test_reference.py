@@ -76,17 +76,58 @@ def test_conflicts(spark):
     assert (r["total_rows"], r["rejected_rows"], r["duplicate_rows"], r["conflicting_pairs"], r["empty_rows"]) == (5, 4, 1, 2, 1)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_is_the_sequential_fold(spark, seed):
-    rng = random.Random(seed)
-    rows = [(f"s{rng.randrange(12)}", f"t{rng.randrange(12)}") for _ in range(60)] + [("chain0", "c0"), ("chain0", "c1"), ("chain1", "c1"), ("chain1", "c2")]
-    sources, targets, want = set(), set(), []
+def fold(rows):
+    sources, targets, kept = set(), set(), []
     for k, (s, t) in enumerate(rows):
         if s not in sources and t not in targets:
             sources.add(s)
             targets.add(t)
-            want.append(k)
-    assert sorted(r["ord"] for r in validate.greedy_accept(records(spark, rows)).collect()) == want
+            kept.append(k)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_is_the_sequential_fold(spark, seed):
+    """By rounds, by components, and by the first rows of components that are too large."""
+    rng = random.Random(seed)
+    rows = [(f"s{rng.randrange(12)}", f"t{rng.randrange(12)}") for _ in range(60)] + [("chain0", "c0"), ("chain0", "c1"), ("chain1", "c1"), ("chain1", "c2")]
+    rows += [(f"u{rng.randrange(200)}", f"v{rng.randrange(200)}") for _ in range(240)]
+    for rounds, largest in ((2, 1000), (0, 1000), (0, 20)):
+        got = validate.greedy_accept(records(spark, rows).repartition(3), rounds, largest)
+        assert sorted(r["ord"] for r in got.collect()) == fold(rows)
+
+
+@pytest.mark.parametrize("order", ["rising", "random"])
+def test_a_long_chain_takes_few_tables(spark, monkeypatch, order):
+    """10,000 rows, each of which shares its source with the one before and its target with the one after."""
+    rows = [(f"s{(k + 1) // 2}", f"t{k // 2}") for k in range(10_000)]
+    if order == "random":
+        random.Random(1).shuffle(rows)
+    tables = []
+    write = validate.written
+    monkeypatch.setattr(validate, "written", lambda df, name: (tables.append(name), write(df, name))[1])
+    got = validate.greedy_accept(records(spark, rows))
+    assert sorted(r["ord"] for r in got.collect()) == fold(rows)
+    assert len(tables) < 30
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    rows = [(f"s{rng.randrange(150)}", f"t{rng.randrange(150)}") for _ in range(160)]
+    label = {k: k for k in range(len(rows))}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in enumerate(rows):
+            for b, y in enumerate(rows):
+                if (x[0] == y[0] or x[1] == y[1]) and label[a] != label[b]:
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    table = records(spark, rows).select("ord", F.col("source").alias("s"), F.col("target").alias("t"))
+    groups: dict = {}
+    for r in validate.components(table).collect():
+        groups.setdefault(r["label"], set()).add(r["ord"])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(k for k in label if label[k] == v) for v in set(label.values()))
 
 
 def test_split_of_sixty_rows(spark):
