@@ -1,14 +1,27 @@
-"""A lineage registry as DataFrame transforms over a versions table (version_id, version_label, parent_version, status,
-protected, others) and the id in production.  A registry is small; writers commit under a driver lock."""
+"""A registry of versions kept as a commit log.
+
+A commit adds a table of versions (version_id, version_label, parent_version, status, protected, others), or changes
+fields of single ones, and may name the version in production.  The registry is what replaying the commits gives: the
+tables together, under the last value set for each field.  Writers race by commit number; one that loses decides again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.functions import text as T
+from paralex.operators.tables import written
+from paralex.sources.commits import Log
 
+#: Fields that never change, the statuses that may be promoted, and those that may be gone back to.
 IMMUTABLE = {"version_id", "version_label", "parent_version", "created_at", "language_pair", "direction", "tokenizer_version"}
+PROMOTABLE = ("approved", "production")
+RETURNABLE = ("approved", "production", "archived")
 
 
 class RegistryError(ValueError):
@@ -19,91 +32,136 @@ def sorted_versions(versions: DataFrame) -> DataFrame:
     return versions.withColumn("number", T.semver(F.col("version_id"))).orderBy("number", "version_id")
 
 
-def resolve(versions: DataFrame, name: str, production: str | None) -> str:
-    """The id of `production`, of an exact id, or of a label that one version has."""
-    wanted = production if name == "production" else name
-    if not wanted:
-        raise RegistryError("no version is in production")
-    found = versions.where((F.col("version_id") == wanted) | (F.col("version_label") == wanted)).select("version_id", (F.col("version_id") == wanted).alias("exact")).collect()
-    exact = [r["version_id"] for r in found if r["exact"]]
-    if exact or len(found) == 1:
-        return (exact or [found[0]["version_id"]])[0]
-    raise RegistryError(f"unknown version {name!r}")
-
-
-def resolved(versions: DataFrame, requests: DataFrame, pointer: DataFrame) -> DataFrame:
-    """requests (name) with version_id, or null: the pointer's id for `production`, else an exact id, else a unique label."""
-    wanted = requests.join(pointer.select("production_version"), F.col("name") == "production", "left").withColumn("wanted", F.when(F.col("name") == "production", F.col("production_version")).otherwise(F.col("name"))).drop("production_version")
+def resolved(versions: DataFrame, requests: DataFrame, production: str | None) -> DataFrame:
+    """requests (name) with version_id, or null: of `production` the id given, else an exact id, else a label that one
+    version has."""
+    wanted = requests.withColumn("wanted", F.when(F.col("name") == "production", F.lit(production)).otherwise(F.col("name")))
     labels = versions.groupBy("version_label").agg(F.count("*").alias("n"), F.min("version_id").alias("by_label")).where("n = 1")
     out = wanted.join(versions.select(F.col("version_id").alias("by_id")), F.col("wanted") == F.col("by_id"), "left")
     out = out.join(labels, F.col("wanted") == F.col("version_label"), "left")
     return out.select("name", F.coalesce("by_id", "by_label").alias("version_id"))
 
 
-def next_number(versions: DataFrame, parent: str | None = None) -> str:
-    """The next free label: a new major, or the next minor of the parent's major."""
-    numbers = versions.select(T.semver(F.col("version_id")).alias("v"), "version_id")
-    if parent is None:
-        return f"v{(numbers.agg(F.max('v.major').alias('m')).first()['m'] or 0) + 1}.0.0"
-    own = numbers.where(F.col("version_id") == parent).first()
-    if own is None:
-        raise RegistryError(f"unknown version {parent!r}")
-    major = own["v"]["major"]
-    minor = numbers.where(F.col("v.major") == major).agg(F.max("v.minor").alias("m")).first()["m"]
-    return f"v{major}.{minor + 1}.0"
-
-
-def add(versions: DataFrame, row: DataFrame) -> DataFrame:
-    if not versions.join(row.select("version_id"), "version_id", "left_semi").isEmpty():
-        raise RegistryError("the version exists")
-    return versions.unionByName(row, allowMissingColumns=True)
-
-
-def update(versions: DataFrame, version_id: str, **changes: object) -> DataFrame:
-    if fixed := IMMUTABLE & changes.keys():
-        raise RegistryError(f"can't change {sorted(fixed)}")
-    if versions.where(F.col("version_id") == version_id).isEmpty():
-        raise RegistryError(f"unknown version {version_id!r}")
-    mine = F.col("version_id") == version_id
-    return versions.withColumns({k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in changes.items()})
-
-
-def promoted(versions: DataFrame, version_id: str, production: str | None) -> DataFrame:
-    """Statuses once the version is in production: it is protected, and the one before becomes approved."""
-    mine = F.col("version_id") == version_id
-    before = (F.col("version_id") == F.lit(production)) & ~mine if production else F.lit(False)
-    status = F.when(mine, "production").when(before, "approved").otherwise(F.col("status"))
-    return versions.withColumns({"status": status, "protected": mine | F.col("protected")})
-
-
-def promote(versions: DataFrame, version_id: str, production: str | None, override: bool = False) -> tuple[DataFrame, str]:
-    row = versions.where(F.col("version_id") == version_id).select("status").first()
-    if row is None:
-        raise RegistryError(f"unknown version {version_id!r}")
-    if row["status"] not in ("approved", "production") and not override:
-        raise RegistryError(f"{version_id} is {row['status']}")
-    return promoted(versions, version_id, production), version_id
-
-
-def rollback(versions: DataFrame, name: str, production: str | None) -> tuple[DataFrame, str]:
-    version_id = resolve(versions, name, production)
-    row = versions.where(F.col("version_id") == version_id).select("status", "protected").first()
-    if row["status"] not in ("approved", "production", "archived") and not row["protected"]:
-        raise RegistryError(f"{version_id} can't be rolled back to")
-    return promote(versions, version_id, production, override=True)
-
-
-def protect(versions: DataFrame, version_id: str, protected: bool = True) -> DataFrame:
-    return update(versions, version_id, protected=protected)
+def free_labels(versions: DataFrame) -> DataFrame:
+    """(parent, label) of the next free label below each major number, and (null, label) of the next major."""
+    top = versions.select(T.semver(F.col("version_id")).alias("v")).groupBy("v.major").agg(F.max("v.minor").alias("minor"))
+    minor = top.where("major IS NOT NULL").select(F.col("major").alias("parent"), F.format_string("v%d.%d.0", "major", F.col("minor") + 1).alias("label"))
+    fresh = top.agg(F.format_string("v%d.0.0", F.coalesce(F.max("major"), F.lit(0)) + 1).alias("label"))
+    return minor.unionByName(fresh.select(F.lit(None).cast("int").alias("parent"), "label"))
 
 
 def ancestry(versions: DataFrame) -> DataFrame:
-    """(version_id, ancestor, depth) of every version, itself at depth 0."""
-    query = """
-        WITH RECURSIVE up(version_id, ancestor, depth) AS (
-          SELECT version_id, version_id, 0 FROM {versions}
-          UNION ALL
-          SELECT up.version_id, v.parent_version, up.depth + 1 FROM up JOIN {versions} v ON v.version_id = up.ancestor
-          WHERE v.parent_version IS NOT NULL)
-        SELECT version_id, ancestor, depth FROM up"""
-    return versions.sparkSession.sql(query, versions=versions.select("version_id", "parent_version"))
+    """(version_id, ancestor, depth) of every version, itself at depth 0; chains are followed by doubling."""
+    out = versions.select("version_id", F.col("version_id").alias("ancestor"), F.lit(0).alias("depth"))
+    links = written(versions.where(F.col("parent_version").isNotNull()).select("version_id", F.col("parent_version").alias("ancestor")), "links")
+    known = links.join(versions.select(F.col("version_id").alias("ancestor")), "ancestor", "left_semi").select("version_id", "ancestor")
+    hop = 1
+    while not known.isEmpty():
+        on = known.select(F.col("version_id").alias("ancestor"), F.col("ancestor").alias("further"))
+        out = written(out.unionByName(out.join(on, "ancestor").select("version_id", F.col("further").alias("ancestor"), (F.col("depth") + hop).alias("depth"))), "ancestors")
+        known = written(known.join(on, "ancestor").select("version_id", F.col("further").alias("ancestor")), "links")
+        hop *= 2
+    return out
+
+
+class Registry:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.log = spark, folder.rstrip("/"), Log(spark, folder)
+
+    def production(self, entries: list[dict] | None = None) -> str | None:
+        named = [e["production"] for e in (self.log.entries() if entries is None else entries) if "production" in e]
+        return named[-1] if named else None
+
+    def versions(self, entries: list[dict] | None = None) -> DataFrame | None:
+        """All versions as of the commits given (default: all); None before the first."""
+        entries = self.log.entries() if entries is None else entries
+        tables = [self.spark.read.parquet(f"{self.folder}/{e['table']}") for e in entries if "table" in e]
+        if not tables:
+            return None
+        out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+        changes = [(k, version, field, json.dumps(value)) for k, e in enumerate(entries) for version, fields in e.get("set", {}).items() for field, value in fields.items()]
+        if not changes:
+            return out
+        rows = self.spark.createDataFrame(changes, "number int, version_id string, field string, value string")
+        last = rows.groupBy("version_id").pivot("field", sorted({c[2] for c in changes})).agg(F.max_by("value", "number"))
+        fields = [c for c in last.columns if c != "version_id"]
+        last = last.withColumnsRenamed({c: f"__{c}" for c in fields})
+        out = out.join(last, "version_id", "left")
+        kinds = {f.name: f.dataType for f in out.schema}
+        set_ = {c: F.when(F.col(f"__{c}").isNotNull(), F.from_json(F.concat(F.lit('{"v":'), f"__{c}", F.lit("}")), f"v {kinds[c].simpleString()}")["v"]).otherwise(F.col(c)) for c in fields}
+        return out.withColumns(set_).drop(*(f"__{c}" for c in fields))
+
+    def _row(self, entries: list[dict], version_id: str) -> dict:
+        versions = self.versions(entries)
+        row = versions.where(F.col("version_id") == version_id).first() if versions is not None else None
+        if row is None:
+            raise RegistryError(f"unknown version {version_id!r}")
+        return row.asDict()
+
+    def add(self, rows: DataFrame) -> None:
+        """New versions, of any number; ids that exist, or come twice, are an error."""
+        table = f"tables/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{table}")
+        mine = self.spark.read.parquet(f"{self.folder}/{table}")
+
+        def decide(entries: list[dict]) -> dict:
+            versions = self.versions(entries)
+            ids = mine.select("version_id") if versions is None else mine.select("version_id").unionByName(versions.select("version_id").join(mine, "version_id", "left_semi"))
+            if not ids.groupBy("version_id").count().where("count > 1").isEmpty():
+                raise RegistryError("a version exists")
+            return {"op": "add", "table": table}
+
+        self.log.commit(decide)
+
+    def update(self, version_id: str, **changes: object) -> None:
+        if fixed := IMMUTABLE & changes.keys():
+            raise RegistryError(f"can't change {sorted(fixed)}")
+
+        def decide(entries: list[dict]) -> dict:
+            self._row(entries, version_id)
+            return {"op": "update", "set": {version_id: changes}}
+
+        self.log.commit(decide)
+
+    def protect(self, version_id: str, protected: bool = True) -> None:
+        self.update(version_id, protected=protected)
+
+    def resolve(self, name: str, entries: list[dict] | None = None) -> str:
+        """The id of `production`, of an exact id, or of a label that one version has."""
+        entries = self.log.entries() if entries is None else entries
+        versions = self.versions(entries)
+        asked = self.spark.createDataFrame([(name,)], "name string")
+        found = resolved(versions, asked, self.production(entries)).first()["version_id"] if versions is not None else None
+        if found is None:
+            raise RegistryError(f"unknown version {name!r}")
+        return found
+
+    def promote(self, version_id: str, override: bool = False) -> None:
+        """Puts a version into production: it is protected, and the one before becomes approved."""
+
+        def decide(entries: list[dict]) -> dict:
+            status = self._row(entries, version_id)["status"]
+            if status not in PROMOTABLE and not override:
+                raise RegistryError(f"{version_id} is {status}")
+            return self._promotion(version_id, entries, "promote")
+
+        self.log.commit(decide)
+
+    def rollback(self, name: str) -> None:
+        """Goes back to a version that was in production, or may have been: protected, or of a status that allows it."""
+
+        def decide(entries: list[dict]) -> dict:
+            version_id = self.resolve(name, entries)
+            row = self._row(entries, version_id)
+            if row["status"] not in RETURNABLE and not row["protected"]:
+                raise RegistryError(f"{version_id} can't be rolled back to")
+            return self._promotion(version_id, entries, "rollback")
+
+        self.log.commit(decide)
+
+    def _promotion(self, version_id: str, entries: list[dict], op: str) -> dict:
+        before = self.production(entries)
+        changes = {version_id: {"status": "production", "protected": True}}
+        if before not in (None, version_id):
+            changes[before] = {"status": "approved"}
+        return {"op": op, "set": changes, "production": version_id}

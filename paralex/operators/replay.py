@@ -12,8 +12,11 @@ KEYS = ["source", "target"]
 
 
 def new_rows(current: DataFrame, parent: DataFrame) -> DataFrame:
-    """Rows of current whose (source, target) the parent lacks; repeats stay."""
-    return current.join(parent.select(KEYS), KEYS, "left_anti")
+    """Rows of current whose (source, target) the parent lacks; repeats stay.  Told by digests: no text travels as a key,
+    and the parent's rows are 32 bytes each.  A row with a null side is in no parent."""
+    digest = F.unhex(F.sha2(F.concat(F.col("source"), F.lit("\0"), F.sha2(F.col("target"), 256)), 256))
+    there = parent.select(digest.alias("__key")).distinct()
+    return current.withColumn("__key", digest).join(there, "__key", "left_anti").drop("__key")
 
 
 def domain_pool(history: DataFrame, new: DataFrame) -> DataFrame:
@@ -83,15 +86,18 @@ def mixture(new: DataFrame, history: DataFrame, strategy: str | None, seed: int,
 
 
 def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
-    """rows with position, their place in a seeded order (from 0).
+    """rows with position, their place in a seeded order (from 0)."""
+    return numbered(rows.withColumn("__draw", chance(seed, F.col(key))), "__draw", key).drop("__draw")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with position, their place in an order (from 0).
 
     Rows are numbered within range partitions, after those of the partitions before; only counts meet in one place.
     """
-    draw = chance(seed, F.col(key))
-    ranged = rows.withColumn("__draw", draw).repartitionByRange("__draw", key).withColumn("__p", F.spark_partition_id())
-    ranged = written(ranged, "shuffled")
+    ranged = written(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "numbered")
     before = F.coalesce(F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("n")).select("__p", before.alias("__before"))  # a row a partition
-    place = F.row_number().over(W.partitionBy("__p").orderBy("__draw", key)) - 1
+    place = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
     out = ranged.withColumn("__place", place).join(counts, "__p")
-    return out.withColumn("position", F.col("__before") + F.col("__place")).drop("__p", "__draw", "__before", "__place")
+    return out.withColumn("position", F.col("__before") + F.col("__place")).drop("__p", "__before", "__place")

@@ -520,45 +520,72 @@ def step_triggers(spark, d):
 # ---------------------------------------------------------------- registry and comparison
 
 
-SQL_NUMBER = r"regexp_extract(version_id, 'v(\d+)\.(\d+)\.(\d+)$', {0})::INT"
+def _registry(spark, d):
+    """A registry of the event table's versions, the last approved one of which is promoted."""
+    out = registry.Registry(spark, _folder(spark, "registry"))
+    added = V.versions(spark, d)
+    out.add(added)
+    out.promote(added.where("status = 'approved'").agg(F.max_by("version_id", "step")).first()[0])
+    return out
 
 
-@query(f"WITH {V.SQL_VERSIONS} SELECT version_id, row_number() OVER (ORDER BY {SQL_NUMBER.format(1)}, {SQL_NUMBER.format(2)}, {SQL_NUMBER.format(3)}) AS place FROM versions")
+@query(f"WITH {V.SQL_VERSIONS} SELECT version_id, row_number() OVER (ORDER BY major, minor) AS place FROM versions")
 def semver_sort(spark, d):
-    from pyspark.sql import Window as W
+    rows = V.versions(spark, d).withColumn("number", T.semver(F.col("version_id")))
+    return replay.numbered(rows, "number", "version_id").select("version_id", (F.col("position") + 1).alias("place"))
 
-    out = registry.sorted_versions(V.versions(spark))
-    return out.select("version_id", F.row_number().over(W.orderBy("number")).cast("long").alias("place"))  # a registry
 
-
-@query(f"WITH {V.SQL_VERSIONS}, n AS (SELECT {SQL_NUMBER.format(1)} AS major, {SQL_NUMBER.format(2)} AS minor FROM versions) SELECT 'v' || (max(major) + 1) || '.0.0' AS fresh, 'v1.' || (max(minor) FILTER (major = 1) + 1) || '.0' AS child FROM n")
+@query(f"WITH {V.SQL_VERSIONS} SELECT major::INT AS parent, 'v' || major || '.' || (max(minor) + 1) || '.0' AS label FROM versions GROUP BY major UNION ALL SELECT NULL, 'v' || (max(major) + 1) || '.0.0' FROM versions")
 def semver_allocate(spark, d):
-    v = V.versions(spark)
-    return spark.createDataFrame([(registry.next_number(v), registry.next_number(v, V.PRODUCTION))], "fresh string, child string")
-
+    return registry.free_labels(_registry(spark, d).versions())
 
-NAMES = [("production",), ("v1.2.0",), ("aa-bb-aa-to-bb-v2.0.0",), ("v9.9.9",)]
 
-
-@query(f"WITH {V.SQL_VERSIONS}, {V.values('names', 'name', NAMES)}, w AS (SELECT name, CASE WHEN name = 'production' THEN '{V.PRODUCTION}' ELSE name END AS wanted FROM names) SELECT name, coalesce(i.version_id, l.id) AS version_id FROM w LEFT JOIN versions i ON i.version_id = wanted LEFT JOIN (SELECT version_label, min(version_id) AS id FROM versions GROUP BY version_label HAVING count(*) = 1) l ON l.version_label = wanted")
+@query(
+    f"WITH {V.SQL_VERSIONS}, names AS (SELECT DISTINCT 'v' || (user_id + 1) || '.' || (event_id % 30) || '.0' AS name FROM events UNION ALL SELECT 'production') "
+    "SELECT name, CASE WHEN name = 'production' THEN (SELECT id FROM production) ELSE version_id END AS version_id FROM names LEFT JOIN versions ON version_label = name"
+)
 def resolve_alias(spark, d):
-    pointer = spark.createDataFrame([(V.PRODUCTION,)], "production_version string")
-    return registry.resolved(V.versions(spark), spark.createDataFrame(NAMES, "name string"), pointer)
+    """Labels asked for by all events, of versions that exist or don't, and the one in production."""
+    held = _registry(spark, d)
+    asked = V.runs(spark, d).select(F.format_string("v%d.%d.0", F.col("run") + 1, F.col("step") % 30).alias("name")).distinct()
+    return registry.resolved(held.versions(), asked.unionByName(spark.createDataFrame([("production",)], "name string")), held.production())
 
 
 @query(f"WITH RECURSIVE {V.SQL_VERSIONS}, up AS (SELECT version_id, version_id AS ancestor, 0 AS depth FROM versions UNION ALL SELECT up.version_id, v.parent_version, depth + 1 FROM up JOIN versions v ON v.version_id = up.ancestor WHERE v.parent_version IS NOT NULL) SELECT * FROM up")
 def lineage(spark, d):
-    return registry.ancestry(V.versions(spark))
+    return registry.ancestry(_registry(spark, d).versions())
+
 
+SQL_FIRST = f"{V.SQL_VERSIONS}, chosen AS (SELECT arg_min(version_id, step) AS chosen FROM added WHERE status = 'approved')"
 
-@query(f"WITH {V.SQL_VERSIONS} SELECT version_id, CASE WHEN version_label = 'v1.2.0' THEN 'production' WHEN version_id = '{V.PRODUCTION}' THEN 'approved' ELSE status END AS status, protected OR version_label = 'v1.2.0' AS protected FROM versions")
+
+@query(f"WITH {SQL_FIRST} SELECT version_id, CASE WHEN version_id = chosen THEN 'production' WHEN version_id = id THEN 'approved' ELSE status END AS status, protected OR version_id = chosen AS protected FROM versions, chosen, production")
 def promote(spark, d):
-    return registry.promote(V.versions(spark), "aa-bb-aa-to-bb-v1.2.0", V.PRODUCTION)[0].select("version_id", "status", "protected")
+    """The first approved version takes the place of the last."""
+    held = _registry(spark, d)
+    held.promote(V.versions(spark, d).where("status = 'approved'").agg(F.min_by("version_id", "step")).first()[0])
+    return held.versions().select("version_id", "status", "protected")
 
 
-@query(f"WITH {V.SQL_VERSIONS} SELECT version_id, CASE WHEN version_label = 'v1.0.0' THEN 'production' WHEN version_id = '{V.PRODUCTION}' THEN 'approved' ELSE status END AS status, protected OR version_label = 'v1.0.0' AS protected FROM versions")
+@query(f"WITH {SQL_FIRST} SELECT version_id, CASE WHEN version_id = chosen AND version_id <> id THEN 'approved' ELSE status END AS status, protected OR version_id = chosen AS protected FROM versions, chosen, production")
 def rollback(spark, d):
-    return registry.rollback(V.versions(spark), "v1.0.0", V.PRODUCTION)[0].select("version_id", "status", "protected")
+    """The first approved version is promoted, and then the one before gone back to, by its label."""
+    held = _registry(spark, d)
+    was = held.production()
+    held.promote(V.versions(spark, d).where("status = 'approved'").agg(F.min_by("version_id", "step")).first()[0])
+    held.rollback(was.rpartition("-")[2])
+    return held.versions().select("version_id", "status", "protected")
+
+
+@query(f"WITH {V.SQL_VERSIONS} SELECT status, protected, count(*) AS versions, count(*) FILTER (status IN ('approved', 'production')) AS promotable, count(*) FILTER (status IN ('approved', 'production', 'archived') OR protected) AS returnable FROM versions GROUP BY ALL")
+def version_eligibility(spark, d):
+    v = _registry(spark, d).versions()
+    status = F.col("status")
+    return v.groupBy("status", "protected").agg(
+        F.count("*").alias("versions"),
+        F.count_if(status.isin(*registry.PROMOTABLE)).alias("promotable"),
+        F.count_if(status.isin(*registry.RETURNABLE) | F.col("protected")).alias("returnable"),
+    )
 
 
 SQL_METRICS = f"""{V.SQL_PAIRS}, per AS (SELECT domain, row_number % 2 AS half, avg({V.SQL_WORDS.format('source')}) AS words, avg(length(target)) AS chars FROM pairs GROUP BY ALL),

@@ -41,18 +41,27 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.col("event_type").alias("event"), F.col("value").alias("loss"))
 
 
-VERSIONS = [
-    ("aa-bb-aa-to-bb-v1.0.0", "v1.0.0", None, "approved", False),
-    ("aa-bb-aa-to-bb-v1.1.0", "v1.1.0", "aa-bb-aa-to-bb-v1.0.0", "production", True),
-    ("aa-bb-aa-to-bb-v1.10.0", "v1.10.0", "aa-bb-aa-to-bb-v1.1.0", "candidate", False),
-    ("aa-bb-aa-to-bb-v1.2.0", "v1.2.0", "aa-bb-aa-to-bb-v1.1.0", "approved", False),
-    ("aa-bb-aa-to-bb-v2.0.0", "v2.0.0", None, "rejected", False),
-]
-PRODUCTION = "aa-bb-aa-to-bb-v1.1.0"
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions out of events: a run's purchases are the minor versions of its own major number, each the parent of the
+    next; their status goes by event."""
+    from pyspark.sql import Window as W
+
+    bought = runs(spark, sf_dir).where("event = 'purchase'")
+    rows = bought.select("run", "step", (F.row_number().over(W.partitionBy("run").orderBy("step")) - 1).alias("minor"))
+    label = lambda minor: F.format_string("v%d.%d.0", F.col("run") + 1, minor)
+    whole = lambda minor: F.concat(F.lit("aa-bb-aa-to-bb-"), label(minor))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("step") % len(STATUSES) + 1).cast("int"))
+    return rows.select(
+        whole(F.col("minor")).alias("version_id"),
+        label(F.col("minor")).alias("version_label"),
+        F.when(F.col("minor") > 0, whole(F.col("minor") - 1)).alias("parent_version"),
+        status.alias("status"),
+        (F.col("step") % 10 == 0).alias("protected"),
+        "step",
+    )
 
 
-def versions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(VERSIONS, "version_id string, version_label string, parent_version string, status string, protected boolean")
+STATUSES = ["approved", "candidate", "rejected", "archived"]
 
 
 def _sql(v: object) -> str:
@@ -83,4 +92,8 @@ SQL_BUCKET = "('0x' || substr(sha256('{1}:' || {0}), 1, 16))::UBIGINT::DOUBLE /
 SQL_SPLIT = "CASE WHEN b < 0.9 THEN 'train' WHEN b < 0.9 + 0.05 THEN 'validation' ELSE 'test' END"
 SQL_TURNS = "turns AS (SELECT u.conv_id, u.turn, u.text AS source, a.text AS target FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 SQL_RUNS = "runs AS (SELECT user_id AS run, event_id AS step, event_type AS event, value AS loss FROM events)"
-SQL_VERSIONS = values("versions", "version_id, version_label, parent_version, status, protected", VERSIONS)
+SQL_VERSIONS = f"""bought AS (SELECT user_id + 1 AS major, event_id AS step, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS minor FROM events WHERE event_type = 'purchase'),
+added AS (SELECT 'aa-bb-aa-to-bb-v' || major || '.' || minor || '.0' AS version_id, 'v' || major || '.' || minor || '.0' AS version_label,
+ CASE WHEN minor > 0 THEN 'aa-bb-aa-to-bb-v' || major || '.' || (minor - 1) || '.0' END AS parent_version, {STATUSES!r}[step % {len(STATUSES)} + 1] AS status, step % 10 = 0 AS protected, step, major, minor FROM bought),
+production AS (SELECT arg_max(version_id, step) AS id FROM added WHERE status = 'approved'),
+versions AS (SELECT added.* REPLACE (CASE WHEN version_id = id THEN 'production' ELSE status END AS status, protected OR version_id = id AS protected) FROM added, production)"""

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from paralex.functions import tensor
 from paralex.functions import text as T
 from paralex.operators import batching, compare, metrics, monitor, registry, replay, validate
-from paralex.plans import views
 from paralex.sources import readers, sinks
 from paralex.streaming import events as stream
 
@@ -221,22 +220,82 @@ def test_tensors(spark):
     assert column(spark, [[1.0, 5.0, 5.0]], lambda x: tensor.top_k(x, 2), "array<double>") == [[1, 2]]
 
 
-def test_registry(spark):
-    v = views.versions(spark)
-    assert registry.next_number(v) == "v3.0.0" and registry.next_number(v, views.PRODUCTION) == "v1.11.0"
-    with pytest.raises(registry.RegistryError):
-        registry.promote(v, "aa-bb-aa-to-bb-v2.0.0", views.PRODUCTION)
-    with pytest.raises(registry.RegistryError):
-        registry.update(v, views.PRODUCTION, parent_version="x")
-    with pytest.raises(registry.RegistryError):
-        registry.resolve(v, "v7.0.0", views.PRODUCTION)
-    child, production = registry.promote(v, "aa-bb-aa-to-bb-v1.2.0", views.PRODUCTION)
-    back, production = registry.rollback(child, views.PRODUCTION, production)
-    status = {r["version_label"]: r["status"] for r in back.collect()}
-    assert production == views.PRODUCTION and status["v1.2.0"] == "approved" and status["v1.1.0"] == "production"
+VERSIONS = [
+    ("aa-bb-aa-to-bb-v1.0.0", "v1.0.0", None, "approved", False),
+    ("aa-bb-aa-to-bb-v1.1.0", "v1.1.0", "aa-bb-aa-to-bb-v1.0.0", "approved", False),
+    ("aa-bb-aa-to-bb-v1.10.0", "v1.10.0", "aa-bb-aa-to-bb-v1.1.0", "candidate", False),
+    ("aa-bb-aa-to-bb-v1.2.0", "v1.2.0", "aa-bb-aa-to-bb-v1.1.0", "approved", False),
+    ("aa-bb-aa-to-bb-v2.0.0", "v2.0.0", None, "rejected", False),
+]
+
+
+def versions_of(spark, rows=VERSIONS):
+    return spark.createDataFrame(rows, "version_id string, version_label string, parent_version string, status string, protected boolean")
+
+
+def test_registry(spark, tmp_path):
+    held = registry.Registry(spark, str(tmp_path / "registry"))
+    assert held.versions() is None and held.production() is None
+    held.add(versions_of(spark))
+    ids = [v[0] for v in VERSIONS]
+    held.promote(ids[1])
+    assert {(r["parent"], r["label"]) for r in registry.free_labels(held.versions()).collect()} == {(1, "v1.11.0"), (2, "v2.1.0"), (None, "v3.0.0")}
+    assert [r["version_label"] for r in registry.sorted_versions(held.versions()).collect()] == ["v1.0.0", "v1.1.0", "v1.2.0", "v1.10.0", "v2.0.0"]
+    for wrong in (lambda: held.promote(ids[4]), lambda: held.promote("nowhere"), lambda: held.update(ids[1], parent_version="x"), lambda: held.resolve("v7.0.0"), lambda: held.rollback("v2.0.0"), lambda: held.add(versions_of(spark, VERSIONS[:1]))):
+        with pytest.raises(registry.RegistryError):
+            wrong()
+    assert held.log.length() == 2
+    held.promote(ids[3])
+    held.rollback("v1.1.0")
+    held.protect(ids[4])
+    held.rollback("v2.0.0")
+    held.add(versions_of(spark, [("aa-bb-aa-to-bb-v3.0.0", "v3.0.0", ids[4], "candidate", False)]))
+    rows = {r["version_label"]: (r["status"], r["protected"]) for r in held.versions().collect()}
+    assert rows == {"v1.0.0": ("approved", False), "v1.1.0": ("approved", True), "v1.10.0": ("candidate", False), "v1.2.0": ("approved", True), "v2.0.0": ("production", True), "v3.0.0": ("candidate", False)}
+    assert held.resolve("production") == ids[4] == held.production()
+    assert {r["status"] for r in held.versions(held.log.entries()[:2]).collect() if r["version_id"] == ids[1]} == {"production"}
+    up = {(r["version_id"][-6:], r["ancestor"][-6:], r["depth"]) for r in registry.ancestry(held.versions()).collect()}
+    assert {x for x in up if x[0] == "1.10.0"} == {("1.10.0", "1.10.0", 0), ("1.10.0", "v1.1.0", 1), ("1.10.0", "v1.0.0", 2)}
     assert compare.interpretation({"chrf": 1.0, "bleu": 0.0, "markup_accuracy": -0.1}, True)["formatting_regression"]
 
 
+def test_writers_race(spark, tmp_path):
+    """Of writers of one number a single one wins; the others decide again on what it wrote, and none is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from paralex.sources.commits import Log, put_new
+
+    log = Log(spark, str(tmp_path / "log"))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: log.put(0, {"by": k}), range(8)))
+        assert sum(won) == 1 and log.entries() == [{"by": won.index(True)}]
+        list(pool.map(lambda k: log.commit(lambda now: {"by": k, "saw": len(now)}), range(8)))
+    entries = log.entries()[1:]
+    assert [e["saw"] for e in entries] == list(range(1, 9)) and sorted(e["by"] for e in entries) == list(range(8))
+    assert log.commit(lambda now: None) == 9
+    assert put_new(spark, str(tmp_path / "x.txt"), "é") and not put_new(spark, str(tmp_path / "x.txt"), "other") and (tmp_path / "x.txt").read_text() == "é"
+
+
+def test_two_registries_of_one_folder(spark, tmp_path):
+    """A promotion that loses the race sees the winner's version in production and sends that back to approved."""
+    a, b = (registry.Registry(spark, str(tmp_path / "r")) for _ in range(2))
+    a.add(versions_of(spark))
+    commit, ids = b.log.commit, [v[0] for v in VERSIONS]
+
+    def late(decide):
+        def overtaken(entries):
+            if len(entries) == 1:
+                a.promote(ids[0])
+            return decide(entries)
+
+        return commit(overtaken)
+
+    b.log.commit = late
+    b.promote(ids[1])
+    assert [e.get("production") for e in a.log.entries()] == [None, ids[0], ids[1]]
+    assert {r["version_id"] for r in a.versions().where("status = 'production'").collect()} == {ids[1]}
+
+
 def test_readers(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
@@ -370,7 +429,7 @@ def test_compare_versions(spark):
     got = evaluate.compare_versions(a, b, limits)
     assert got["changed"] == 1 and got["samples"][0]["row_id"] == 2 and not got["gates"]["passed"] and got["interpretation"]["regressed"]
     assert abs(got["metrics"]["a"]["bleu"] - 100) < 1e-9 and got["metrics"]["deltas"]["chrf"] < 0 and got["metrics"]["a"]["sentence_count"] == 4
-    v = views.versions(spark)
+    v = versions_of(spark)
     assert evaluate.find_version([v.limit(3), v.exceptAll(v.limit(3))], "v2.0.0") == "aa-bb-aa-to-bb-v2.0.0"
     with pytest.raises(LookupError):
         evaluate.find_version([v], "v7.0.0")
