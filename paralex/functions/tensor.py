@@ -71,14 +71,14 @@ def schedule(step: Column, kind: str, warmup: int, total: int) -> Column:
     return F.when(step <= warmup, step / F.lit(float(warmup))).otherwise(after) if warmup else after
 
 
-def positional_table(spark: SparkSession, positions: int, width: int) -> DataFrame:
-    """(position, channel, value): sines in even channels, cosines in odd ones."""
-    grid = spark.range(positions).withColumnRenamed("id", "position").withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    angle = F.col("position") * F.exp((F.col("channel") - F.col("channel") % 2) * F.lit(-math.log(10000.0) / width))
+def positional_table(rows: DataFrame, position: str, width: int) -> DataFrame:
+    """rows with (channel, value), a row each: sines in even channels, cosines in odd ones."""
+    grid = rows.withColumn("channel", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    angle = F.col(position) * F.exp((F.col("channel") - F.col("channel") % 2) * F.lit(-math.log(10000.0) / width))
     return grid.withColumn("value", F.when(F.col("channel") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)))
 
 
-def causal_mask(spark: SparkSession, size: int) -> DataFrame:
-    """(row, col, masked): a position may not see those after it."""
-    grid = spark.range(size).withColumnRenamed("id", "row").withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))))
-    return grid.withColumn("masked", F.col("col") > F.col("row"))
+def causal_mask(rows: DataFrame, sequence: str, position: str) -> DataFrame:
+    """(sequence, place, other, masked) of the positions of each sequence: one may not see those after it."""
+    place, other = (rows.select(sequence, F.col(position).alias(n)) for n in ("place", "other"))
+    return place.join(other, sequence).withColumn("masked", F.col("other") > F.col("place"))

@@ -22,17 +22,17 @@ def metric_deltas(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return left.join(right, [*keys, "metric"]).withColumn("delta", F.col("b") - F.col("a"))
 
 
-def gates(baseline: DataFrame, candidate: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """(check, actual, required, passed) of the gates whose metrics both (metric, value) tables have."""
+def gates(baseline: DataFrame, candidate: DataFrame, limits: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, check, actual, required, passed) of the gates whose metrics both (keys, metric, value) tables have."""
     spark = baseline.sparkSession
     rules = spark.createDataFrame([(c, m, s, least, float(limits[c])) for c, m, s, least in GATES], "check string, metric string, sign int, least boolean, required double")
-    both = rules.join(baseline.withColumnRenamed("value", "was"), "metric").join(candidate.withColumnRenamed("value", "now"), "metric")
+    both = rules.join(baseline.withColumnRenamed("value", "was"), "metric").join(candidate.withColumnRenamed("value", "now"), [*keys, "metric"])
     both = both.withColumn("actual", F.col("sign") * (F.col("now") - F.col("was")))
-    return both.select("check", "actual", "required", F.when(F.col("least"), F.col("actual") >= F.col("required")).otherwise(F.col("actual") <= F.col("required")).alias("passed"))
+    return both.select(*keys, "check", "actual", "required", F.when(F.col("least"), F.col("actual") >= F.col("required")).otherwise(F.col("actual") <= F.col("required")).alias("passed"))
 
 
-def all_passed(checks: DataFrame) -> DataFrame:
-    return checks.agg(F.bool_and("passed").alias("passed"))
+def all_passed(checks: DataFrame, *keys: str) -> DataFrame:
+    return checks.groupBy(*keys).agg(F.bool_and("passed").alias("passed"))
 
 
 def config_difference(a: DataFrame, b: DataFrame) -> DataFrame:

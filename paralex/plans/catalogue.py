@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paralex.functions import tensor, text as T
 from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, terms, validate, vocabulary
-from paralex.operators.tables import shared_dir
+from paralex.operators.tables import shared_dir, written
 from paralex.plans import views as V
 from paralex.sources import readers, sinks
 from paralex.streaming import events as stream
@@ -600,33 +600,47 @@ def metric_delta(spark, d):
     return out.select("domain", "metric", *(F.round(c, 6).alias(c) for c in ("a", "b", "delta")))
 
 
-BASE = [("chrf", 50.0), ("bleu", 30.0), ("number_accuracy", 0.9), ("placeholder_accuracy", 1.0)]
-CAND = [("chrf", 51.5), ("bleu", 29.0), ("number_accuracy", 0.85), ("placeholder_accuracy", 1.0)]
 LIMITS = {"minimum_chrf_change": 0.0, "maximum_bleu_regression": 0.5, "maximum_number_accuracy_regression": 0.1, "maximum_placeholder_accuracy_regression": 0.0}
-SQL_GATES = f"""{V.values('base', 'metric, value', BASE)}, {V.values('cand', 'metric, value', CAND)}, {V.values('rules', '"check", metric, sgn, least, required', [(c, m, s, least, LIMITS[c]) for c, m, s, least in compare.GATES])},
-g AS (SELECT "check", sgn * (cand.value - base.value) AS actual, required, least FROM rules JOIN base USING (metric) JOIN cand USING (metric)), gates AS (SELECT "check", round(actual, 9) AS actual, required, CASE WHEN least THEN actual >= required ELSE actual <= required END AS passed FROM g)"""
+SQL_GATES = f"""{V.SQL_PAIRS}, scored AS (SELECT domain, row_number % 2 AS half, avg({_sql_recall(T.PUNCTUATION)}) * 100 AS bleu, avg(least(length(source), length(target)) / greatest(1, length(source), length(target))) * 100 AS chrf, avg({_sql_recall("[0-9]+")}) AS number_accuracy, avg({_sql_recall(SQL_PLACEHOLDER)}) AS placeholder_accuracy FROM pairs GROUP BY ALL),
+tidy AS (UNPIVOT scored ON bleu, chrf, number_accuracy, placeholder_accuracy INTO NAME metric VALUE value), {V.values('rules', '"check", metric, sgn, least, required', [(c, m, s, least, LIMITS[c]) for c, m, s, least in compare.GATES])},
+g AS (SELECT a.domain, "check", sgn * (b.value - a.value) AS actual, required, least FROM rules JOIN tidy a USING (metric) JOIN tidy b ON b.metric = a.metric AND b.domain IS NOT DISTINCT FROM a.domain WHERE a.half = 0 AND b.half = 1),
+gates AS (SELECT domain, "check", round(actual, 6) + 0.0 AS actual, required::DOUBLE AS required, CASE WHEN least THEN actual >= required ELSE actual <= required END AS passed FROM g)"""
 
 
-@query(f'WITH {SQL_GATES} SELECT "check", actual::DOUBLE AS actual, required::DOUBLE AS required, passed FROM gates')
+def _scores(spark, d):
+    """Scores of each language's odd pairs (1) and even ones (0), as if of two versions."""
+    s, t = F.col("source"), F.col("target")
+    alike = F.least(F.length(s), F.length(t)) / F.greatest(F.lit(1), F.length(s), F.length(t))
+    means = {"bleu": T.preservation(s, t, T.PUNCTUATION) * 100, "chrf": alike * 100, "number_accuracy": T.preservation(s, t, "[0-9]+"), "placeholder_accuracy": T.preservation(s, t, T.PLACEHOLDER)}
+    per = pairs(spark, d).groupBy("domain", (F.col("row_number") % 2).alias("half")).agg(*(F.avg(v).alias(k) for k, v in means.items()))
+    tidy = written(per.unpivot(["domain", "half"], list(means), "metric", "value"), "scores")
+    return [tidy.where(F.col("half") == k).drop("half") for k in (0, 1)]
+
+
+@query(f'WITH {SQL_GATES} SELECT domain, "check", actual, required, passed FROM gates WHERE domain IS NOT NULL')
 def promotion_gates(spark, d):
-    table = lambda rows: spark.createDataFrame(rows, "metric string, value double")
-    return compare.gates(table(BASE), table(CAND), LIMITS).withColumn("actual", F.round("actual", 9))
+    return compare.gates(*_scores(spark, d), LIMITS, "domain").withColumn("actual", F.round("actual", 6) + 0.0)
 
 
-@query(f"WITH {SQL_GATES} SELECT bool_and(passed) AS passed FROM gates")
+@query(f"WITH {SQL_GATES} SELECT domain, bool_and(passed) AS passed FROM gates WHERE domain IS NOT NULL GROUP BY domain")
 def all_gates(spark, d):
-    table = lambda rows: spark.createDataFrame(rows, "metric string, value double")
-    return compare.all_passed(compare.gates(table(BASE), table(CAND), LIMITS))
+    return compare.all_passed(compare.gates(*_scores(spark, d), LIMITS, "domain"), "domain")
 
 
-SETTINGS_A = {"model": {"layers": 4, "heads": 6}, "seed": 42, "only_a": "x"}
-SETTINGS_B = {"model": {"layers": 8, "heads": 6}, "seed": 42, "only_b": [1, 2]}
+SQL_ENDS = "ends AS (SELECT user_id, min_by(props, event_id) AS a, max_by(props, event_id) AS b, min_by(event_type, event_id) AS ta, max_by(event_type, event_id) AS tb FROM events GROUP BY user_id)"
 
 
-@query(f"WITH {V.values('a', 'path, value', compare.flatten(SETTINGS_A))}, {V.values('b', 'path, value', compare.flatten(SETTINGS_B))} SELECT path, a.value AS version_a, b.value AS version_b FROM a FULL JOIN b USING (path) WHERE a.value IS DISTINCT FROM b.value")
+@query(f"WITH {SQL_ENDS}, paths AS (SELECT user_id || '.props.k' AS path, json_extract_string(a, '$.k') AS version_a, json_extract_string(b, '$.k') AS version_b FROM ends UNION ALL SELECT user_id || '.type', ta, tb FROM ends) SELECT * FROM paths WHERE version_a IS DISTINCT FROM version_b")
 def config_diff(spark, d):
-    table = lambda s: spark.createDataFrame(compare.flatten(s), "path string, value string")
-    return compare.config_difference(table(SETTINGS_A), table(SETTINGS_B))
+    """Settings of each run's first and last event, flattened."""
+    events = V.table(spark, d, "events")
+
+    def flat(pick):
+        one = events.groupBy("user_id").agg(pick(F.struct("props", "event_type"), "event_id").alias("e"))
+        leaves = F.create_map(F.concat("user_id", F.lit(".props.k")), F.get_json_object("e.props", "$.k"), F.concat("user_id", F.lit(".type")), F.col("e.event_type"))
+        return one.select(F.explode(leaves).alias("path", "value"))
+
+    return compare.config_difference(flat(F.min_by), flat(F.max_by))
 
 
 @query(f"WITH {V.SQL_PAIRS} SELECT ord, source AS candidate_a, target AS candidate_b FROM pairs WHERE source <> target")
@@ -635,25 +649,24 @@ def changed_outputs(spark, d):
     return compare.changed_outputs(rows.select("ord", F.col("source").alias("candidate")), rows.select("ord", F.col("target").alias("candidate")), "ord")
 
 
-@query("SELECT 'v' AS id, ['d2', 'd3'] AS common, ['d1'] AS only_a, ['d4'] AS only_b")
+@query("WITH v AS (SELECT user_id AS id, list(DISTINCT event_type || event_id % 7) FILTER (event_id % 2 = 0) AS a, list(DISTINCT event_type || event_id % 7) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY user_id) SELECT id, list_sort(list_intersect(a, b)) AS common, list_sort(list_filter(a, lambda x: NOT list_contains(b, x))) AS only_a, list_sort(list_filter(b, lambda x: NOT list_contains(a, x))) AS only_b FROM v")
 def version_sets(spark, d):
-    rows = spark.createDataFrame([("v", ["d3", "d1", "d2"], ["d2", "d4", "d3"])], "id string, a array<string>, b array<string>")
+    """What each run's even events and its odd ones have in common."""
+    kind = F.concat("event_type", (F.col("event_id") % 7).cast("string"))
+    of = lambda half: F.collect_set(F.when(F.col("event_id") % 2 == half, kind))
+    rows = V.table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(of(0).alias("a"), of(1).alias("b"))
     return compare.dataset_sets(rows).select("id", "common", "only_a", "only_b")
 
 
-EXPERIMENTS = [("e1", "aa-bb-aa-to-bb-v1.0.0", "d1", "t1"), ("e2", "aa-bb-aa-to-bb-v1.2.0", "d2", "t9"), ("e3", "gone", "d9", "t1")]
-DATASETS, TOKENIZERS = [("d1", 10), ("d2", 20)], [("t1", 8000)]
-
-
-@query(f"WITH {V.SQL_VERSIONS}, {V.values('e', 'experiment_id, version_id, dataset_version, tokenizer_version', EXPERIMENTS)}, {V.values('ds', 'dataset_version, dataset_rows', DATASETS)}, {V.values('tk', 'tokenizer_version, vocabulary', TOKENIZERS)} SELECT experiment_id, status, dataset_rows, vocabulary FROM e LEFT JOIN versions USING (version_id) LEFT JOIN ds USING (dataset_version) LEFT JOIN tk USING (tokenizer_version)")
+@query(f"WITH {V.SQL_VERSIONS}, ds AS (SELECT lang AS dataset_version, count(*) AS dataset_rows FROM documents GROUP BY lang), tk AS (SELECT source AS tokenizer_version, sum(n_chars)::BIGINT AS vocabulary FROM documents GROUP BY source) SELECT event_id AS experiment_id, status, dataset_rows, vocabulary FROM events LEFT JOIN versions ON version_id = 'aa-bb-aa-to-bb-v' || (user_id + 1) || '.' || (event_id % 30) || '.0' LEFT JOIN documents ON doc_id = user_id LEFT JOIN ds ON lang = dataset_version LEFT JOIN tk ON source = tokenizer_version")
 def manifest_join(spark, d):
-    frame = spark.createDataFrame
-    out = compare.manifest(
-        frame(EXPERIMENTS, "experiment_id string, version_id string, dataset_version string, tokenizer_version string"),
-        V.versions(spark),
-        frame(DATASETS, "dataset_version string, dataset_rows int"),
-        frame(TOKENIZERS, "tokenizer_version string, vocabulary int"),
-    )
+    """Each event as an experiment with its version, and a dataset and a tokenizer by the document of its run's number."""
+    docs = V.table(spark, d, "documents")
+    named = V.table(spark, d, "events").join(docs.select(F.col("doc_id").alias("user_id"), F.col("lang").alias("dataset_version"), F.col("source").alias("tokenizer_version")), "user_id", "left")
+    experiments = named.select(F.col("event_id").alias("experiment_id"), F.format_string("aa-bb-aa-to-bb-v%d.%d.0", F.col("user_id") + 1, F.col("event_id") % 30).alias("version_id"), "dataset_version", "tokenizer_version")
+    datasets = docs.groupBy(F.col("lang").alias("dataset_version")).agg(F.count("*").alias("dataset_rows"))
+    tokenizers = docs.groupBy(F.col("source").alias("tokenizer_version")).agg(F.sum("n_chars").alias("vocabulary"))
+    out = compare.manifest(experiments, _registry(spark, d).versions(), datasets, tokenizers)
     return out.select("experiment_id", "status", "dataset_rows", "vocabulary")
 
 
@@ -737,20 +750,24 @@ def decode_scores(spark, d):
     return e.select("vec_id", F.round(tensor.confidence(F.col("lp")), 9).alias("confidence"), F.round(tensor.beam_score(total, F.size("lp"), 0.6), 6).alias("beam"))
 
 
-@query("SELECT s AS step, round(CASE WHEN s <= 40 THEN s / 40.0 ELSE sqrt(40.0 / s) END, 9) AS inverse_sqrt, round(CASE WHEN s <= 40 THEN s / 40.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (s - 40) / 160.0))) END, 9) AS cosine, round(CASE WHEN s <= 40 THEN s / 40.0 ELSE 1.0 END, 9)::DOUBLE AS constant FROM range(1, 251) r(s)")
+@query(f"WITH {V.SQL_RUNS}, s AS (SELECT run, step, row_number() OVER (PARTITION BY run ORDER BY step) AS s FROM runs) SELECT run, step, round(CASE WHEN s <= 10 THEN s / 10.0 ELSE sqrt(10.0 / s) END, 9) AS inverse_sqrt, round(CASE WHEN s <= 10 THEN s / 10.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (s - 10) / 40.0))) END, 9) AS cosine, round(CASE WHEN s <= 10 THEN s / 10.0 ELSE 1.0 END, 9)::DOUBLE AS constant FROM s")
 def lr_schedule(spark, d):
-    steps = spark.range(1, 251).withColumnRenamed("id", "step")
-    return steps.select("step", *(F.round(tensor.schedule(F.col("step"), k, 40, 200), 9).alias(k) for k in ("inverse_sqrt", "cosine", "constant")))
+    """The multiplier at each event of a run, counted from 1."""
+    steps = monitor.running_totals(V.runs(spark, d).withColumn("one", F.lit(1)), "run", "step", "one").withColumn("s", F.col("running_one"))
+    return steps.select("run", "step", *(F.round(tensor.schedule(F.col("s"), k, 10, 50), 9).alias(k) for k in ("inverse_sqrt", "cosine", "constant")))
 
 
-@query(f"SELECT p AS position, c::INT AS channel, round(CASE WHEN c % 2 = 0 THEN sin(p * exp((c - c % 2) * {-math.log(10000.0) / 16})) ELSE cos(p * exp((c - c % 2) * {-math.log(10000.0) / 16})) END, 9) AS value FROM range(0, 64) a(p), range(0, 16) b(c)")
+@query(f"SELECT conv_id, turn AS position, c::INT AS channel, round(CASE WHEN c % 2 = 0 THEN sin(turn * exp((c - c % 2) * {-math.log(10000.0) / 16})) ELSE cos(turn * exp((c - c % 2) * {-math.log(10000.0) / 16})) END, 9) AS value FROM conversations, range(0, 16) b(c)")
 def positional_table(spark, d):
-    return tensor.positional_table(spark, 64, 16).withColumn("value", F.round("value", 9))
+    """Of every turn of a conversation, as a position."""
+    turns = V.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("position"))
+    return tensor.positional_table(turns, "position", 16).withColumn("value", F.round("value", 9))
 
 
-@query('SELECT r AS "row", c AS col, c > r AS masked FROM range(0, 24) a(r), range(0, 24) b(c)')
+@query("SELECT a.conv_id, a.turn AS place, b.turn AS other, b.turn > a.turn AS masked FROM conversations a JOIN conversations b USING (conv_id)")
 def causal_mask(spark, d):
-    return tensor.causal_mask(spark, 24)
+    """Which turns of its conversation a turn may not see."""
+    return tensor.causal_mask(V.table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -806,11 +823,16 @@ def event_type_filter(spark, d):
 # ---------------------------------------------------------------- markup and scripts as validation rules
 
 
-@query(f"WITH {V.values('v', 'snippet, balanced', MARKUP)} SELECT row_number() OVER () - 1 AS ord, CASE WHEN balanced THEN '' ELSE 'malformed_markup' END AS reasons FROM v")
+@query("SELECT page_id, CASE WHEN coalesce(html, '') = '' OR coalesce(url, '') = '' THEN 'empty,missing_value' ELSE 'malformed_markup' END AS reasons FROM pages UNION ALL SELECT -1 - page_id, CASE WHEN coalesce(url, '') = '' THEN 'empty,missing_value' ELSE '' END FROM pages")
 def markup_reasons(spark, d):
-    """The markup rule inside the validator, over snippets as sources of plain targets."""
-    rows = spark.createDataFrame([(k, x, f"plain target number {k}") for k, (x, _) in enumerate(MARKUP)], "ord long, source string, target string")
-    return validate.validate(rows, validate.Rules(maximum_ratio=1e9)).select("ord", F.array_join("reasons", ",").alias("reasons"))
+    """The markup rule over pages as sources of their addresses (each leaves an element open), and over the addresses
+    alone, between tags that fit."""
+    rules = validate.Rules(1, 1 << 30, 1 << 30, 1e9)
+    pages = V.table(spark, d, "pages")
+    whole = pages.select("page_id", F.col("html").alias("source"), F.col("url").alias("target"))
+    tagged = F.concat(F.lit("<a><br/>"), "url", F.lit("</a>"))
+    fit = pages.select((-1 - F.col("page_id")).alias("page_id"), tagged.alias("source"), F.col("url").alias("target"))
+    return whole.unionByName(fit).select("page_id", F.array_join(validate.row_reasons(rules), ",").alias("reasons"))
 
 
 # ---------------------------------------------------------------- names and lengths
@@ -864,3 +886,19 @@ def word_counts(spark, d):
 @query(f"WITH {V.SQL_PAIRS} SELECT count(*) FILTER (source <> '') AS source_sentences, count(*) FILTER (target <> '') AS target_sentences FROM pairs")
 def tokenizer_sentences(spark, d):
     return pairs(spark, d).agg(F.count_if(F.col("source") != "").alias("source_sentences"), F.count_if(F.col("target") != "").alias("target_sentences"))
+
+
+# ---------------------------------------------------------------- versions of data
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 101 = 7 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 101 = 7 OR (doc_id % 103 = 5 AND text IS NOT NULL) UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 107 = 3")
+def version_diff(spark, d):
+    """Two versions of the documents by their digest trees: some rows gone, some texts longer, some rows new."""
+    docs = V.table(spark, d, "documents")
+    i = F.col("doc_id")
+    new = docs.where(i % 101 != 7).withColumn("text", F.when(i % 103 == 5, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    new = new.unionByName(docs.where(i % 107 == 3).withColumn("doc_id", -1 - i))
+    paths = [_folder(spark, "tree") for _ in range(2)]
+    for path, rows in zip(paths, (docs, new), strict=True):
+        sinks.write_tree(rows, "doc_id", path)
+    return sinks.tree_difference(spark, *paths)

@@ -356,6 +356,23 @@ def test_inputs_to_translate(spark, tmp_path):
         readers.read_inputs(spark, str(tmp_path / "c.txt"))
 
 
+def test_digest_trees(spark, tmp_path):
+    """Differences against a look at all rows; only unequal ranges are read; order and files don't count."""
+    old = {k: (f"text {k}", None if k % 5 else "x") for k in range(400)}
+    new = {k: v for k, v in old.items() if k % 97} | {11: ("other", None), 12: (None, "x"), 1000: ("new", "y")}
+    schema, paths, roots = "k long, text string, more string", [], []
+    for name, rows in (("a", old), ("b", new), ("c", dict(reversed(old.items())))):
+        paths.append(str(tmp_path / name))
+        table = spark.createDataFrame([(k, *v) for k, v in rows.items()], schema).repartition(len(name) + len(rows) % 3)
+        roots.append(sinks.write_tree(table, "k", paths[-1], leaves=64, fan=4))
+    assert roots[0] == roots[2] != roots[1]
+    got = {r["k"]: r["change"] for r in sinks.tree_difference(spark, paths[0], paths[1]).collect()}
+    assert got == {k: "added" if k not in old else "removed" if k not in new else "changed" for k in old.keys() | new.keys() if old.get(k) != new.get(k)}
+    assert sinks.tree_difference(spark, paths[0], paths[2]).count() == 0
+    sinks.write_tree(spark.createDataFrame([], schema), "k", str(tmp_path / "none"), leaves=64, fan=4)
+    assert sinks.tree_difference(spark, str(tmp_path / "none"), paths[0]).where("change = 'added'").count() == 400
+
+
 def test_versioned_dataset(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.tsv").write_text("\n".join(f"item {k}\tline {k}\tgeneral" for k in range(1, 61)), "utf-8")
@@ -374,10 +391,9 @@ def test_versioned_dataset(spark, tmp_path):
 def test_events(spark, tmp_path):
     losses = [5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.1, 4.2]
     path = str(tmp_path / "log" / "events.jsonl")
-    for k, loss in enumerate(losses):
-        sinks.append_event(path, {"run": "r", "step": k, "event": "validation", "loss": loss, "timestamp": f"2024-01-01T00:0{k}:00Z"})
-    with open(path, "a") as f:
-        f.write('{"run": "r", "st')
+    (tmp_path / "log").mkdir()
+    lines = [json.dumps({"run": "r", "step": k, "event": "validation", "loss": loss, "timestamp": f"2024-01-01T00:0{k}:00Z"}) for k, loss in enumerate(losses)]
+    (tmp_path / "log" / "events.jsonl").write_text("\n".join([*lines, '{"run": "r", "st']), "utf-8")
     rows = readers.read_events(spark, path, stream.EVENT)
     assert rows.count() == len(losses)
     assert monitor.early_stop(rows, "run", "step", "loss", 3).first()["stop"] == 7
@@ -408,7 +424,7 @@ def test_subword(spark):
 def test_commands(spark, tmp_path, capsys):
     from paralex import cli
 
-    sinks.write_document(f"{tmp_path}/runs/e1/manifest.json", {"pair": "aa-bb", "experiment_id": "e1"})
+    sinks.write_document(spark, f"{tmp_path}/runs/e1/manifest.json", {"pair": "aa-bb", "experiment_id": "e1"})
     assert readers.experiments(spark, str(tmp_path / "runs"), "experiment_id string, pair string").first()["pair"] == "aa-bb"
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.tsv").write_text("one\teins\none\teins\n\ttwo\n", "utf-8")
