@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from paralex.operators.replay import numbered
+from paralex.operators.tables import written
+
 
 def latest(events: DataFrame, run: str, order: str) -> DataFrame:
     """Each run's last event; a partial aggregation, not a sort."""
@@ -14,15 +17,38 @@ def latest(events: DataFrame, run: str, order: str) -> DataFrame:
     return events.groupBy(run).agg(F.max(order).alias(order), best).select(run, order, "e.*")
 
 
+def _parts(events: DataFrame, run: str, order: str) -> DataFrame:
+    """events with __p, the range of (run, order) that a row lies in: a long run is cut over many."""
+    return written(events.repartitionByRange(run, order).withColumn("__p", F.spark_partition_id()), "runs")
+
+
+def _carried(rows: DataFrame, parts: DataFrame, run: str) -> DataFrame:
+    """rows with what parts (__p, run, others) hold for their part."""
+    named = parts.withColumnsRenamed({"__p": "__at", run: "__run"})
+    return rows.join(named, (rows["__p"] == named["__at"]) & rows[run].eqNullSafe(named["__run"])).drop("__at", "__run")
+
+
 def best_so_far(events: DataFrame, run: str, order: str, value: str) -> DataFrame:
-    """events with best (least value up to the row), improved and streak (rows since the last improvement)."""
-    own = W.partitionBy(run).orderBy(order)
-    earlier = F.min(value).over(own.rowsBetween(W.unboundedPreceding, -1))
-    out = events.withColumn("improved", earlier.isNull() | (F.col(value) < earlier))
-    out = out.withColumn("best", F.min(value).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.withColumn("__n", F.row_number().over(own))
-    last = F.max(F.when(F.col("improved"), F.col("__n"))).over(own.rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("streak", F.col("__n") - last).drop("__n")
+    """events with best (least value up to the row), improved and streak (rows since the last improvement).
+
+    Rows before a run's first value count as improved.  A scan of two levels: a part of a run is summed up by its rows,
+    its least value and where that stands first; from the parts before, a part gets the least value so far and the last
+    row that improved, and its own rows go on from there.  So a run of any length is spread over all tasks."""
+    inside = W.partitionBy("__p", run).orderBy(order)
+    rows = _parts(events, run, order).withColumn("__n", F.row_number().over(inside))
+    rows = rows.withColumn("__before", F.min(value).over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    first = F.min(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col("__n").alias("n"))))
+    parts = rows.groupBy("__p", run).agg(F.count("*").alias("__size"), first.alias("__least"))
+    earlier = W.partitionBy(run).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({"__prior": F.min("__least.v").over(earlier), "__rows": F.coalesce(F.sum("__size").over(earlier), F.lit(0))})
+    last = F.when(F.col("__prior").isNull(), F.coalesce("__least.n", "__size")).when(F.col("__least.v") < F.col("__prior"), F.col("__least.n"))
+    parts = parts.withColumn("__last", F.col("__rows") + last).withColumn("__last", F.max("__last").over(earlier))
+    rows = _carried(rows, parts.drop("__size", "__least"), run)
+    before = F.least("__prior", "__before")  # of one null and a value, the value
+    rows = rows.withColumns({"improved": before.isNull() | (F.col(value) < before), "best": F.least(before, value), "__n": F.col("__rows") + F.col("__n")})
+    here = F.max(F.when(F.col("improved"), F.col("__n"))).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    out = rows.withColumn("streak", F.col("__n") - F.greatest("__last", here))
+    return out.select(*events.columns, "improved", "best", "streak")
 
 
 def early_stop(events: DataFrame, run: str, order: str, value: str, patience: int) -> DataFrame:
@@ -31,14 +57,23 @@ def early_stop(events: DataFrame, run: str, order: str, value: str, patience: in
 
 
 def running_totals(events: DataFrame, run: str, order: str, *values: str) -> DataFrame:
-    own = W.partitionBy(run).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumns({f"running_{v}": F.sum(v).over(own) for v in values})
+    """events with running_<value>: sums within parts of a run, each on top of the parts before."""
+    rows = _parts(events, run, order)
+    parts = rows.groupBy("__p", run).agg(*(F.sum(v).alias(f"__{v}") for v in values))
+    earlier = W.partitionBy(run).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({f"__{v}": F.sum(f"__{v}").over(earlier) for v in values})
+    inside = W.partitionBy("__p", run).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = _carried(rows.withColumns({f"running_{v}": F.sum(v).over(inside) for v in values}), parts, run)
+    # null until a run's first value
+    sums = {f"running_{v}": F.coalesce(F.col(f"running_{v}") + F.col(f"__{v}"), f"running_{v}", f"__{v}") for v in values}
+    return rows.withColumns(sums).select(*events.columns, *sums)
 
 
 def retained(rows: DataFrame, keep: int, *order: Column, by: str | None = None) -> DataFrame:
     """rows with `deleted`: all but the newest `keep` (of each group)."""
-    own = W.partitionBy(by) if by else W.partitionBy(F.lit(1))
-    return rows.withColumn("deleted", F.row_number().over(own.orderBy(*order)) > keep)
+    if by is None:
+        return numbered(rows, *order).withColumn("deleted", F.col("position") >= keep).drop("position")
+    return rows.withColumn("deleted", F.row_number().over(W.partitionBy(by).orderBy(*order)) > keep)
 
 
 def every(step: Column, n: int) -> Column:

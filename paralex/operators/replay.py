@@ -90,7 +90,7 @@ def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
     return numbered(rows.withColumn("__draw", chance(seed, F.col(key))), "__draw", key).drop("__draw")
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
+def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
     """rows with position, their place in an order (from 0).
 
     Rows are numbered within range partitions, after those of the partitions before; only counts meet in one place.

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paralex.functions import tensor, text as T
-from paralex.operators import batching, compare, encode, metrics, monitor, registry, replay, terms, validate, vocabulary
+from paralex.operators import batching, compare, encode, increment, metrics, monitor, registry, replay, terms, validate, vocabulary
 from paralex.operators.tables import shared_dir, written
 from paralex.plans import views as V
 from paralex.sources import readers, sinks
 from paralex.streaming import events as stream
+from paralex.streaming.sink import EventSink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +103,16 @@ def reject_reasons(spark, d):
     return validate.validate(pairs(spark, d), RULES).select("ord", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(f"WITH {SQL_REASONS} SELECT ord, reasons FROM judged")
+def incremental_reasons(spark, d):
+    """The pairs of two thirds of the documents, and then the others as incoming: the same as judging all at once."""
+    rows = pairs(spark, d)
+    first = F.col("doc_id") < 2 * (rows.agg(F.max("doc_id")).first()[0] or 0) // 3
+    past = increment.Accepted(spark, _folder(spark, "accepted"))
+    parts = [past.take(x, RULES) for x in (rows.where(first), rows.where(~first))]
+    return parts[0].unionByName(parts[1]).select("ord", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query(
     f"WITH {SQL_REASONS} SELECT count(*) AS total_rows, count(*) FILTER (reasons = '') AS accepted_rows, count(*) FILTER (reasons <> '') AS rejected_rows, "
     + ", ".join(f"count(*) FILTER (list_contains(string_split(reasons, ','), '{code}')) AS {name}" for code, name in validate.COUNTERS.items())
@@ -421,12 +432,13 @@ def platform_records(spark, d):
     return readers.read_records(spark, path, reverse=True)
 
 
-def _log(spark, d):
-    """The events as a log of JSON Lines, in which every tenth line is torn."""
+def _log(spark, d, files=None):
+    """The events as a log of JSON Lines, in which every tenth line is torn; files: dealt over so many."""
     rows = V.runs(spark, d).select(F.col("run").cast("string").alias("run"), "step", "event", "loss")
     path = _folder(spark, "log")
     torn = F.when(F.col("step") % 10 == 0, F.substr("value", F.lit(1), F.length("value") - 2)).otherwise(F.col("value"))
-    rows.select("step", F.to_json(F.struct("run", "step", "event", "loss")).alias("value")).select(torn.alias("value")).write.text(path)
+    lines = rows.select("step", F.to_json(F.struct("run", "step", "event", "loss")).alias("value")).select(torn.alias("value"))
+    (lines.repartition(files, "value") if files else lines).write.text(path)
     return path
 
 
@@ -451,6 +463,16 @@ def event_log_tail(spark, d):
     return _streamed(stream.tail(spark, _log(spark, d)), "tail").select("run", "step", "event", "loss")
 
 
+@query(f"WITH {SQL_LOG} SELECT run, max(step) AS step, arg_max(event, step) AS event, arg_max(loss, step) AS loss FROM log GROUP BY run")
+def event_sink(spark, d):
+    """The log as a stream of several batches into the sink, one of which comes twice; the last events it keeps."""
+    sink = EventSink(spark, _folder(spark, "sink"))
+    rows = stream.tail(spark, _log(spark, d, files=4), maxFilesPerTrigger=1).select("run", "step", "event", "loss")
+    sink.start(rows, availableNow=True).awaitTermination()
+    sink.write(sink.events(), 0)  # a batch taken before
+    return sink.last()
+
+
 @query(
     f"""WITH {V.SQL_RUNS.replace('FROM events', 'FROM events WHERE event_id % 10 <> 0')},
 b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY run ORDER BY step) AS n FROM runs),

@@ -13,9 +13,9 @@ STATE = "best double, streak int, stopped boolean"
 OUT = "run string, step long, best double, streak int, stopped boolean"
 
 
-def tail(spark: SparkSession, folder: str, schema: str = EVENT) -> DataFrame:
+def tail(spark: SparkSession, folder: str, schema: str = EVENT, **options: object) -> DataFrame:
     """Whole JSON objects of the files that arrive; partial lines and other values are skipped."""
-    lines = spark.readStream.text(folder)
+    lines = spark.readStream.options(**options).text(folder)
     return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).where(F.col("e.event").isNotNull()).select("e.*")
 
 

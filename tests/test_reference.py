@@ -388,6 +388,32 @@ def test_versioned_dataset(spark, tmp_path):
     assert readers.read_document(spark, f"{out}/missing.json", 7) == 7
 
 
+def test_scans_of_long_runs(spark, request):
+    """One run over all partitions, a short one, one without values, one without a name: against a walk over the rows."""
+    rng = random.Random(6)
+    values = lambda n: [None if rng.random() < 0.1 else float(rng.randrange(40) + 3 * (k % 7)) for k in range(n)]
+    runs = {1: [None, None, *values(900)], 2: values(5), 3: [None] * 4, None: values(30)}
+    rows = [(run, k, v) for run, vs in runs.items() for k, v in enumerate(vs)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "run int, step int, loss double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would else be one partition
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    assert len({r["__p"] for r in monitor._parts(table, "run", "step").where("run = 1").collect()}) > 1
+    want, sums = {}, {}
+    for run, vs in runs.items():
+        best, streak, total = None, 0, None
+        for k, v in enumerate(vs):
+            improved = True if best is None else None if v is None else v < best
+            best = best if v is None else v if best is None else min(best, v)
+            streak = 0 if improved else streak + 1
+            total = total if v is None else v + (total or 0)
+            want[run, k], sums[run, k] = (improved, best, streak), total
+    assert {(r["run"], r["step"]): (r["improved"], r["best"], r["streak"]) for r in monitor.best_so_far(table, "run", "step", "loss").collect()} == want
+    assert {(r["run"], r["step"]): r["running_loss"] for r in monitor.running_totals(table, "run", "step", "loss").collect()} == sums
+    kept = monitor.retained(table.where("run = 1"), 3, F.desc("step")).where("NOT deleted").collect()
+    assert sorted(r["step"] for r in kept) == [899, 900, 901]
+
+
 def test_events(spark, tmp_path):
     losses = [5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.1, 4.2]
     path = str(tmp_path / "log" / "events.jsonl")
