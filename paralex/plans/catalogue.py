@@ -15,6 +15,7 @@ from paralex.operators.tables import shared_dir, written
 from paralex.plans import views as V
 from paralex.sources import readers, sinks
 from paralex.streaming import events as stream
+from paralex.streaming import stopping
 from paralex.streaming.sink import EventSink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,6 +424,34 @@ def parallel_text_files(spark, d):
     return readers.read_parallel_text(spark, root, "source", "target").select("row_number", "source", "target")
 
 
+SQL_UNLINED = r"regexp_replace(coalesce(text, ''), '[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]', '', 'g')"
+
+
+def _delimited(spark, rows, delimiter, name, columns, header=None):
+    """A folder of delimited files: every cell quoted, line ends kept in cells, in the order of conversations."""
+    cells = (F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns)
+    lines = rows.select(F.struct("conv_id", "turn").alias("o"), F.concat_ws(delimiter, *cells).alias("line"))
+    if header:
+        lines = spark.createDataFrame([((-1, -1), header)], lines.schema).unionByName(lines)
+    root = _folder(spark, "delimited")
+    sinks.write_lines(lines, f"{root}/{name}", "o", "line")
+    return root
+
+
+@query(f"SELECT row_number() OVER (ORDER BY conv_id, turn) AS row_number, {SQL_UNLINED} AS source, coalesce(role, '') AS target, conv_id::VARCHAR AS domain FROM conversations")
+def tsv_records(spark, d):
+    """Conversations written as TSV with line ends in quoted cells, and read back in blocks."""
+    root = _delimited(spark, V.table(spark, d, "conversations"), "\t", "turns.tsv", ["text", "role", "conv_id"])
+    return readers.read_tsv(spark, root, "turns.tsv").select("row_number", "source", "target", "domain")
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY conv_id, turn) + 1 AS row_number, {SQL_UNLINED} AS source, coalesce(role, '') AS target, '{{"conv_id": "' || conv_id || '", "turn": "' || turn || '"}}' AS metadata FROM conversations""")
+def csv_records(spark, d):
+    rows = V.table(spark, d, "conversations")
+    root = _delimited(spark, rows, ",", "turns.csv", ["turn", "text", "conv_id", "role"], "turn,source_text,conv_id,target_text")
+    return readers.read_csv(spark, root, "turns.csv").select("row_number", "source", "target", "metadata")
+
+
 @query(f"WITH {V.SQL_TURNS} SELECT target AS source, source AS target, 'conversation' AS origin, conv_id * 1000 + turn AS row_number, NULL::VARCHAR AS domain FROM turns")
 def platform_records(spark, d):
     """Records written as JSON Lines and reloaded in the other direction."""
@@ -473,18 +502,39 @@ def event_sink(spark, d):
     return sink.last()
 
 
-@query(
-    f"""WITH {V.SQL_RUNS.replace('FROM events', 'FROM events WHERE event_id % 10 <> 0')},
+SQL_STOPS = f"""WITH {V.SQL_RUNS.replace('FROM events', 'FROM events WHERE event_id % 10 <> 0')},
 b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY run ORDER BY step) AS n FROM runs),
 s AS (SELECT run, step, min(loss) OVER (PARTITION BY run ORDER BY step) AS best, n - max(CASE WHEN before IS NULL OR loss < before THEN n END) OVER (PARTITION BY run ORDER BY step) AS streak FROM b),
 f AS (SELECT run, min(step) AS stop FROM s WHERE streak >= 5 GROUP BY run), e AS (SELECT s.run, s.step AS stop, s.best FROM s JOIN f ON f.run = s.run AND f.stop = s.step)
 SELECT s.run::VARCHAR AS run, s.step, CASE WHEN s.step >= e.stop THEN e.best ELSE s.best END AS best, CASE WHEN s.step >= e.stop THEN 5 ELSE s.streak END::INT AS streak, coalesce(s.step >= e.stop, FALSE) AS stopped FROM s LEFT JOIN e USING (run)"""
-)
+
+
+@query(SQL_STOPS)
 def early_stopping_stream(spark, d):
     """Early stopping with state over the log as a stream; a run's state stays as it was when it stopped."""
     return _streamed(stream.early_stopping(stream.tail(spark, _log(spark, d)), 5), "stops")
 
 
+@query(SQL_STOPS)
+def early_stopping_late(spark, d):
+    """The same of a log whose lines are dealt over files at random; the stream is stopped after half of them and
+    started again from its checkpoint."""
+    from pyspark.sql import Window as W
+
+    rows = V.table(spark, d, "events").where("event_id % 10 <> 0")
+    rows = rows.select(F.col("user_id").cast("string").alias("run"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("number"), F.col("event_id").alias("step"), F.col("event_type").alias("event"), F.col("value").alias("loss"), F.col("ts").alias("timestamp"))
+    lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+    half = F.xxhash64("value") % 2 == 0
+    path, out = _folder(spark, "shuffled-log"), _folder(spark, "late-stops")
+    stopping.stateful(spark)
+    for part in (half, ~half):
+        lines.where(part).repartition(2, "value").write.mode("append").text(path)
+        events = stream.tail(spark, path, "run string, number long, step long, event string, loss double, timestamp timestamp", maxFilesPerTrigger=1)
+        stops = stopping.early_stopping_late(events, 5, "1000 days")
+        stops.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(stops.schema).parquet(out)
+
+
 @query(f"WITH {V.SQL_TURNS} SELECT to_json({{'conv_id': conv_id, 'source': source, 'target': target, 'turn': turn}}) AS value FROM turns")
 def json_lines(spark, d):
     return sinks.json_lines(V.turns(spark, d))
