@@ -16,8 +16,8 @@ def evaluate(rows: DataFrame) -> dict[str, float]:
     if not means["sentence_count"]:
         raise ValueError("nothing to evaluate")
     return {
-        "bleu": metrics.bleu_score(metrics.bleu_statistics(rows).first().asDict()),
-        "chrf": metrics.chrf_score(metrics.chrf_statistics(rows).first().asDict()),
+        "bleu": metrics.bleu_score(metrics.bleu_statistics(rows)),
+        "chrf": metrics.chrf_score(metrics.chrf_statistics(rows)),
         "ter": float(metrics.ter(rows).first()["ter"]),
         **{k: float(v) for k, v in means.items()},
     }

@@ -1,4 +1,4 @@
-"""Corpus metrics as sums of row statistics: BLEU, chrF, TER, preservation means, terminology.
+"""Corpus metrics as sums of row statistics: BLEU, chrF, TER, preservation means.
 
 Each row's statistics come from its own tokens, so a corpus metric is one partial aggregation with no shuffle of text.
 Tokens are found by built-in functions; n-gram overlaps and TER's block shifts are Arrow UDFs.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,23 +66,23 @@ def bleu_statistics(rows: DataFrame) -> DataFrame:
     return each.agg(total("candidate_1").alias("candidate_length"), total("reference_1").alias("reference_length"), *by_order)
 
 
-def bleu_score(stats: dict[str, int]) -> float:
-    """BLEU of the sums, with exponential smoothing of orders without a match."""
-    import math
-
-    if any(stats[f"total_{n}"] == 0 for n in range(1, ORDERS + 1)) or not any(stats[f"match_{n}"] for n in range(1, ORDERS + 1)):
-        return 0.0
-    logs, halving = 0.0, 1.0
+def with_bleu(stats: DataFrame) -> DataFrame:
+    """Rows of sums with bleu: the k-th order without a match counts as half as much as the one before, from half a
+    match on; 0 where no order has a match, or one has no n-grams."""
+    c = F.col
+    some = reduce(lambda a, b: a | b, (c(f"match_{n}") > 0 for n in range(1, ORDERS + 1)))
+    whole = reduce(lambda a, b: a & b, (c(f"total_{n}") > 0 for n in range(1, ORDERS + 1)))
+    missing, logs = F.lit(0), F.lit(0.0)
     for n in range(1, ORDERS + 1):
-        match, total = stats[f"match_{n}"], stats[f"total_{n}"]
-        if match == 0:
-            halving *= 2
-            logs += math.log(100.0 / (halving * total))
-        else:
-            logs += math.log(100.0 * match / total)
-    c, r = stats["candidate_length"], stats["reference_length"]
-    brevity = 1.0 if c >= r else math.exp(1 - r / c) if c else 0.0
-    return brevity * math.exp(logs / ORDERS)
+        missing = missing + (c(f"match_{n}") == 0).cast("int")
+        share = F.when(c(f"match_{n}") == 0, F.pow(F.lit(0.5), missing)).otherwise(c(f"match_{n}")) / c(f"total_{n}")
+        logs = logs + F.log(100 * share)
+    brevity = F.least(F.lit(1.0), F.exp(1 - c("reference_length") / c("candidate_length")))
+    return stats.withColumn("bleu", F.when(some & whole, brevity * F.exp(logs / ORDERS)).otherwise(0.0))
+
+
+def bleu_score(stats: DataFrame) -> float:
+    return with_bleu(stats).first()["bleu"]
 
 
 def chrf_statistics(rows: DataFrame) -> DataFrame:
@@ -91,14 +92,19 @@ def chrf_statistics(rows: DataFrame) -> DataFrame:
     return each.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in each.columns))
 
 
-def chrf_score(stats: dict[str, int], beta: float = 2.0) -> float:
-    """chrF of the sums: mean precision and recall over the orders that both sides have."""
-    have = [n for n in range(1, CHAR_ORDERS + 1) if stats[f"candidate_{n}"] and stats[f"reference_{n}"]]
-    if not have:
-        return 0.0
-    p = sum(stats[f"match_{n}"] / stats[f"candidate_{n}"] for n in have) / len(have)
-    r = sum(stats[f"match_{n}"] / stats[f"reference_{n}"] for n in have) / len(have)
-    return 100.0 * (1 + beta**2) * p * r / (beta**2 * p + r) if p + r else 0.0
+def with_chrf(stats: DataFrame, beta: float = 2.0) -> DataFrame:
+    """Rows of sums with chrf: of the mean precision and recall over the orders that both sides have; 0 without any."""
+    orders = F.array(*(F.struct(*(F.col(f"{x}_{n}").alias(x) for x in ("match", "candidate", "reference"))) for n in range(1, CHAR_ORDERS + 1)))
+    have = F.filter(orders, lambda o: (o["candidate"] > 0) & (o["reference"] > 0))
+    mean = lambda side: F.aggregate(have, F.lit(0.0), lambda a, o: a + o["match"] / o[side]) / F.size(have)
+    out = stats.withColumns({"__p": F.when(F.size(have) > 0, mean("candidate")), "__r": F.when(F.size(have) > 0, mean("reference"))})
+    p, r = F.col("__p"), F.col("__r")
+    score = F.when(p + r > 0, 100.0 * (1 + beta**2) * p * r / (beta**2 * p + r)).otherwise(0.0)
+    return out.withColumn("chrf", score).drop("__p", "__r")
+
+
+def chrf_score(stats: DataFrame) -> float:
+    return with_chrf(stats).first()["chrf"]
 
 
 def _masks(words: list[str]) -> dict[str, int]:

@@ -214,10 +214,13 @@ def length_stats(spark, d):
     return w.agg(F.round(F.avg("s"), 6).alias("source_mean_words"), F.round(F.avg("t"), 6).alias("target_mean_words"), F.sum("s").alias("source_words"), F.sum("t").alias("target_words"), F.round(F.sum("t") / F.greatest(F.lit(1), F.sum("s")), 6).alias("ratio"))
 
 
-@query(f"WITH {V.SQL_PAIRS} SELECT round(avg((source = target)::INT), 6) AS exact_match, round(avg({_sql_recall(T.PUNCTUATION)}), 6) AS punctuation_accuracy, round(avg({_sql_recall(SQL_PLACEHOLDER)}), 6) AS placeholder_accuracy, round(avg({_sql_recall(SQL_MARKUP)}), 6) AS markup_accuracy, count(*) AS sentence_count FROM pairs")
+SQL_NUMBER_RECALL = f"list_transform([{{{{'e': {_sql_numbers('source')}, 'c': {_sql_numbers('target')}}}}}], lambda k: CASE WHEN len(k.e) = 0 THEN 1.0 ELSE list_sum(list_transform(list_distinct(k.e), lambda v: least(len(list_filter(k.e, lambda y: y = v)), len(list_filter(k.c, lambda y: y = v)))))::DOUBLE / len(k.e) END)[1]".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"WITH {V.SQL_PAIRS} SELECT round(avg((source = target)::INT), 6) AS exact_match, round(avg({SQL_NUMBER_RECALL}), 6) AS number_accuracy, round(avg({_sql_recall(T.PUNCTUATION)}), 6) AS punctuation_accuracy, round(avg({_sql_recall(SQL_PLACEHOLDER)}), 6) AS placeholder_accuracy, round(avg({_sql_recall(SQL_MARKUP)}), 6) AS markup_accuracy, count(*) AS sentence_count FROM pairs")
 def metric_macro(spark, d):
     out = metrics.text_metrics(pairs(spark, d).select("source", F.col("source").alias("reference"), F.col("target").alias("candidate")))
-    names = ["exact_match", "punctuation_accuracy", "placeholder_accuracy", "markup_accuracy"]
+    names = ["exact_match", "number_accuracy", "punctuation_accuracy", "placeholder_accuracy", "markup_accuracy"]
     return out.select(*(F.round(n, 6).alias(n) for n in names), "sentence_count")
 
 
@@ -294,6 +297,29 @@ def chrf_stats(spark, d):
     return metrics.chrf_statistics(V.turns(spark, d).select(F.col("target").alias("candidate"), F.col("source").alias("reference")))
 
 
+def _sql_bleu() -> str:
+    """BLEU of a row of sums, orders without a match smoothed by halves."""
+    zeros = lambda n: " + ".join(f"(match_{k} = 0)::INT" for k in range(1, n + 1))
+    logs = " + ".join(f"ln(CASE WHEN match_{n} = 0 THEN 100.0 / (pow(2, {zeros(n)}) * total_{n}) ELSE 100.0 * match_{n} / total_{n} END)" for n in range(1, 5))
+    none = " AND ".join(f"match_{n} = 0" for n in range(1, 5)) + " OR " + " OR ".join(f"total_{n} = 0" for n in range(1, 5))
+    return f"CASE WHEN {none} THEN 0.0 ELSE least(1.0, exp(1 - reference_length / candidate_length)) * exp(({logs}) / 4) END"
+
+
+def _sql_chrf() -> str:
+    mean = lambda side: "list_avg([" + ", ".join(f"match_{n} / {side}_{n}" for n in range(1, 7)) + "])"
+    return f"500.0 * {mean('candidate')} * {mean('reference')} / (4 * {mean('candidate')} + {mean('reference')})"
+
+
+@query(f"WITH RECURSIVE stats AS ({ORACLE['bleu_stats']}) SELECT round({_sql_bleu()}, 6) AS bleu FROM stats")
+def bleu_score(spark, d):
+    return metrics.with_bleu(bleu_stats(spark, d)).select(F.round("bleu", 6).alias("bleu"))
+
+
+@query(f"WITH stats AS ({ORACLE['chrf_stats']}) SELECT round({_sql_chrf()}, 6) AS chrf FROM stats")
+def chrf_score(spark, d):
+    return metrics.with_chrf(chrf_stats(spark, d)).select(F.round("chrf", 6).alias("chrf"))
+
+
 @query()
 def ter_score(spark, d):
     return metrics.ter(V.turns(spark, d).select(F.col("target").alias("candidate"), F.col("source").alias("reference")))
@@ -858,17 +884,15 @@ def prepared_counts(spark, d):
 
 # ---------------------------------------------------------------- run overview
 
-SQL_OVERVIEW = """overview AS (SELECT m.run, coalesce(r.status, 'training') AS status, l.step AS last_step, l.event AS last_event
-FROM (SELECT DISTINCT run FROM runs WHERE run IS NOT NULL) m
-LEFT JOIN (SELECT run, CASE WHEN count(*) % 2 = 0 THEN 'failed' ELSE 'completed' END AS status FROM runs WHERE event = 'purchase' GROUP BY run) r USING (run)
-LEFT JOIN (SELECT run, max(step) AS step, max_by(event, step) AS event FROM runs WHERE loss > 1 GROUP BY run) l USING (run))"""
+SQL_OVERVIEW = """overview AS (SELECT run, CASE max_by(event, step) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'training' END AS status, max(step) AS last_step, max_by(event, step) AS last_event FROM runs WHERE run IS NOT NULL GROUP BY run)"""
 
 
 def _overview(spark, d):
-    """Runs of the event table; those that end in purchases have a result, and events of some loss are logged."""
-    runs = V.runs(spark, d)
-    ended = monitor.of_type(runs, "purchase").groupBy("run").agg(F.when(F.count("*") % 2 == 0, "failed").otherwise("completed").alias("status"))
-    return monitor.overview(runs.where("run IS NOT NULL").select("run").distinct(), ended, runs.where("loss > 1"), "run", "step")
+    """Runs of the event table; those whose last event is a purchase or an error have a result."""
+    runs = V.runs(spark, d).where("run IS NOT NULL")
+    ended = monitor.of_type(monitor.latest(runs, "run", "step"), "purchase", "error")
+    ended = ended.select("run", F.when(F.col("event") == "error", "failed").otherwise("completed").alias("status"))
+    return monitor.overview(runs.select("run").distinct(), ended, runs, "run", "step")
 
 
 @query(f"WITH {V.SQL_RUNS}, {SQL_OVERVIEW} SELECT * FROM overview")
@@ -910,11 +934,12 @@ def markup_reasons(spark, d):
 # ---------------------------------------------------------------- names and lengths
 
 
-@query(rf"SELECT doc_id, regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$') AS sound FROM (SELECT doc_id, left(text, (doc_id % 12)::INT) AS name FROM documents WHERE text IS NOT NULL)")
+@query(rf"WITH w AS (SELECT doc_id, unnest(string_split({V.SQL_COLLAPSE.format('text')}, ' ')) AS name FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS names, count(*) FILTER (regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]*$')) AS sound FROM w GROUP BY doc_id")
 def identifier_check(spark, d):
-    """Beginnings of texts, of up to eleven characters, as names."""
+    """All words of every text as names: how many there are, and how many may be identifiers."""
     docs = V.table(spark, d, "documents").where(F.col("text").isNotNull())
-    return docs.select("doc_id", T.is_identifier(F.substr("text", F.lit(1), (F.col("doc_id") % 12).cast("int"))).alias("sound"))
+    names = F.split(T.collapse(F.col("text")), " ")
+    return docs.select("doc_id", F.size(names).cast("long").alias("names"), F.size(F.filter(names, T.is_identifier)).cast("long").alias("sound"))
 
 
 @query("SELECT DISTINCT a || '-to-' || b AS direction, a AS source_language, b AS target_language FROM (SELECT lang AS a, lead(lang) OVER (ORDER BY doc_id) AS b FROM documents) WHERE a IS NOT NULL AND b IS NOT NULL")

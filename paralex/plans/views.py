@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 2k and 2k+1 of every document as (source, target): ord, doc_id, row_number, domain, source, target."""
+    """Lines 2k and 2k+1 of every document as (source, target): ord, doc_id, row_number, domain, source, target.  A last
+    line without another has an empty target."""
     docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull()).select("doc_id", "lang", F.split("text", "\n").alias("lines"))
-    docs = docs.where(F.size("lines") >= 2)
-    halves = F.transform(F.sequence(F.lit(0), F.floor(F.size("lines") / 2).cast("int") - 1), lambda k: F.struct(F.element_at("lines", 2 * k + 1).alias("s"), F.element_at("lines", 2 * k + 2).alias("t")))
+    halves = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") + 1) / 2).cast("int") - 1), lambda k: F.struct(F.get("lines", 2 * k).alias("s"), F.coalesce(F.get("lines", 2 * k + 1), F.lit("")).alias("t")))
     rows = docs.select("doc_id", F.col("lang").alias("domain"), F.posexplode(halves).alias("row_number", "p"))
     return rows.select(
         (F.shiftleft("doc_id", 24) + F.col("row_number")).alias("ord"),
@@ -74,8 +74,8 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 SQL_COLLAPSE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 SQL_PAIRS = rf"""pl AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-pk AS (SELECT doc_id, lang, l, unnest(range(0, len(l) // 2)) AS k FROM pl),
-pairs AS (SELECT doc_id * 16777216 + k AS ord, doc_id, k AS row_number, lang AS domain, {SQL_COLLAPSE.format("l[2 * k + 1]")} AS source, {SQL_COLLAPSE.format("l[2 * k + 2]")} AS target FROM pk)"""
+pk AS (SELECT doc_id, lang, l, unnest(range(0, (len(l) + 1) // 2)) AS k FROM pl),
+pairs AS (SELECT doc_id * 16777216 + k AS ord, doc_id, k AS row_number, lang AS domain, {SQL_COLLAPSE.format("l[2 * k + 1]")} AS source, {SQL_COLLAPSE.format("coalesce(l[2 * k + 2], '')")} AS target FROM pk)"""
 SQL_WORDS = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END"
 SQL_RATIO = "greatest(length(source), length(target))::DOUBLE / greatest(1, least(length(source), length(target)))"
 SQL_EMPTY = "(source = '' OR target = '')"

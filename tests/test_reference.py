@@ -200,11 +200,14 @@ def test_word_edits_are_those_of_the_table():
 
 def test_corpus_metrics(spark):
     rows = spark.createDataFrame([("the cat sat on the mat", "the cat sat on the mat"), ("a b c d", "a b x d")], "candidate string, reference string")
-    same = metrics.bleu_statistics(rows.limit(1)).first().asDict()
-    assert abs(metrics.bleu_score(same) - 100.0) < 1e-9
+    assert abs(metrics.bleu_score(metrics.bleu_statistics(rows.limit(1))) - 100.0) < 1e-9
+    assert metrics.bleu_score(metrics.bleu_statistics(rows.limit(0))) == metrics.chrf_score(metrics.chrf_statistics(rows.limit(0))) == 0.0
+    # matches 3, 1, 0, 0 of 4, 3, 2, 1: the last two orders count half and a quarter of a match
+    smoothed = metrics.bleu_statistics(spark.createDataFrame([("a b x d", "a b c d")], "candidate string, reference string"))
+    assert abs(metrics.bleu_score(smoothed) - 100 * (3 / 4 * 1 / 3 * 0.5 / 2 * 0.25 / 1) ** 0.25) < 1e-9
     stats = metrics.bleu_statistics(rows).first().asDict()
     assert (stats["match_1"], stats["total_1"], stats["match_4"], stats["total_4"]) == (9, 10, 3, 4)
-    assert abs(metrics.chrf_score(metrics.chrf_statistics(rows.limit(1)).first().asDict()) - 100.0) < 1e-9
+    assert abs(metrics.chrf_score(metrics.chrf_statistics(rows.limit(1))) - 100.0) < 1e-9
     assert metrics.ter_edits("b c d a", "a b c d") == (1, 4)
     assert metrics.ter_edits("a b", "a b c") == (1, 3)
     assert metrics.ter(rows).first()["edits"] == 1
