@@ -6,7 +6,7 @@ earliest first.  That is found exactly in few steps:
 * Rows of one (source, target) share their first one's fate, so only firsts count.
 * A round accepts every row that is the earliest left both for its source and for its target, and drops the rows that it
   blocks.  It reduces each source and each target to its earliest row before anything is joined, so a line that fills a
-  third of the corpus costs one row a task.  Two rounds settle nearly all of real corpora.
+  third of the corpus costs one row a task.  Three rounds settle nearly all of real corpora.
 * What is left is contracted into the components of the graph of sources and targets, in a number of rounds that grows
   with the logarithm of the longest chain.  Components don't touch, so many are folded row by row in one task; of one
   that is too large for a task, the first rows are, since a row depends on earlier ones only, and the rest goes round again.
@@ -127,7 +127,7 @@ def _folded(rows: DataFrame, total: int, largest: int) -> DataFrame:
     return dealt.groupBy("g").applyInArrow(fold, rows.select("ord", "s", "t").schema)
 
 
-def _accepted(left: DataFrame, rounds: int = 2, largest: int = LARGEST) -> DataFrame:
+def _accepted(left: DataFrame, rounds: int = 3, largest: int = LARGEST) -> DataFrame:
     """(ord, s, t) of the accepted rows among left (ord, s, t)."""
     left = written(left.groupBy("s", "t").agg(F.min("ord").alias("ord")).select("ord", "s", "t"), "left")
     parts = []
@@ -155,7 +155,7 @@ def _accepted(left: DataFrame, rounds: int = 2, largest: int = LARGEST) -> DataF
     return reduce(DataFrame.unionByName, parts) if parts else left
 
 
-def greedy_accept(rows: DataFrame, rounds: int = 2, largest: int = LARGEST) -> DataFrame:
+def greedy_accept(rows: DataFrame, rounds: int = 3, largest: int = LARGEST) -> DataFrame:
     """(ord, source, target) of the accepted rows among rows (ord, source, target) that pass the row rules.
 
     rounds: of the cheap kind, before what is left is contracted; largest: rows that one task folds."""
