@@ -11,6 +11,7 @@ shares its beginning with another is parsed from there on only.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,16 +97,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.withColumn("__key", key)
     cuts = docs.agg(F.percentile_approx("__key", [k / chunks for k in range(1, chunks)], 10 * chunks).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<long>")
-    docs = docs.withColumn("__chunk", F.size(F.filter(bounds, lambda c: c < F.col("__key"))))
-    heads = docs.groupBy("__chunk").agg(F.min("__key").alias("head")).orderBy("__chunk").collect()  # a row a chunk
-    last = {r["head"]: heads[k - 1]["__chunk"] for k, r in enumerate(heads)}  # the chunk that a head ends
-    ends = F.create_map(*(F.lit(x) for pair in last.items() for x in pair)) if last else F.create_map().cast("map<long,int>")
-    also = F.try_element_at(ends, F.col("__key"))
-    both = F.when(also.isNull(), F.array(F.struct(F.col("__chunk"), F.lit(False).alias("__ends"))))
-    both = both.otherwise(F.array(F.struct(F.col("__chunk"), F.lit(False).alias("__ends")), F.struct(also.alias("__chunk"), F.lit(True).alias("__ends"))))
-    out = docs.withColumn("__to", F.explode(both)).select("doc_id", "text", "__key", "__to.*")
+    cuts = np.array(sorted(set(cuts)), np.int64)
+
+    @F.pandas_udf("int")
+    def chunk(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy(np.int64)).astype(np.int32))
+
+    heads = docs.select("__key").withColumn("__chunk", chunk("__key")).groupBy("__chunk").agg(F.min("__key").alias("head")).orderBy("__chunk").collect()  # a row a chunk
+    head = np.array([r["head"] for r in heads], np.int64)
+    whose = np.array([r["__chunk"] for r in heads], np.int32)
+
+    @F.pandas_udf("array<int>")
+    def chunks_of(keys: pd.Series) -> pd.Series:
+        """A row's chunk and, of a head, the one that it ends."""
+        keys = keys.to_numpy(np.int64)
+        at = np.searchsorted(head, keys, "right") - 1
+        first = head[at] == keys
+        return pd.Series([[whose[k], whose[k - 1]] if f else [whose[k]] for k, f in zip(at.tolist(), first.tolist(), strict=True)])
+
+    to = F.posexplode(chunks_of("__key")).alias("__nth", "__chunk")
+    out = docs.select("doc_id", "text", "__key", to).withColumn("__ends", F.col("__nth") == 1).drop("__nth")
     return out.repartition(chunks, "__chunk").sortWithinPartitions("__chunk", "__ends", "__key", "text")
 
 
