@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it meets a fixed set of pivots, nearest first.  Each block of rows keeps
-an inverted file for every pivot: the rank that each row gives it.  A query walks the files of its own pivots in order
-and adds up, for every row, how far the ranks differ (the footrule distance); the rows of least footrule, ties included,
-are reranked by the exact measure.
-
-Footrule only decides who comes first.  The index also holds each row's length and its angle to its nearest pivot, and
-angles obey the triangle inequality: a row's inner product is at most both lengths times the cosine of the difference
-between its own and the query's angle to that pivot.  Every other row whose bound reaches the k-th best score so far is
-scored too, so each block gives its exact k nearest, whatever the lengths and however the rows cluster.
+A vector is represented by the order in which it meets a fixed set of pivots, nearest first.  A row posts its place to
+the lists of its nearest three quarters of the pivots: pivot by pivot, a block of rows is an inverted file, written once
+as a table.  A query walks the lists of its own nearest pivots only (three eighths of all) and adds up, for the rows
+posted there, how far the ranks differ: the footrule distance.  A row that a list doesn't hold counts as ranked just
+after those that it holds.  More lists are walked than a row can be missing from, so every row is met.
+
+The rows of least footrule are reranked first, by the exact measure.  What they score tells the query what a footrule is
+worth: a line through their cosines, and how far they scatter about it.  Reranking goes on, best estimates first and the
+line drawn anew each time, while a row's length times its estimated cosine plus three standard deviations reaches the
+k-th best score.  So dense clusters, in which ranks tell little, are searched further than clear neighbourhoods, and long
+rows earlier than short ones.  No number of candidates is fixed.
 
 The query set is stated (a share of all rows), so queries meet all rows in blocks: block by block of rows and of
-queries, and each pair of blocks returns the k nearest of each query.
+queries, and each pair of blocks returns the k nearest that it found of each query.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from paralex.llm.common import one
+from paralex.llm.common import one, stash
 
 PIVOTS = 128
-ROW_BLOCK, QUERY_BLOCK = 4096, 2048
-#: Radians, and parts of the product of lengths, that rounding may cost.
-SLACK = 1e-6
-NEAREST = "query_id long, vec_id long, score double"
+#: Rows for each pivot in the sample that pivots are chosen from.
+SAMPLE = 8
+ROW_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Part of a cosine that rounding may cost.
+SLACK = 1e-9
+INDEX = "rb int, ids binary, vectors binary, lengths binary, members array<binary>, ranks array<binary>"
+NEAREST = "query_id long, vec_id long, score double, scored long"
 
 
 def valid(vector: Column) -> Column:
@@ -45,83 +50,107 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def ranks(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Of each vector (row), the rank that it gives each pivot (column), by inner product of directions."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    order = np.argsort(-(unit @ pivots.T), axis=1, kind="stable")
-    out = np.empty(order.shape, np.uint8 if len(pivots) <= 256 else np.uint16)
-    np.put_along_axis(out, order, np.arange(len(pivots), dtype=out.dtype)[None, :].repeat(len(order), 0), 1)
-    return out
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """n directions of the sample, each the farthest from those before it: a cluster gets no more than it spans."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    taken, near = [0], unit @ unit[0]
+    while len(taken) < min(n, len(unit)):
+        near[taken[-1]] = np.inf
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[taken[-1]])
+    return unit[taken]
 
 
-def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Of each vector (row), the angle to each pivot (column)."""
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """Of each vector (row), its n nearest pivots, nearest first, by inner product of directions."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
-
-
-def bounds(length: np.ndarray, angle: np.ndarray, asked_length: float, asked_angle: np.ndarray) -> np.ndarray:
-    """At most so large is each row's inner product with the query; SLACK covers rounding, and no number is no bound."""
-    away = np.maximum(0.0, np.abs(angle - asked_angle) - SLACK)
-    most = asked_length * length * (np.cos(away) + SLACK)
-    return np.where(np.isfinite(most), most, np.inf)
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :n]
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _search(k: int, share: float, least: int, pivots: np.ndarray):
-    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
+def _index(pivots: np.ndarray, posted: int):
+    """Of a block of rows: their vectors, and for each pivot a list of the rows posted there and one of their ranks."""
+
+    def index(key: tuple, rows: pa.Table) -> pa.Table:
         ids, vectors = one(rows["vec_id"]).to_numpy(), matrix(one(rows["embedding"]))
-        width = len(rows["ranks"][0].as_py()) if len(rows) else 0
-        # one file for each pivot: the ranks of all rows
-        files = np.ascontiguousarray(np.frombuffer(b"".join(rows["ranks"].to_pylist()), np.uint8).reshape(len(rows), width).T).astype(np.int16)
-        length, angle, closest = one(rows["length"]).to_numpy(), one(rows["angle"]).to_numpy(), files.argmin(axis=0) if width else np.zeros(0, np.int64)
-        depth = min(len(ids), max(least, int(np.ceil(share * len(ids)))))
-        out: list[list[np.ndarray]] = [[], [], []]
-        asked, asked_vectors, asked_ranks = one(queries["vec_id"]).to_numpy(), matrix(one(queries["embedding"])), queries["ranks"].to_pylist()
-        asked_lengths, asked_angles = one(queries["length"]).to_numpy(), angles(asked_vectors, pivots) if len(asked) else np.zeros((0, width))
-        away, total = np.empty(len(ids), np.int16), np.empty(len(ids), np.int32)
-        part = np.empty(len(ids), np.int16)
-        for q, own in enumerate(asked_ranks if len(ids) else []):
-            own = np.frombuffer(own, np.uint8)
-            total[:] = 0
-            part[:] = 0
-            for n, pivot in enumerate(np.argsort(own)):
-                np.subtract(files[pivot], own[pivot], out=away)
-                np.abs(away, out=away)
-                part += away
-                if n % 64 == 63 or n == width - 1:
-                    total += part
-                    part[:] = 0
-            bound = np.partition(total, depth - 1)[depth - 1]
-            first = (total <= bound) & (ids != asked[q])
-            near = np.flatnonzero(first)
-            score = (vectors[near] * asked_vectors[q]).sum(axis=1)
-            reach = np.partition(score, -k)[-k] if len(score) >= k else -np.inf  # what a row must score to enter
-            rest = ~first & (ids != asked[q]) & ~(bounds(length, angle, asked_lengths[q], asked_angles[q][closest]) < reach)
-            rest = np.flatnonzero(rest)
-            # a fast product leaves out those clearly below; the others are scored as the first ones are
-            roughly = vectors[rest] @ asked_vectors[q] + SLACK * asked_lengths[q] * length[rest]
-            rest = rest[~(roughly < reach)]
-            near, score = np.concatenate([near, rest]), np.concatenate([score, (vectors[rest] * asked_vectors[q]).sum(axis=1)])
-            top = best(ids[near], score, k)
-            for x, y in zip(out, (np.full(len(top), asked[q]), ids[near][top], score[top]), strict=True):
-                x.append(y)
-        cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
-        return pa.table(cols, ["query_id", "vec_id", "score"])
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], vectors[order]
+        pivot = nearest_pivots(vectors, pivots, posted).ravel()
+        by = np.argsort(pivot, kind="stable")
+        cuts = np.searchsorted(pivot[by], np.arange(1, len(pivots)))
+        members, ranks = np.split((by // posted).astype(np.int32), cuts), np.split((by % posted).astype(np.uint8), cuts)
+        row = [key[0].as_py(), ids.tobytes(), vectors.tobytes(), np.linalg.norm(vectors, axis=1).tobytes(), [x.tobytes() for x in members], [x.tobytes() for x in ranks]]
+        kinds = [pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.binary())] * 2]
+        return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["rb", "ids", "vectors", "lengths", "members", "ranks"])
+
+    return index
+
+
+def rerank(foot: np.ndarray, longest: np.ndarray, score, own: np.ndarray, k: int, share: float, least: int, spare: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are worth scoring, and their scores.  foot: footrule of each row; longest: what a row scores at a cosine
+    of one; score: gives rows' scores; own: marks rows that are no candidates; spare: standard deviations allowed."""
+    step = max(least, int(np.ceil(share * len(foot))))
+    left = ~own
+    todo = np.flatnonzero(left)
+    if len(todo) > step:
+        todo = todo[np.argpartition(foot[todo], step - 1)[:step]]
+    near, found = todo[:0], np.zeros(0)
+    while len(todo):
+        near, found = np.concatenate([near, todo]), np.concatenate([found, score(todo)])
+        left[todo] = False
+        reach = np.partition(found, -k)[-k] if len(found) >= k else -np.inf
+        x, y = foot[near], found / longest[near]
+        away = x - x.mean()
+        spread_of = (away * away).mean()
+        slope = min(0.0, (away * y).mean() / spread_of) if spread_of > 0 else 0.0
+        level = y.mean() - slope * x.mean()
+        scatter = np.sqrt(np.square(y - level - slope * x).mean())
+        most = longest * (level + slope * foot + spare * scatter + SLACK)
+        todo = np.flatnonzero(left & ~(most < reach))
+        if len(todo) > step:
+            todo = todo[np.argpartition(-most[todo], step - 1)[:step]]
+    return near, found
+
+
+def _search(k: int, posted: int, share: float, least: int, spare: float):
+    def search(blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        asked, asked_vectors = one(queries["vec_id"]).to_numpy(), matrix(one(queries["embedding"]))
+        probes = [np.frombuffer(x, np.uint8) for x in queries["probes"].to_pylist()]
+        for block in blocks.to_pylist():
+            ids, length = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["lengths"])
+            vectors = np.frombuffer(block["vectors"]).reshape(len(ids), -1)
+            members = [np.frombuffer(x, np.int32).astype(np.intp) for x in block["members"]]
+            # what a row gains where it is on a list: negative, from "ranked just after those on lists" to its rank
+            ranks = [np.frombuffer(x, np.uint8).astype(np.float32) for x in block["ranks"]]
+            for q, (own, probe) in enumerate(zip(asked_vectors, probes, strict=True)):
+                foot = np.full(len(ids), sum(posted - n for n in range(len(probe))), np.float32)
+                for n, pivot in enumerate(probe):
+                    foot[members[pivot]] += np.abs(ranks[pivot] - n) - (posted - n)
+                longest = length * np.linalg.norm(own)
+                near, score = rerank(foot, longest, lambda rows, own=own: (vectors[rows] * own).sum(axis=1), ids == asked[q], k, share, least, spare)
+                top = best(ids[near], score, k)
+                scored = np.zeros(len(top), np.int64)
+                scored[:1] = len(near)
+                for x, y in zip(out, (np.full(len(top), asked[q]), ids[near][top], score[top], scored), strict=True):
+                    x.append(y)
+        cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64, np.int64), strict=True)]
+        return pa.table(cols, ["query_id", "vec_id", "score", "scored"])
 
     return search
 
 
-def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, share: float = 0.06, least: int = 512) -> DataFrame:
-    """The k nearest of each query of vectors (vec_id, embedding): query_id, rank, vec_id, score.
+def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = PIVOTS, share: float = 0.02, least: int = 64, spare: float = 3.0) -> DataFrame:
+    """The k nearest found of each query of vectors (vec_id, embedding): query_id, rank, vec_id, score, scored.
 
     Nearest is by largest inner product, ties to smaller vec_id.  is_query marks the queries; candidates are all rows
-    but those of the query's own id.  The index is fitted on `pivots` rows (at most 256) chosen by a hash of vec_id, and
-    holds every row.  share and least: the part of a block's rows that is reranked first, and how many at least; all
-    others that a bound does not exclude follow.
+    but those of the query's own id.  scored: how many rows the query was compared to by the exact measure.  The index
+    holds every row; its pivots (at most 256) are spread over a sample of SAMPLE rows a pivot, chosen by a hash of
+    vec_id.  share and least: the part of a block's rows that is reranked at a time, and how many at least; spare: the
+    standard deviations by which an estimate may fall short.
 
     Rows of null vec_id take no part, nor do vectors that are null, zero or hold a null or non-finite component, nor
     those whose length is not the commonest (of equals the least).  Of rows of one vec_id the least vector counts.  Equal
@@ -131,30 +160,30 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.bool_or("query").alias("query"))
     sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), F.count_if("query").alias("queries"))
     common = sizes.orderBy(F.desc("n"), "size").limit(1).collect()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
     if not common or not common[0]["queries"]:
         return empty
     rows = rows.where(F.size("embedding") == common[0]["size"])
-    chosen = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-    fixed = np.array([r["embedding"] for r in chosen], np.float64)
-    fixed /= np.linalg.norm(fixed, axis=1, keepdims=True)
+    sample = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * pivots).collect()
+    fixed = spread(np.array([r["embedding"] for r in sample], np.float64), pivots)
+    posted, probed = -(-3 * len(fixed) // 4), -(-3 * len(fixed) // 8)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(one(batch.column("embedding")))
-            found = ranks(x, fixed)
-            length = np.linalg.norm(x, axis=1)
-            angle = angles(x, fixed)[np.arange(len(x)), found.argmin(axis=1)] if len(x) else length
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary()), pa.array(length), pa.array(angle)], [*batch.schema.names, "ranks", "length", "angle"])
+            found = nearest_pivots(x, fixed, probed).astype(np.uint8) if len(x) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in found], pa.binary())], [*batch.schema.names, "probes"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
     row_blocks = -(-common[0]["n"] // ROW_BLOCK)
     query_blocks = -(-common[0]["queries"] // QUERY_BLOCK)
-    indexed = rows.mapInArrow(index, f"vec_id long, embedding {kind}, query boolean, ranks binary, length double, angle double")
     block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = indexed.withColumn("rb", block(row_blocks, 1)).withColumn("qb", every(query_blocks)).drop("query")
-    asked = indexed.where("query").withColumn("qb", block(query_blocks, 2)).withColumn("rb", every(row_blocks)).drop("query")
-    pairs = held.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search(k, share, least, fixed), NEAREST)
+    index = stash(rows.groupBy(block(row_blocks, 1).alias("rb")).applyInArrow(_index(fixed, posted), INDEX), "index")
+    asked = rows.where("query").select("vec_id", "embedding").mapInArrow(probes, f"vec_id long, embedding {kind}, probes binary")
+    asked = asked.withColumn("qb", block(query_blocks, 2)).withColumn("rb", every(row_blocks))
+    held = index.withColumn("qb", every(query_blocks))
+    pairs = held.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_search(k, posted, share, least, spare), NEAREST)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = F.sum("scored").over(W.partitionBy("query_id"))
+    return pairs.withColumn("rank", rank).withColumn("scored", scored).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "scored")

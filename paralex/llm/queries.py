@@ -54,7 +54,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return permutation.permutation_search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+    out = permutation.permutation_search(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
