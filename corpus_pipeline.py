@@ -48,16 +48,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the least doc_id stays.
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) one document stays: the least doc_id,
+    nulls last; of rows that share it, the one whose text has the least hash.
 
-    Documents without words link with nothing and stay, and so do those of null doc_id, which can't be told apart.
-    Repeated rows become one.
+    Rows are told apart by doc_id and text, so a null doc_id, or one that several texts have, is judged like any other.
+    Documents without words link with nothing and stay.  Repeated rows become one.
     """
+    row = F.xxhash64("doc_id", "text").alias("row")
     docs = docs.select(COLUMNS)
-    groups = jaccard.jaccard_groups(docs.select("doc_id", "text"), shingle=5, percent=80)
-    heads = stash(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "heads")
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(COLUMNS).unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = jaccard.jaccard_groups(docs.select(row.alias("doc_id"), "text"), shingle=5, percent=80)
+    members = groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")
+    heads = stash(docs.select("doc_id", row).join(members, "row").groupBy("component").agg(first).select("row"), "heads")
+    kept = docs.withColumn("row", row).join(heads, "row", "left_semi")
+    return kept.dropDuplicates(["row", "doc_id", "text"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
