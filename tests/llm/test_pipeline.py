@@ -66,7 +66,11 @@ def test_line_dedup(spark):
 
 
 def test_jaccard_join(spark):
-    some, kept = rows(), []
+    some = rows()
+    long = [some[k] for k in range(120) if len(some[k][1].split()) > 60]
+    alone = " ".join(f"only{k}" for k in range(80))
+    # near copies that share a doc_id, copies without one, and near copies of which none has one
+    some += [(long[0][0], long[0][1] + " x", "en", "s1", 1), (None, long[1][1], "en", "s1", 1), (None, alone, "en", "s1", 1), (None, alone + " more", "en", "s1", 1)]
 
     def shingles(text):
         w = re.findall(WORD, (text or "").lower())
@@ -84,12 +88,14 @@ def test_jaccard_join(spark):
             both = len(sets[i] & sets[j])
             if both and 100 * both >= 80 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+    groups: dict = {}
     for i, r in enumerate(unique):
-        mates = [unique[j][0] for j in range(len(unique)) if find(j) == find(i) and unique[j][0] is not None]
-        if r[0] is None or r[0] == min(mates):
-            kept.append((r[0], r[1]))
-    got = pipeline.jaccard_join(spark, table(spark, some), "").select("doc_id", "text").collect()
-    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, dict.fromkeys(kept)))
+        groups.setdefault(find(i), []).append(r)
+    least = sorted(repr(min((r[0] for r in g if r[0] is not None), default=None)) for g in groups.values())
+    group = {r: k for k, g in groups.items() for r in g}
+    got = [tuple(r) for r in pipeline.jaccard_join(spark, table(spark, some), "").select(pipeline.COLUMNS).collect()]
+    assert sorted(group[r] for r in got) == sorted(groups)  # one of each group
+    assert sorted(repr(r[0]) for r in got) == least
 
 
 def test_mix_sources(spark):
