@@ -919,16 +919,54 @@ def event_type_filter(spark, d):
 # ---------------------------------------------------------------- markup and scripts as validation rules
 
 
-@query("SELECT page_id, CASE WHEN coalesce(html, '') = '' OR coalesce(url, '') = '' THEN 'empty,missing_value' ELSE 'malformed_markup' END AS reasons FROM pages UNION ALL SELECT -1 - page_id, CASE WHEN coalesce(url, '') = '' THEN 'empty,missing_value' ELSE '' END FROM pages")
+SQL_TAG = T.TAG_NAME.replace("'", "''")
+
+
+def _sql_balanced(x: str) -> str:
+    """The tags left open, each after a '<'; '!' once a closing tag fits none."""
+    name = f"regexp_extract(tag, '{SQL_TAG}', 1)"
+    closed = f"CASE WHEN ends_with(acc, '<' || {name}) THEN left(acc, length(acc) - length({name}) - 1) ELSE '!' END"
+    step = f"CASE WHEN acc = '!' THEN acc WHEN starts_with(tag, '</') THEN {closed} WHEN ends_with(tag, '/>') THEN acc ELSE acc || '<' || {name} END"
+    return f"(list_reduce(list_prepend('', regexp_extract_all({x}, '{SQL_TAG}')), lambda acc, tag: {step}) = '' AND NOT regexp_matches(regexp_replace({x}, '{SQL_TAG}', '', 'g'), '[<>]'))"
+
+
+SQL_MARKUP_REASONS = f"""RECURSIVE {V.values('v', 'k, snippet', [(k, x) for k, (x, _) in enumerate(MARKUP)])}, given AS (
+ SELECT page_id AS ord, html AS source, url AS target FROM pages
+ UNION ALL SELECT -1 - page_id, '<a><br/>' || url || '</a>', url FROM pages
+ UNION ALL SELECT (page_id + 1) * 4294967296 + k, snippet || ' ' || url, 'plain target number ' || k || ' of ' || url FROM pages, v),
+own AS MATERIALIZED (SELECT *, CASE WHEN coalesce(source, '') = '' OR coalesce(target, '') = '' THEN 'empty,missing_value' WHEN {_sql_balanced('source')} AND {_sql_balanced('target')} THEN '' ELSE 'malformed_markup' END AS own FROM given),
+walk AS (
+ SELECT 0 AS k, ord, source, target, FALSE AS won FROM own WHERE own = ''
+ UNION ALL
+ SELECT k + 1, ord, source, target, won FROM (
+  SELECT *, bool_or(won) OVER (PARTITION BY source) AS s_gone, bool_or(won) OVER (PARTITION BY target) AS t_gone FROM (
+   SELECT k, ord, source, target, ord = min(ord) OVER (PARTITION BY source) AND ord = min(ord) OVER (PARTITION BY target) AS won FROM walk WHERE NOT won))
+ WHERE won OR NOT (s_gone OR t_gone)),
+accepted AS MATERIALIZED (SELECT ord, source, target FROM walk WHERE won)"""
+
+
+@query(
+    f"""WITH {SQL_MARKUP_REASONS} SELECT p.ord AS page_id, CASE WHEN p.own LIKE 'empty%' THEN p.own ELSE concat_ws(',',
+ CASE WHEN s.target = p.target THEN 'duplicate_pair' END, CASE WHEN s.ord IS NOT NULL THEN 'source_duplicate' END, CASE WHEN s.target <> p.target THEN 'conflicting_translation' END,
+ CASE WHEN t.ord IS NOT NULL THEN 'target_duplicate' END, CASE WHEN t.source <> p.source AND NOT coalesce(s.target <> p.target, FALSE) THEN 'conflicting_translation' END, nullif(p.own, '')) END AS reasons
+ FROM own p LEFT JOIN accepted s ON s.source = p.source AND s.ord < p.ord LEFT JOIN accepted t ON t.target = p.target AND t.ord < p.ord"""
+)
 def markup_reasons(spark, d):
-    """The markup rule over pages as sources of their addresses (each leaves an element open), and over the addresses
-    alone, between tags that fit."""
+    """The markup rule inside the validator: pages as sources of their addresses (page_id), the addresses between tags that
+    fit (-1 - page_id), and with each address every snippet (from page_id + 1 times 2 to the 32 on)."""
     rules = validate.Rules(1, 1 << 30, 1 << 30, 1e9)
     pages = V.table(spark, d, "pages")
-    whole = pages.select("page_id", F.col("html").alias("source"), F.col("url").alias("target"))
+    whole = pages.select(F.col("page_id").alias("ord"), F.col("html").alias("source"), F.col("url").alias("target"))
     tagged = F.concat(F.lit("<a><br/>"), "url", F.lit("</a>"))
-    fit = pages.select((-1 - F.col("page_id")).alias("page_id"), tagged.alias("source"), F.col("url").alias("target"))
-    return whole.unionByName(fit).select("page_id", F.array_join(validate.row_reasons(rules), ",").alias("reasons"))
+    fit = pages.select((-1 - F.col("page_id")).alias("ord"), tagged.alias("source"), F.col("url").alias("target"))
+    snippets = F.posexplode(F.array(*(F.lit(x) for x, _ in MARKUP))).alias("k", "snippet")
+    mixed = pages.select("page_id", "url", snippets).select(
+        ((F.col("page_id") + 1) * (1 << 32) + F.col("k")).alias("ord"),
+        F.concat("snippet", F.lit(" "), "url").alias("source"),
+        F.concat(F.lit("plain target number "), F.col("k").cast("string"), F.lit(" of "), "url").alias("target"),
+    )
+    judged = validate.validate(whole.unionByName(fit).unionByName(mixed), rules)
+    return judged.select(F.col("ord").alias("page_id"), F.array_join("reasons", ",").alias("reasons"))
 
 
 # ---------------------------------------------------------------- names and lengths

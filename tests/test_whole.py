@@ -1,6 +1,6 @@
 """Catalogue queries that take every word and row of their input."""
 
-from paralex.plans.catalogue import QUERIES
+from paralex.plans.catalogue import MARKUP, QUERIES
 
 
 def test_pad_and_shift_takes_all_words(spark, tmp_path):
@@ -23,3 +23,16 @@ def test_weighted_loss_takes_all_events(spark, tmp_path):
     rows = [(1, 1, "click", 1.0), (1, 2, "view", 4.0), (2, 3, "view", 2.0)]
     spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert QUERIES["token_weighted_loss_whole"](spark, str(tmp_path)).first()["loss"] == 2.5
+
+
+def test_markup_rule_runs_in_the_whole_validator(spark, tmp_path):
+    """Pages, their addresses and all snippets are judged, with the duplicates among them."""
+    rows = [(0, "http://a", "<p>x</p>"), (1, "http://a", "<p>y</p>"), (2, "http://b", "<p><br></p>"), (3, None, "<p>z</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["reasons"] for r in QUERIES["markup_reasons"](spark, str(tmp_path)).collect()}
+    assert len(got) == 4 * (2 + len(MARKUP))
+    assert got[-2] == "" and got[-1] == "duplicate_pair,source_duplicate,target_duplicate"
+    assert got[0] == got[1] == "target_duplicate,conflicting_translation"
+    assert got[2] == "target_duplicate,conflicting_translation,malformed_markup" and got[3] == "empty,missing_value"
+    assert [got[(1 << 32) + k] == "" for k in range(len(MARKUP))] == [ok for _, ok in MARKUP]
+    assert [got[(2 << 32) + k].startswith("duplicate_pair") for k in range(len(MARKUP))] == [ok for _, ok in MARKUP]
