@@ -1,16 +1,19 @@
 """Corpus metrics as sums of row statistics: BLEU, chrF, TER, preservation means.
 
 Each row's statistics come from its own tokens, so a corpus metric is one partial aggregation with no shuffle of text.
-Tokens are found by built-in functions; n-gram overlaps and TER's block shifts are Arrow UDFs.
+Tokens are found by built-in functions; n-gram overlaps are counted batch by batch on Arrow columns, TER's block shifts by an
+Arrow UDF.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -33,37 +36,78 @@ def tokenize_13a(x: Column) -> Column:
     return F.filter(F.split(x, r"\s+"), lambda w: w != "")
 
 
-def _shared(a: list[str], b: list[str], n: int) -> int:
-    """Runs of n items that two lists share, repeats counted."""
-    x, y = (Counter(zip(*(items[k:] for k in range(n)), strict=False)) for items in (a, b))
-    return sum((x & y).values())
+#: Tokens of both sides that are counted together, about; a single longer row is counted on its own.
+TOKENS_AT_ONCE = 1 << 18
 
 
-def _row_sums(orders: int) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
-    names = [f"{x}_{n}" for n in range(1, orders + 1) for x in ("match", "candidate", "reference")]
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal numbers made equal places in a row without gaps, and how many there are."""
+    kinds, place = np.unique(ids, return_inverse=True)
+    return place, len(kinds)
+
+
+def overlaps(tokens: np.ndarray, lengths: np.ndarray, orders: int) -> list[int]:
+    """match_n, candidate_n and reference_n for each n, over rows whose candidate's and reference's tokens (numbers below
+    2**32) lie one after the other; lengths: of each side, candidate before reference.
+
+    An n-gram is known by the place of its first n - 1 tokens, with their row, and by its last token: no hash, no
+    collision."""
+    side = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(tokens))  # tokens from here to the side's end
+    token, kinds = _dense(tokens)
+    gram, at, out = side >> 1, np.arange(len(tokens)), []
+    for n in range(1, orders + 1):
+        whole = left[at] >= n
+        at, gram = at[whole], gram[whole]
+        gram, size = _dense(gram * kinds + token[at + n - 1])
+        own = side[at] & 1
+        counts = [np.bincount(gram[own == k], minlength=size) for k in (0, 1)]
+        out += [int(np.minimum(*counts).sum()), int((own == 0).sum()), int((own == 1).sum())]
+    return out
 
-    def sums(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
-        rows = []
-        for c, r in zip(candidate, reference, strict=True):
-            c, r = list(c), list(r)
-            rows.append([v for n in range(1, orders + 1) for v in (_shared(c, r, n), max(0, len(c) - n + 1), max(0, len(r) - n + 1))])
-        return pd.DataFrame(rows, columns=names)
 
-    return F.pandas_udf(sums, StructType([StructField(n, LongType()) for n in names]))
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers and lengths of a column: words of lists, code points of strings; null has none."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        text = "".join(x for x in column.to_pylist() if x is not None)
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def _pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` tokens."""
+    length = pc.utf8_length if pa.types.is_string(batch.schema.types[0]) or pa.types.is_large_string(batch.schema.types[0]) else pc.list_value_length
+    sizes = sum(pc.fill_null(length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield batch.slice(lo, hi - lo)
+
+
+def overlap_sums(rows: DataFrame, candidate: Column, reference: Column, orders: int) -> DataFrame:
+    """One row of sums over rows: match_n, candidate_n and reference_n of two columns of word lists, or of strings for
+    their characters.  Each task counts a bounded number of tokens at a time, and gives a row of sums a part: the built-in
+    functions would need a shuffle of all n-grams, or time with the square of a row's length."""
+    names = [f"{x}_{n}" for n in range(1, orders + 1) for x in ("match", "candidate", "reference")]
 
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3 * orders, np.int64)
+        for batch in batches:
+            for part in _pieces(batch, TOKENS_AT_ONCE) if batch.num_rows else ():
+                both = pa.concat_arrays([c.cast(part.schema.types[0]) for c in part.columns])
+                order = np.arange(2 * part.num_rows).reshape(2, -1).T.ravel()  # candidate and reference by turns
+                total += overlaps(*_numbers(both.take(pa.array(order))), orders)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names)
 
-def overlap_sums(candidate: Column, reference: Column, orders: int) -> Column:
-    """Struct of match_n, candidate_n and reference_n of two token arrays: an Arrow UDF, linear in the tokens.  The
-    built-in functions would need a shuffle of all n-grams, or time with the square of a row's length."""
-    return _row_sums(orders)(candidate, reference)
+    each = rows.select(candidate.alias("candidate"), reference.alias("reference")).mapInArrow(sums, ", ".join(f"{n} long" for n in names))
+    return each.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
 
 
 def bleu_statistics(rows: DataFrame) -> DataFrame:
     """One row of sums over rows (candidate, reference)."""
-    each = rows.select(overlap_sums(tokenize_13a(F.col("candidate")), tokenize_13a(F.col("reference")), ORDERS).alias("s"))
-    total = lambda c: F.coalesce(F.sum(f"s.{c}"), F.lit(0))
-    by_order = [x for n in range(1, ORDERS + 1) for x in (total(f"match_{n}").alias(f"match_{n}"), total(f"candidate_{n}").alias(f"total_{n}"))]
-    return each.agg(total("candidate_1").alias("candidate_length"), total("reference_1").alias("reference_length"), *by_order)
+    sums = overlap_sums(rows, tokenize_13a(F.col("candidate")), tokenize_13a(F.col("reference")), ORDERS)
+    by_order = [x for n in range(1, ORDERS + 1) for x in (F.col(f"match_{n}"), F.col(f"candidate_{n}").alias(f"total_{n}"))]
+    return sums.select(F.col("candidate_1").alias("candidate_length"), F.col("reference_1").alias("reference_length"), *by_order)
 
 
 def with_bleu(stats: DataFrame) -> DataFrame:
@@ -87,9 +131,8 @@ def bleu_score(stats: DataFrame) -> float:
 
 def chrf_statistics(rows: DataFrame) -> DataFrame:
     """One row of sums over rows (candidate, reference): characters without white space, orders one to six."""
-    chars = lambda x: F.filter(F.split(F.regexp_replace(x, r"(?U)\s", ""), ""), lambda c: c != "")
-    each = rows.select(overlap_sums(chars(F.col("candidate")), chars(F.col("reference")), CHAR_ORDERS).alias("s")).select("s.*")
-    return each.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in each.columns))
+    chars = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
+    return overlap_sums(rows, chars(F.col("candidate")), chars(F.col("reference")), CHAR_ORDERS)
 
 
 def with_chrf(stats: DataFrame, beta: float = 2.0) -> DataFrame:
