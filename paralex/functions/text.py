@@ -122,15 +122,25 @@ def markup_balanced(x: Column) -> Column:
     return F.when(~x.rlike("[<>]"), F.lit(True)).otherwise(nested & ~stray)
 
 
+#: A letter of a script other than Latin; all of them lie beyond the first range, which is told without a look at scripts.
+NOT_LATIN = rf"[\x{{370}}-\x{{10FFFF}}&&\p{{L}}&&[{''.join(rf'\p{{{c}}}' for c in SCRIPT_CLASSES.values() if c != 'IsLatin')}]]"
+
+
 def dominant_script(x: Column) -> Column:
-    """The commonest script among letters, by Unicode script; of equals the one met first; null without any."""
-    scripts = []
-    for name, cls in SCRIPT_CLASSES.items():
-        letter = rf"[\p{{L}}&&\p{{{cls}}}]"
-        first = F.regexp_instr(x, F.lit(letter))
-        scripts.append(F.struct(F.regexp_count(x, F.lit(letter)).alias("n"), (-first).alias("first"), F.lit(name).alias("script")))
-    best = F.array_max(F.array(*scripts))
-    return F.when(best["n"] > 0, best["script"])
+    """The commonest script among letters, by Unicode script; of equals the one met first; null without any.
+
+    Texts without letters of other scripts are told by two searches; in the rest, only scripts that are met are counted."""
+    letter = {name: rf"[\p{{L}}&&\p{{{cls}}}]" for name, cls in SCRIPT_CLASSES.items()}
+
+    def commonest(text: Column, *firsts: Column) -> Column:
+        scripts = []
+        for (name, pattern), first in zip(letter.items(), firsts, strict=True):
+            n = F.when(first > 0, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+            scripts.append(F.struct(n.alias("n"), (-first).alias("first"), F.lit(name).alias("script")))
+        return let([F.array_max(F.array(*scripts))], lambda best: F.when(best["n"] > 0, best["script"]))
+
+    several = let([x, *(F.regexp_instr(x, F.lit(pattern)) for pattern in letter.values())], commonest)
+    return F.when(x.rlike(NOT_LATIN), several).when(x.rlike(letter["Latn"]), F.lit("Latn"))
 
 
 def bucket(key: Column, seed: int) -> Column:
