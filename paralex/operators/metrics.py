@@ -30,8 +30,9 @@ def tokenize_13a(x: Column) -> Column:
     for entity, plain in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         x = F.replace(x, F.lit(entity), F.lit(plain))
     x = F.concat(F.lit(" "), x, F.lit(" "))
-    # fixed values: the four substitutions of the published tokenizer
-    for pattern, into in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
+    # fixed values: the four substitutions of the published tokenizer; its first class holds the space too, around which
+    # more spaces change no token
+    for pattern, into in ((r"[\{-\~\[-\`!-\&\(-\+\:-\@\/]", " $0 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
         x = F.regexp_replace(x, pattern, into)
     return F.filter(F.split(x, r"\s+"), lambda w: w != "")
 
@@ -42,8 +43,8 @@ TOKENS_AT_ONCE = 1 << 18
 
 def _dense(ids: np.ndarray) -> tuple[np.ndarray, int]:
     """Equal numbers made equal places in a row without gaps, and how many there are."""
-    kinds, place = np.unique(ids, return_inverse=True)
-    return place, len(kinds)
+    coded = pa.array(ids).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
 
 
 def overlaps(tokens: np.ndarray, lengths: np.ndarray, orders: int) -> list[int]:

@@ -1,10 +1,12 @@
 """N-gram overlaps counted on Arrow columns against counters of a row's n-grams."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from paralex.operators import metrics
 
@@ -38,3 +40,20 @@ def test_a_part_holds_a_bounded_number_of_tokens():
     assert sum(p.num_rows for p in parts) == 100 and max(p.num_rows for p in parts) <= 6
     tokens, lengths = metrics._numbers(pa.array(["aé", None, "\U0001f600"]))
     assert tokens.tolist() == [97, 233, 0x1F600] and np.asarray(lengths).tolist() == [2, 0, 1]
+
+
+def test_the_tokenizer_leaves_spaces_alone(spark):
+    """As the published substitutions, which put spaces around spaces too; here those aren't matches."""
+    rng = random.Random(6)
+    rows = ["".join(rng.choice("a1 .,-!/&{[~'\t") for _ in range(rng.randrange(20))) for _ in range(2000)]
+
+    def plain(x):
+        x = f" {x} "
+        for pattern, into in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+            x = re.sub(pattern, into, x)
+        return x.split()
+
+    tokens = metrics.tokenize_13a(F.col("x"))
+    assert "\\` -" not in tokens._jc.toString() and "[-` -" not in tokens._jc.toString()
+    got = {r["x"]: r["t"] for r in spark.createDataFrame([(x,) for x in rows], "x string").select("x", tokens.alias("t")).collect()}
+    assert got == {x: plain(x) for x in rows}
