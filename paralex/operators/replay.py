@@ -34,16 +34,27 @@ def chance(seed: int, key: Column) -> Column:
 def sample(rows: DataFrame, count: int, seed: int, key: str) -> DataFrame:
     """count rows in seeded order: each at most once, or drawn with replacement where there are too few.
 
-    Without replacement these are the first positions of the seeded order; with it, draw i takes the row that the hash of
-    i points to.
+    Without replacement these are the first of the seeded order, and no row moves: counts by the first 16 bits of the draw
+    tell where the sample ends, and only rows that share those bits are put in order.  With replacement, draw i takes the
+    row that the hash of i points to.
     """
-    size = rows.count()
+    draw = chance(seed, F.col(key))
+    part = F.coalesce(F.conv(F.substring(draw, 1, 4), 16, 10).cast("int"), F.lit(-1))  # null keys come first
+    parts = sorted(tuple(r) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # 65,537 at most
+    size = sum(n for _, n in parts)
     if count <= 0 or size == 0:
         return rows.limit(0)
-    numbered = shuffled(rows, seed, key)
-    if count <= size:
-        return numbered.where(F.col("position") < count).drop("position")
-    numbered = numbered.withColumnRenamed("position", "__n")
+    if count == size:
+        return rows
+    if count < size:
+        left = count
+        for cut, n in parts:
+            if left < n:
+                break
+            left -= n
+        sure = rows.where(part < cut)
+        return sure.unionByName(rows.where(part == cut).orderBy(draw, key).limit(left)) if left else sure
+    numbered = shuffled(rows, seed, key).withColumnRenamed("position", "__n")
     draws = rows.sparkSession.range(count).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(size)).alias("__n"))
     return draws.join(numbered, "__n").drop("__n")
 
@@ -61,6 +72,7 @@ def history_count(strategy: str, new: int, *, fixed: int = 0, new_ratio: float =
 
 def mixture(new: DataFrame, history: DataFrame, strategy: str | None, seed: int, key: str, **options: float) -> tuple[DataFrame, dict]:
     """(new rows and sampled history, report); strategy None: new rows alone."""
+    new = written(new, "new")  # told apart from history once; counts, domains and rows are read from there
     n, available = new.count(), history.count()
     if n == 0:
         raise ValueError("no new training rows")
