@@ -33,13 +33,12 @@ class Accepted:
 
         def decide(entries: list[dict]) -> dict:
             past = self.digests(entries)
-            if entries and records.agg(F.min("ord")).first()[0] is not None:
-                if records.agg(F.min("ord")).first()[0] <= max(e["last"] for e in entries):
-                    raise ValueError("records that come before accepted ones need a rebuild")
+            low, top = records.agg(F.min("ord"), F.max("ord")).first()
+            if entries and low is not None and low <= max(e["last"] for e in entries):
+                raise ValueError("records that come before accepted ones need a rebuild")
             rows, fresh = validate.judge(records, rules, past)
             table = f"accepted/{uuid.uuid4().hex}"
             fresh.write.parquet(f"{self.folder}/{table}")
-            top = records.agg(F.max("ord")).first()[0]
             judged[:] = [rows]
             return {"table": table, "last": max([-1 if top is None else top, *(e["last"] for e in entries)])}
 
