@@ -553,9 +553,11 @@ def early_stopping_late(spark, d):
     half = F.xxhash64("value") % 2 == 0
     path, out = _folder(spark, "shuffled-log"), _folder(spark, "late-stops")
     stopping.stateful(spark)
+    lines = written(lines, "lines")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 2)  # a batch, of two for each half
     for part in (half, ~half):
-        lines.where(part).repartition(2, "value").write.mode("append").text(path)
-        events = stream.tail(spark, path, "run string, number long, step long, event string, loss double, timestamp timestamp", maxFilesPerTrigger=1)
+        lines.where(part).repartition(2 * files, "value").write.mode("append").text(path)
+        events = stream.tail(spark, path, "run string, number long, step long, event string, loss double, timestamp timestamp", maxFilesPerTrigger=files)
         stops = stopping.early_stopping_late(events, 5, "1000 days")
         stops.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.schema(stops.schema).parquet(out)

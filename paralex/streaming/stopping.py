@@ -8,6 +8,7 @@ stream that was stopped goes on where it was.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "run string, step long, best double, streak int, stopped boolean"
-STATE = "best double, streak int, stopped boolean, expected long"
-WAITING = "number long, step long, loss double, time long"
-#: The state store that states of several variables need.
+NAMES = [c.split()[0] for c in OUT.split(", ")]
+#: A run's state is one value, read and written once a batch; waiting: rows of WAITING, timer: 0 if none is set.
+STATE = "best double, streak int, stopped boolean, expected long, timer long, waiting binary"
+WAITING = struct.Struct("<qqdq?")  # number, step, loss, time, whether the loss is null
+#: The state store that states with timers need.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,12 +31,11 @@ class Stopping(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", STATE)
-        self.waiting = handle.getListState("waiting", WAITING)
 
     def _go_on(self, run: str, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
         """Takes rows (number, step, loss, time) as long as their numbers follow, and lets the rest wait."""
-        best, streak, stopped, expected = self.state.get() if self.state.exists() else (float("inf"), 0, False, 1)
-        before = [tuple(r) for r in self.waiting.get()]
+        best, streak, stopped, expected, timer, waiting = self.state.get() or (float("inf"), 0, False, 1, 0, b"")
+        before = [(n, s, None if null else x, t) for n, s, x, t, null in WAITING.iter_unpack(bytes(waiting))]
         rows = sorted({r[0]: r for r in [*new, *before]}.values(), key=lambda r: r[0])  # of repeats, the first to come
         sure = max((r[0] for r in rows if r[3] < watermark), default=0)  # gaps below this stay open
         out, left = [], []
@@ -46,22 +48,23 @@ class Stopping(StatefulProcessor):
                     best, streak = (loss, 0) if loss < best else (best, streak + 1)
                     stopped = streak >= self.patience
                 out.append((run, step, float(best), int(streak), bool(stopped)))
-        self.state.update((float(best), int(streak), bool(stopped), int(expected)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(min(r[3] for r in left) + 1)
-        else:
-            self.waiting.clear()
+        due = min((r[3] for r in left), default=-1) + 1
+        if due != timer:
+            if timer > watermark:  # an earlier one has expired
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)
+        waiting = b"".join(WAITING.pack(n, s, 0.0 if x is None else x, t, x is None) for n, s, x, t in left)
+        self.state.update((float(best), int(streak), bool(stopped), int(expected), int(due), waiting))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+            yield pd.DataFrame(dict(zip(NAMES, zip(*out), strict=True)))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for batch in rows:
-            times = batch["timestamp"].astype("int64") if batch["timestamp"].dtype == "int64" else batch["timestamp"].dt.tz_localize(None).astype("datetime64[ms]").astype("int64")
-            new += [(int(n), int(s), None if pd.isna(x) else float(x), int(t)) for n, s, x, t in zip(batch["number"], batch["step"], batch["loss"], times, strict=True)]
+            times = batch["timestamp"].to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+            losses = (None if x != x else x for x in batch["loss"].to_numpy(float, na_value=float("nan")).tolist())
+            new += zip(batch["number"].tolist(), batch["step"].tolist(), losses, times, strict=True)
         yield from self._go_on(key[0], new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -50,3 +50,44 @@ def test_gaps_are_given_up_when_the_watermark_passes(spark, tmp_path):
     got = run(spark, tmp_path, [first, [line("b", 2, 2.0)], [line("b", 3, 2.0), line("b", 50, 2.0)], [line("a", 51, 1.0)]], "10 minutes")
     assert got["a"] == [(10, 5.0, 0, False), (30, 4.0, 0, False), (40, 4.0, 1, False)]
     assert got["b"] == [(10, 1.0, 0, False), (20, 1.0, 1, False), (30, 1.0, 2, False)]
+
+
+class Handle:
+    """A state's variables and timers, with the number of calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getListState(self, name, schema):
+        raise AssertionError("a second variable: its own round trips for every run and batch")
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_batch_asks_the_state_once(spark):
+    """Without gaps one read and one write; a timer is moved only when the first row that waits changes."""
+    handle, stops = Handle(), stopping.Stopping(3)
+    stops.init(handle)
+    step = lambda *new, watermark=0: [tuple(r) for x in stops._go_on("a", list(new), watermark) for r in x.itertuples(index=False)]
+    assert len(step((1, 10, 5.0, 100), (2, 20, None, 200))) == 2 and handle.calls == 2
+    assert step((4, 40, 4.0, 400)) == [] and handle.timers == {401}
+    calls = handle.calls
+    assert step((5, 50, None, 500)) == [] and handle.calls == calls + 2
+    assert step((3, 30, 6.0, 300)) == [("a", 30, 5.0, 1, False), ("a", 40, 4.0, 0, False), ("a", 50, 4.0, 0, False)] and handle.timers == set()
