@@ -60,10 +60,11 @@ LENGTHS = [20, 32, 48, 96]
 BINS_PER_DECADE, MOST_BIN = 20, 400
 #: Three times the least p-value of the battery that a random run has (so one in a thousand is lost).
 RANDOM_LEVEL = 1e-3
-#: Words that null strings are made of, and how many characters of them a document gives at least (by repeating them).
+#: Words that null strings are made of, how many characters of them a text of the model gives at least (by repeating them),
+#: and its words.
 NULL_WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{1,15}[0-9]{0,2}(?![A-Za-z0-9+/_=-])"
 NULL_CHARS = 2 * LENGTHS[-1]
-NULL_WORDS = 2000
+NULL_WORDS = 300
 #: Words usual in names: null strings are made of these too, in so many orders, as a small corpus says little of names.
 NAME_WORDS = (
     "account action add address admin all and app area array auth base batch block body buffer build by cache call change channel check class "
@@ -232,20 +233,28 @@ def _bin(value: Column, encoding: Column) -> Column:
     return _let(_battery(value, encoding), at)
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word that null strings are made of stands in all texts."""
+    words = F.regexp_extract_all("text", F.lit(NULL_WORD), F.lit(0))
+    return docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def null_strings(docs: DataFrame, documents: int) -> DataFrame:
     """(way, value): text as names, paths and identifiers have it, words of whole texts glued in some way and cut at
     each length class.
 
-    The model of text is fitted on `documents` documents and about NULL_WORDS words of each, chosen by hashes.
+    The model of text is the frequency of every word, counted over all documents.  It is made to write `documents` texts
+    of about NULL_WORDS words each: a word comes as often as its share of all words asks for, a fraction being rounded up
+    or down by the word's hash so that it holds on average, in an order by hashes.
     """
-    chosen = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("pick"), "text")
-    limit = chosen.select("pick").orderBy("pick").limit(documents).agg(F.max("pick")).first()[0]
-    words = F.regexp_extract_all("text", F.lit(NULL_WORD), F.lit(0))
-    # at most so many rows (and rows of their hash): a bounded sample
-    words = chosen.where(F.col("pick") <= F.lit(limit)).select("pick", words.alias("words")).where(F.size("words") > 0)
-    # a lambda's own name for the words: else they would be found again for each of them
-    some = _let(F.col("words"), lambda all_words: F.filter(all_words, lambda w, i: F.pmod(F.xxhash64("pick", i), F.ceil(F.size(all_words) / NULL_WORDS)) == 0))
-    words = words.select("pick", some.alias("words")).where(F.size("words") > 0)
+    counts = stash(word_counts(docs), "secrets-words")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    chance = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor(F.col("n") * (documents * NULL_WORDS / total) + chance).cast("int")
+    places = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")
+    drawn = counts.select("word", times.alias("times")).where("times > 0").select("word", places).withColumn("h", F.xxhash64("word", "i"))
+    written = drawn.groupBy(F.pmod("h", F.lit(documents)).alias("pick")).agg(F.array_sort(F.collect_list(F.struct("h", "word"))).alias("found"))
+    words = written.select("pick", F.transform("found", lambda x: x["word"]).alias("words"))
     orders = docs.sparkSession.range(NAME_ORDERS).select(F.col("id").alias("pick"), F.transform(F.array_sort(F.transform(F.array(*map(F.lit, NAME_WORDS)), lambda w: F.struct(F.xxhash64("id", w).alias("h"), w.alias("w")))), lambda x: x["w"]).alias("words"))
     words = words.unionByName(orders).repartition(shuffle_partitions(docs.sparkSession), "pick")  # little data, much work
     low = F.transform("words", F.lower)
@@ -281,8 +290,8 @@ def secret_scan(docs: DataFrame, fdr: float = 0.01, null_documents: int = 200) -
 
     Positions count code points, the end exclusive.  A null or empty text has no spans.  Rows are independent but for
     the false-discovery control, which takes all rows: repeated rows count as often as they occur, and an empty table
-    gives no rows.  Other columns are not carried.  null_documents bounds the documents that the model of text is
-    fitted on, besides names made of NAME_WORDS.
+    gives no rows.  Other columns are not carried.  The model of text is fitted on all documents, and on
+    names made of NAME_WORDS; null_documents: the texts that it writes for comparison.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))

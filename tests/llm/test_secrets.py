@@ -141,3 +141,12 @@ def test_positions_of_many_matches(spark):
     got = {r["doc_id"]: [(s["start"], s["end"], s["value"]) for s in r["s"]] for r in found.collect()}
     assert got == {1: [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.ASSIGN, text)], 2: [], 3: []}
     assert len(got[1]) > 4 * secrets.CHUNK
+
+
+def test_the_null_model_counts_the_words_of_all_documents(spark):
+    """Half of the words stand in documents beyond any sample of two hundred, after two thousand others: their share holds."""
+    rows = [(k, "first " * 25) for k in range(1, 2000)] + [(0, "second " * 49_975)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["word"]: r["n"] for r in secrets.word_counts(docs).collect()} == {"first": 1999 * 25, "second": 49_975}
+    text = "".join(r["value"] for r in secrets.null_strings(docs, 20).where("way = 1").collect()).lower()
+    assert 0.45 < text.count("second") / (text.count("first") + text.count("second")) < 0.55
