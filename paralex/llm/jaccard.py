@@ -11,7 +11,10 @@ group.  A set that several groups hold counts once in each, which loses no link:
 
 Equal sets are one class from the start, and all classes are known by a hash.  Large groups of near copies don't make
 all pairs: every class is first compared to a few pivots, one for each of its commonest prefix shingles; what links joins
-one component, and afterwards only pairs of classes in different components are still compared - all of them.
+one component, and afterwards only pairs of classes in different components are still compared - all of them, by
+parities first: each class has a bitmap that says of which parts of the range of hashes it holds an odd number of
+shingles.  Every bit in which two bitmaps differ is a shingle that only one of the two has, so near misses of a large
+group fall inside the join and never become rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paralex.llm.common import (
@@ -52,8 +55,11 @@ STARS = 4
 KINDS = [1, 2, 3, 6]
 KIND_NAMES = [f"m{k}" for k in range(len(KINDS))]
 PREFIX_NAMES = [f"p{o}" for o in range(1, ORDERS)]
+#: Longs of a class's bitmap of parities.
+PARITY_NAMES = [f"w{k}" for k in range(4)]
 ASK_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 TELL_ARROW = pa.schema([("b", pa.int32()), ("g", pa.int32()), ("levels", pa.binary())])
+POSTINGS = ", ".join(["token long, set long, n int, place int", *(f"{c} int" for c in KIND_NAMES), *(f"{c} long" for c in PARITY_NAMES)])
 SETS = "doc_id long, n_shingles long, set long, shingles binary, levels binary"
 SET_NAMES = [x.split()[0] for x in SETS.split(", ")]
 
@@ -183,6 +189,24 @@ def prefix(shingles: np.ndarray, level: np.ndarray, n: int, percent: int, order:
     return shingles[rank[:length]]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of the parts of the range of hashes holds an odd number of the shingles: bits, in PARITY_NAMES' longs."""
+    bits = 64 * len(PARITY_NAMES)
+    slot = ((mix(shingles + U(0x5851F42D4C957F2D)) >> U(32)) % U(bits)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(bool)).view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int, names: list[str]) -> Column:
+    """Whether two sets (columns prefixed x and y) could overlap enough, by how many of their shingles other sets have;
+    with names of parity columns, also by the bits in which those differ."""
+    total = lambda of: reduce(lambda s, c: s + c, of)
+    both = total([F.least(f"{x}{c}", f"{y}{c}") for c in KIND_NAMES])
+    if names:
+        differ = total([F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in names])
+        both = F.least(both, F.shiftright(total([F.col(f"{s}{c}") for s in (x, y) for c in KIND_NAMES]) - differ, 1))
+    return 100 * both >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - both)
+
+
 def _postings(percent: int):
     """Each set's prefix shingles under the first order, the commonest last, with all that bounds and filters need."""
 
@@ -191,6 +215,7 @@ def _postings(percent: int):
             token, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             size, place = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             kinds = [[np.zeros(0, np.int32)] for _ in KINDS]
+            bits = [[np.zeros(0, np.int64)] for _ in PARITY_NAMES]
             for s, n, h, level in zip(*(batch.column(c).to_pylist() for c in ("set", "n", "shingles", "levels")), strict=True):
                 found = prefix(np.frombuffer(h, U), np.frombuffer(level, np.uint8), n, percent, 0)
                 token.append(found.view(np.int64))
@@ -198,8 +223,10 @@ def _postings(percent: int):
                 size.append(np.full(len(found), n, np.int32))
                 for have, count in zip(kinds, np.bincount(np.searchsorted(KINDS, np.frombuffer(level, np.uint8), "right") - 1, minlength=len(KINDS)), strict=True):
                     have.append(np.full(len(found), count, np.int32))
+                for have, word in zip(bits, parities(np.frombuffer(h, U)), strict=True):
+                    have.append(np.full(len(found), word))
                 place.append(np.arange(len(found), dtype=np.int32)[::-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, key, size, place, *kinds)], ["token", "set", "n", "place", *KIND_NAMES])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, key, size, place, *kinds, *bits)], ["token", "set", "n", "place", *KIND_NAMES, *PARITY_NAMES])
 
     return postings
 
@@ -260,7 +287,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     with small_batches(spark, 400):
         sets = sets.mapInArrow(_prefixes(percent), "set long, n int, shingles binary, levels binary, " + ", ".join(f"{p} array<long>" for p in PREFIX_NAMES))
         sets = stash(sets, "classes")
-        postings = stash(sets.select("set", "n", "shingles", "levels").mapInArrow(_postings(percent), "token long, set long, n int, place int, " + ", ".join(f"{c} int" for c in KIND_NAMES)), "postings")
+        postings = stash(sets.select("set", "n", "shingles", "levels").mapInArrow(_postings(percent), POSTINGS), "postings")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that share a prefix shingle under every order, and then overlap enough; the side that may repeat
@@ -275,11 +302,6 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
         with small_batches(spark, 100):  # a row holds two whole sets
             return stash(wide.mapInArrow(_verify(percent), "a long, b long"), "linked")
 
-    def may(x: str, y: str):
-        """Whether two sets could overlap enough, by how many of their shingles other sets have."""
-        both = reduce(lambda s, c: s + F.least(f"{x}{c}", f"{y}{c}"), KIND_NAMES[1:], F.least(f"{x}m0", f"{y}m0"))
-        return 100 * both >= percent * (F.col(f"{x}n") + F.col(f"{y}n") - both)
-
     def side(df: DataFrame, x: str, *others: str) -> DataFrame:
         return df.select("token", F.col("set").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", *KIND_NAMES, *others)))
 
@@ -288,7 +310,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     own = F.col("n") - reduce(lambda x, c: x + F.col(c), KIND_NAMES[1:], F.col("m0"))
     lead = F.struct(own.alias("own"), F.xxhash64("token", "set").alias("chance"), *("set", "n", *KIND_NAMES))
     pivots = stash(side(postings.groupBy("token").agg(F.min(lead).alias("p")).select("token", "p.*"), "b"), "pivots")
-    pairs = side(postings.where(F.col("place") < STARS), "a").join(pivots, "token").where((F.col("a") != F.col("b")) & may("a", "b"))
+    pairs = side(postings.where(F.col("place") < STARS), "a").join(pivots, "token").where((F.col("a") != F.col("b")) & may_link("a", "b", percent, []))
     links = linked(pairs.select("a", "b").distinct())
     parts = stash(connected_components(links), "parts")
 
@@ -298,8 +320,8 @@ def jaccard_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Data
     mixed = apart.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     mixed = stash(mixed, "mixed")
     apart = apart.join(mixed, "token", "left_semi")
-    rest = side(apart, "a", "root").join(side(apart, "b", "root"), "token")
-    rest = rest.where((F.col("aroot") < F.col("broot")) & may("a", "b")).select("a", "b").distinct()
+    rest = side(apart, "a", "root", *PARITY_NAMES).join(side(apart, "b", "root", *PARITY_NAMES), "token")
+    rest = rest.where((F.col("aroot") < F.col("broot")) & may_link("a", "b", percent, PARITY_NAMES)).select("a", "b").distinct()
     more = linked(rest)
     roots = connected_components(links.union(more)).withColumnsRenamed({"node": "set"})
 

@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from paralex.llm import jaccard
 from paralex.llm.components import connected_components
 from paralex.llm.jaccard import jaccard_groups
 
@@ -70,3 +72,33 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(0, 50)] + [(100, 99), (99, 98), (7, 7), (200, 201), (201, 200)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {k: 0 for k in range(51)} | {98: 98, 99: 98, 100: 98, 200: 200, 201: 200}
+
+
+def test_near_misses_of_a_large_group_never_become_pairs(spark, monkeypatch):
+    """Copies of one passage that overlap by less than is asked for: the last round compared the sets of nearly each two."""
+    rng = random.Random(11)
+    passage = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        t = list(passage)
+        for at in rng.sample(range(3, 147), 6):
+            t[at] = rng.choice(["x", "y", "z"]) + str(at)
+        rows.append((k, " ".join(t)))
+    sizes = {}
+    stash = jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, name: sizes.setdefault(name, []).append(out := stash(df, name)) or out)
+    got = jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(repr, map(tuple, got))) == brute(rows, 5, 80)
+    met, linked = (sizes[name][-1].count() for name in ("met", "linked"))
+    assert met <= linked + len(rows)
+
+
+def test_parities_bound_the_overlap_from_above():
+    rng = np.random.default_rng(3)
+    for size in (1, 20, 200, 2000):
+        every = rng.integers(0, 1 << 63, 2 * size).astype(np.uint64)
+        for share in (0.0, 0.3, 0.9, 1.0):
+            x = every[:size]
+            y = np.concatenate([every[: int(share * size)], every[size : 2 * size - int(share * size)]])
+            differ = sum(int(a ^ b).bit_count() for a, b in zip(jaccard.parities(x).view(np.uint64), jaccard.parities(y).view(np.uint64), strict=True))
+            assert len(np.intersect1d(x, y)) <= (len(x) + len(y) - differ) // 2
