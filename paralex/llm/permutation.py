@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order in which it meets a fixed set of pivots, nearest first.  A row posts its place to
-the lists of its nearest three quarters of the pivots: pivot by pivot, a block of rows is an inverted file, written once
-as a table.  A query walks the lists of its own nearest pivots only (three eighths of all) and adds up, for the rows
+the lists of its nearest quarter of the pivots: pivot by pivot, a block of rows is an inverted file, written once
+as a table.  A query walks the lists of its own nearest pivots only (an eighth of all) and adds up, for the rows
 posted there, how far the ranks differ: the footrule distance.  A row that a list doesn't hold counts as ranked just
-after those that it holds.  More lists are walked than a row can be missing from, so every row is met.
+after those that it holds; one that no list holds has the greatest footrule, and is scored where estimates reach it.
 
 The rows of least footrule are reranked first, by the exact measure.  What they score tells the query what a footrule is
 worth: a line through their cosines, and how far they scatter about it.  Reranking goes on, best estimates first and the
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from paralex.llm.common import one, stash
 
-PIVOTS = 128
+PIVOTS = 256
 #: Rows for each pivot in the sample that pivots are chosen from.
 SAMPLE = 8
-ROW_BLOCK, QUERY_BLOCK = 8192, 2048
+ROW_BLOCK, QUERY_BLOCK = 16_384, 2048
 #: Part of a cosine that rounding may cost.
 SLACK = 1e-9
 INDEX = "rb int, ids binary, vectors binary, lengths binary, members array<binary>, ranks array<binary>"
@@ -166,7 +166,7 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     rows = rows.where(F.size("embedding") == common[0]["size"])
     sample = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE * pivots).collect()
     fixed = spread(np.array([r["embedding"] for r in sample], np.float64), pivots)
-    posted, probed = -(-3 * len(fixed) // 4), -(-3 * len(fixed) // 8)
+    posted, probed = -(-len(fixed) // 4), -(-len(fixed) // 8)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

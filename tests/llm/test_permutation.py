@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from paralex.llm import permutation
 from paralex.llm.permutation import _index, nearest_pivots, permutation_search, spread
 
 
@@ -93,3 +94,18 @@ def test_odd_vectors(spark):
     got = permutation_search(docs, F.col("vec_id") % 20 == 0, k=20).collect()
     assert sorted(tuple(r)[:4] for r in got) == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 140, 0.0), (140, 1, 0, 0.0), (140, 2, 1, -0.5), (140, 3, 2, -0.5)]
     assert permutation_search(docs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_a_query_walks_a_small_part_of_the_lists(spark, monkeypatch):
+    """Entries of lists that a query walks, for each row: 36 when rows were posted to three quarters of the pivots."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    docs = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    kept, asked = [], []
+    stash, search = permutation.stash, permutation._search
+    monkeypatch.setattr(permutation, "stash", lambda df, name: kept.append(out := stash(df, name)) or out)
+    monkeypatch.setattr(permutation, "_search", lambda k, posted, *more: asked.append(posted) or search(k, posted, *more))
+    assert permutation.permutation_search(docs, F.col("vec_id") % 20 == 0, k=20).count() == 150 * 20
+    lists = [len(m) // 4 for r in kept[0].collect() for m in r["members"]]
+    assert sum(lists) == asked[0] * len(x)  # every row is indexed
+    assert sum(lists) / len(lists) * (len(lists) / 8) <= 10 * len(x)
