@@ -39,3 +39,18 @@ def test_a_dictionary_of_many_terms(spark):
     got = terms.terminology(spark.createDataFrame(rows, "source string, candidate string"), table, 1 << 18).first()
     assert got["total"] == sum(len(set(p)) for p in picks)
     assert got["matched"] == sum(len(set(p[::2])) for p in picks)
+
+
+def test_a_dictionary_is_cut_into_no_shards(spark, monkeypatch):
+    """However large the dictionary, texts are read once: no automaton, of which each text passed every one."""
+    rng = random.Random(7)
+    letters = "abcdeß\U0001f600 "
+    dictionary = [("".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))), ["".join(rng.choice(letters) for _ in range(2))]) for _ in range(3000)]
+    rows = [("".join(rng.choice(letters) for _ in range(rng.randrange(120))), rng.choice([None, "ab", "c d\U0001f600ss"])) for _ in range(150)] + [(None, "ab")]
+    made = []
+    shard = terms._shard
+    monkeypatch.setattr(terms, "_shard", lambda *a: made.append(1) or shard(*a))
+    table = spark.createDataFrame(dictionary, "term string, forms array<string>")
+    got = terms.terminology(spark.createDataFrame(rows, "source string, candidate string").repartition(3), table, 2000).first()
+    assert (got["matched"], got["total"], got["accuracy"]) == brute(rows, dictionary)
+    assert not made
