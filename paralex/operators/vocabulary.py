@@ -56,12 +56,17 @@ def joined(parts: list[str], pair: Pair) -> list[str]:
 
 def pieces(word: str, ranks: dict[Pair, int]) -> list[str]:
     """A word's pieces: the merge learned first is done first, wherever its pair stands, from left to right."""
-    parts = list(word)
-    while len(parts) > 1:
-        first = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        if first not in ranks:
-            break
-        parts = joined(parts, first)
+    parts, rank, none = list(word), ranks.get, len(ranks)
+    order = [rank(p, none) for p in zip(parts, parts[1:])] if ranks else []
+    while order and (first := min(order)) < none:
+        while first in order:  # a new piece is longer than either part, so its pairs are others
+            k = order.index(first)
+            parts[k] += parts.pop(k + 1)
+            del order[k]
+            if k:
+                order[k - 1] = rank((parts[k - 1], parts[k]), none)
+            if k < len(order):
+                order[k] = rank((parts[k], parts[k + 1]), none)
     return parts
 
 
@@ -84,13 +89,15 @@ def disjoint(order: list[tuple[str, str, int]]) -> list[Pair]:
 
 def _changes(words: DataFrame, before: list[Pair], now: list[Pair]) -> DataFrame:
     """(a, b, n): by how much pair counts change in the words that the merges of a round touch, a part a row."""
-    old = {p: k for k, p in enumerate(before)}
+    old, new = {p: k for k, p in enumerate(before)}, set(now)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             change: Counter[Pair] = Counter()
             for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 was = parts = pieces(word, old)
+                if now and new.isdisjoint(zip(was, was[1:])):
+                    continue
                 for pair in now:  # later than all before, so they are done on what those leave
                     parts = joined(parts, pair)
                 if len(parts) < len(was) or not now:
