@@ -73,3 +73,23 @@ def test_scores_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     for other in found[1:]:
         assert all(a[:2] == b[:2] and abs(a[2] - b[2]) <= 2e-4 for a, b in zip(found[0], other, strict=True))
+
+
+def test_words_are_predicted_where_they_stand(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeioustnr") for _ in range(5)) for _ in range(60)]
+    after = {w: rng.sample(vocabulary, 2) for w in vocabulary}
+
+    def text():
+        words = [rng.choice(vocabulary)]
+        while len(words) < 200:
+            words.append(rng.choice(after[words[-1]]))
+        return words
+
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 5 == 1][:2]
+    words = text()
+    shuffled = rng.sample(words, len(words))
+    rows = [(k, " ".join(text())) for k in range(100)] + [(held[0], " ".join(words)), (held[1], " ".join(shuffled))]
+    got = {r["doc_id"]: r for r in mixing_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[held[0]]["base_score"] - got[held[1]]["base_score"]) < 1e-6
+    assert got[held[0]]["score"] > 0.5 * got[held[1]]["score"]
