@@ -6,6 +6,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
+from paralex.llm import mixmodel, wordbits
+from paralex.llm.common import unsqueeze
 from paralex.llm.mixmodel import mixing_scores
 
 
@@ -93,3 +97,52 @@ def test_words_are_predicted_where_they_stand(spark):
     got = {r["doc_id"]: r for r in mixing_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert abs(got[held[0]]["base_score"] - got[held[1]]["base_score"]) < 1e-6
     assert got[held[0]]["score"] > 0.5 * got[held[1]]["score"]
+
+
+def made_up(n=3000):
+    rng = np.random.default_rng(4)
+    counts = np.concatenate([[1] * 50, rng.integers(2, 40, 300), [700, 700, 9000]])
+    classes = wordbits.class_of(counts)
+    sizes = np.bincount(classes, minlength=wordbits.CLASSES)
+    masses = np.bincount(classes, weights=counts, minlength=wordbits.CLASSES).astype(np.int64)
+    places = np.array([(classes[:k] == c).sum() if c else 0 for k, c in enumerate(classes)])
+    pick = rng.choice(len(counts), n, p=counts / counts.sum())
+    coder = wordbits.Coder(sizes, masses)
+    first = np.array([0, n // 3, n])
+    return coder, sizes, classes, places, wordbits.Tokens(coder, classes[pick], places[pick], first, np.array([True, False]))
+
+
+def test_one_look_up_serves_several_bits():
+    coder, _, _, _, tokens = made_up()
+    for at, classes, size, contexts in tokens.blocks():
+        code, _ = coder.code(classes, tokens.places[at])
+        lines = {}
+        for j, (m, _, slots) in enumerate(tokens.slots(code, size, contexts)):
+            for k, slot in enumerate(slots):
+                line, bits = lines.setdefault((k, j // wordbits.NEAR), (slot >> wordbits.NEAR, []))
+                assert (slot >> wordbits.NEAR == line[:m]).all()
+                assert all((slot != other[:m]).all() for other in bits)  # no two bits of a token share a pair
+                bits.append(slot)
+
+
+def test_odds_without_context_are_shares_of_words():
+    coder, sizes, classes, places, _ = made_up()
+    code, shared = coder.code(classes, places)
+    for c, place, bits, same in zip(classes, places, code, shared, strict=True):
+        for d in range(int(coder.width[c])):
+            j, left = int(coder.steps[c]) + d, int(coder.width[c]) - d - 1
+            mine = [x for x in range(sizes[c]) if x >> left == place >> left]
+            beside = [x for x in range(sizes[c]) if x >> left == (place >> left) ^ 1]
+            got = coder.odds[j][c + wordbits.CLASSES * min(2, max(0, int(same) - j + 1))]
+            assert abs(got - math.log((len(mine) + 0.02) / (len(beside) + 0.02))) < 1e-3
+            assert int(bits) >> (63 - j) & 1 == place >> left & 1
+
+
+def test_counts_travel_whole():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(0, 3, (2, 4096)).astype(np.uint32) * np.uint32(scale) for scale in (1, 300, 1_400_000_000)]
+    parts[0][:, 7] = 0
+    got = np.zeros((2, 4096), np.int64)
+    for row in mixmodel._total(lambda x: x)(b for p in parts for b in mixmodel._ranges(p)):
+        got.reshape(2 * mixmodel.RANGES, -1)[row.column("t")[0].as_py()] = unsqueeze(row.column("n")[0].as_py(), np.int64)
+    assert (got == sum(p.astype(np.int64) for p in parts)).all()
